@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kelvara.plans import problems
 from kelvara.session import table
 
 
@@ -14,7 +15,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
