@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 # Quantity | unit | factor | offset | spellings. common = (value + offset) * factor.
 UNIT_TABLE = """
-conductivity | W/(m·K) | 1 | 0 | Вт/(м·К); Вт/(м·°С); Вт/м К; Вт/м·°C; Вт/(м·град); ватт на метр-кельвин; watts per metre kelvin
+conductivity | W/(m·K) | 1 | 0 | Вт/(м·К); Вт/(м·°С); Вт/м К; Вт/м·°C; Вт/(м·град); W/(m·K); W/(m·°C); ватт на метр-кельвин; watts per metre kelvin
 conductivity | mW/(m·K) | 0.001 | 0 | мВт/(м·К); мВт/м·К; mW/(m·K); милливатт на метр-кельвин; milliwatts per metre kelvin
 conductivity | kW/(m·K) | 1000 | 0 | кВт/(м·К); kW/(m·K); киловатт на метр-кельвин
 conductivity | W/(cm·K) | 100 | 0 | Вт/(см·К); Вт/см·°C; W/(cm·K); ватт на сантиметр-кельвин; watts per centimetre kelvin
@@ -80,11 +80,11 @@ duration | year | 365.25 | 0 | год; годы; лет; years
 _SAME = str.maketrans({
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
     "³": "3", "²": "2", "⁻": "-", "−": "-", "–": "-", "—": "-", "º": "°", "˚": "°", "*": "·", "⋅": "·", "•": "·", "∙": "·", "×": "·",
-    " ": " ", " ": " ", " ": " ", "µ": "u", "μ": "u", "ё": "e",
+    "\u00a0": " ", "\u2009": " ", "\u202f": " ", "µ": "u", "μ": "u", "ё": "e",
 })
 _FREE = set(" .()[]{}·,;:'\"_°")
 #: The share of a spelling's length that may be edited at full cost.
-MOST_EDITS = 0.2
+MOST_EDITS = 0.15
 
 
 def units() -> dict[tuple[str, str], tuple[float, float]]:
@@ -160,7 +160,7 @@ def alias_dictionary(spark: SparkSession, spellings: DataFrame) -> DataFrame:
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([
-            weighted_distance(x, y, MOST_EDITS * len(y) + 0.5) / max(1, len(y)) for x, y in ((folded(p), folded(q)) for p, q in zip(a, b))
+            weighted_distance(x, y, MOST_EDITS * len(z) + 0.5) / max(1, len(z)) for x, y, z in ((folded(p), folded(q), skeleton(q)) for p, q in zip(a, b))
         ])
 
     distinct = spellings.where("spelling is not null and spelling <> '' and length(spelling) <= 60").select("quantity", "spelling").distinct()
@@ -178,7 +178,7 @@ def alias_dictionary(spark: SparkSession, spellings: DataFrame) -> DataFrame:
 # Words of a bound before a number.
 BOUNDS = "не более; не менее; не выше; не ниже; не свыше; до; от; свыше; более; менее; выше; ниже; около; ок.; примерно; порядка; прибл.; макс.; мин.; max; min; max.; min.; up to; at least; at most; not more than; not less than; about; approx.; ca.; от не менее; bis; ab"
 _SIGN = r"[+\-−–]?"
-_PLAIN = r"(?:\d{1,3}(?:[    '’]\d{3})+(?:[.,]\d+)?|\d{1,3}(?:,\d{3})+\.\d+|\d{1,3}(?:\.\d{3})+,\d+|\d{1,3}(?:,\d{3}){2,}|\d{1,3}(?:\.\d{3}){2,}|\d+(?:[.,]\d+)?)"
+_PLAIN = r"(?:\d{1,3}(?:[ \u00a0\u2009\u202f'’]\d{3})+(?:[.,]\d+)?|\d{1,3}(?:,\d{3})+\.\d+|\d{1,3}(?:\.\d{3})+,\d+|\d{1,3}(?:,\d{3}){2,}|\d{1,3}(?:\.\d{3}){2,}|\d+(?:[.,]\d+)?)"
 _POWER = r"(?:[EeЕе][+\-−]?\d+|\s?[·*×⋅xхXХ]\s?10(?:\^|\*\*)?(?:[+\-−]?\d+|[⁺⁻]?[⁰¹²³⁴⁵⁶⁷⁸⁹]+))?"
 _NUMBER = _PLAIN + _POWER
 _WORDS = "|".join(re.escape(w.strip()) for w in sorted(BOUNDS.split(";"), key=len, reverse=True))
@@ -195,7 +195,7 @@ MISSING = {"", "-", "–", "—", "−", "н/д"}
 
 
 def _float(s: str) -> float:
-    s = re.sub(r"[    '’]", "", s).replace("−", "-").replace("–", "-").translate(_SUPER)
+    s = re.sub(r"[ \u00a0\u2009\u202f'’]", "", s).replace("−", "-").replace("–", "-").translate(_SUPER)
     m = re.fullmatch(r"([+-]?)([\d.,]+)(?:[EeЕе]([+-]?\d+)|[·*×⋅xхXХ]10(?:\^|\*\*)?([+-]?\d+))?", s)
     sign, digits, e1, e2 = m.groups()
     if digits.count(",") + digits.count(".") > 1:
@@ -210,7 +210,7 @@ def _float(s: str) -> float:
 def read_value(cell: str | None) -> tuple[str, float | None, float | None, str | None]:
     """(state, low, high, unit spelling) of a cell. state: missing, value or bad. A plain number has low = high, a bound has
     one side null, a tolerance or range has both."""
-    s = (cell or "").strip().strip(" ​﻿")
+    s = (cell or "").strip(" \t\u00a0\u200b\ufeff")
     if s.lower() in MISSING:
         return "missing", None, None, None
     m = _VALUE.fullmatch(s)
@@ -230,6 +230,8 @@ def read_value(cell: str | None) -> tuple[str, float | None, float | None, str |
     elif bound and _LOWER.match(bound):
         high = None
     unit = m["unit"].strip()
+    if unit and (unit[0] in ".,;:" or unit[0].isdigit()):
+        return "bad", None, None, None
     return "value", low, high, unit or None
 
 
