@@ -1,8 +1,8 @@
 """Nearest vectors for every vector, and all pairs above a cosine (problem 6).
 
 Block matrix join. Usable vectors are scaled to length 1, equal ones form one class, and every class goes to the
-cell of its nearest centroid; cells are cut into blocks of about `BLOCK` rows. A block meets only the blocks of
-the cells that its rows probe. Such a tile is first multiplied in int8; the quantisation error of both sides
+cell of its nearest centroid; cells are cut into blocks of about `BLOCK` rows. Queries are grouped by cell as well,
+and a group meets only the blocks of the cells that its rows probe. Such a tile is first multiplied in int8; the quantisation error of both sides
 bounds every product, and only pairs that can still matter are recomputed from the float vectors. The tiles of one
 query block stream through one task, which keeps the k best per row, so memory stays at two blocks and the heaps.
 
@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from kelvara.session import cut_lineage
 
 BLOCK = 1024
+#: Rows of a query group; larger than a block, as every group draws copies of the blocks it meets.
+QUERY_BLOCK = 4096
+#: Rows that probe more cells than this form query groups of their own, so that they don't widen their neighbours' probes.
+WIDE = 8
 #: Rows per cell aimed at, and the most cells.
 CELL_ROWS, MAX_CELLS = 2000, 4096
 #: Vectors from which the centroids are fitted, at most; every vector is indexed.
@@ -68,7 +72,15 @@ def _fit(reps: DataFrame, dims: int) -> tuple[np.ndarray, int]:
         return np.zeros((1, dims), np.float32), 0
     x = np.frombuffer(b"".join(bytes(r.unit) for r in sample), np.float32).reshape(-1, dims)
     k = max(1, min(MAX_CELLS, math.ceil(n / CELL_ROWS), len(x)))
-    c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
+    # seeding by squared distance, so that every region of the sample gets a centroid
+    rng = np.random.default_rng(7)
+    seeds, near = [0], np.full(len(x), np.inf)
+    while len(seeds) < k:
+        near = np.minimum(near, np.maximum(0, 1 - x @ x[seeds[-1]]))
+        weight = near * near
+        total = weight.sum()
+        seeds.append(int(np.searchsorted(np.cumsum(weight), rng.random() * total)) if total > 0 else len(seeds))
+    c = x[np.minimum(seeds, len(x) - 1)].copy()
     for _ in range(FIT_ROUNDS):
         home = (x @ c.T).argmax(axis=1)
         total = np.zeros_like(c)
@@ -81,10 +93,12 @@ def _fit(reps: DataFrame, dims: int) -> tuple[np.ndarray, int]:
 def _probe_nearest(probes: int):
     """Each row probes the cells of its `probes` nearest centroids."""
 
-    def targets(sim: np.ndarray, home: int, c: np.ndarray) -> np.ndarray:
+    def targets(sim: np.ndarray, c: np.ndarray) -> np.ndarray:
         if probes >= len(c):
-            return np.arange(len(c))
-        return np.unique(np.argpartition(-sim, probes - 1, axis=1)[:, :probes])
+            return np.ones(sim.shape, bool)
+        out = np.zeros(sim.shape, bool)
+        np.put_along_axis(out, np.argpartition(-sim, probes - 1, axis=1)[:, :probes], True, axis=1)
+        return out
 
     return targets
 
@@ -94,45 +108,56 @@ def _probe_threshold(cosine: float):
     a and u in that of h: v·a >= v·h, so u·h - u·a <= |u - v| |a - h| <= d |a - h|. No such pair is missed."""
     d = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-4
 
-    def targets(sim: np.ndarray, home: int, c: np.ndarray) -> np.ndarray:
-        gap = sim[:, [home]] - sim
-        return np.flatnonzero((gap <= d * np.linalg.norm(c - c[home], axis=1)[None, :] + 1e-5).any(axis=0))
+    def targets(sim: np.ndarray, c: np.ndarray) -> np.ndarray:
+        home = sim.argmax(axis=1)
+        apart = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
+        return sim.max(axis=1, keepdims=True) - sim <= d * apart[home] + 1e-4
 
     return targets
 
 
-def _blocks(reps: DataFrame, centroids: np.ndarray, targets, dims: int) -> DataFrame:
-    """(bid, cell, ids, codes, scale, err, mat, targets): one row per block of a cell."""
+def _blocks(reps: DataFrame, centroids: np.ndarray, targets, dims: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks (cell, ib, ids, codes, scale, err, mat) of the index, and query groups (qb, targets, the same)."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, dims)
-            home = (x @ centroids.T).argmax(axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(home)], names=["id", "unit", "cell"])
-
-    placed = cut_lineage(reps.select("id", "unit").mapInArrow(assign, "id bigint, unit binary, cell int"))
-    # at most MAX_CELLS rows; a hot cell is spread over as many blocks as its rows need
-    counts = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    parts = placed.sparkSession.createDataFrame([(c, max(1, math.ceil(n / BLOCK))) for c, n in counts.items()] or [(-1, 1)], "cell int, parts int")
-
-    def block(table: pa.Table) -> pa.Table:
-        order = table.sort_by("id")
-        ids = order["id"].to_numpy()
-        x = np.frombuffer(b"".join(order["unit"].to_pylist()), np.float32).reshape(-1, dims)
-        scale = np.maximum(np.abs(x).max(axis=1), 1e-12) / 127
-        codes = np.rint(x / scale[:, None]).astype(np.int8)
-        err = np.linalg.norm(x - codes * scale[:, None], axis=1)
-        cell = int(order["cell"][0].as_py())
-        to = targets(x @ centroids.T, cell, centroids)
-        return pa.table({
-            "bid": pa.array([(cell << 32) | int(order["part"][0].as_py())], pa.int64()), "cell": pa.array([cell], pa.int32()),
-            "ids": [ids.astype(np.int64).tobytes()], "codes": [codes.tobytes()], "scale": [scale.astype(np.float32).tobytes()],
-            "err": [err.astype(np.float32).tobytes()], "mat": [x.tobytes()], "targets": pa.array([to.astype(np.int32).tolist()], pa.list_(pa.int32())),
-        })
-
-    salted = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    schema = "bid bigint, cell int, ids binary, codes binary, scale binary, err binary, mat binary, targets array<int>"
-    return cut_lineage(salted.select("id", "unit", "cell", "part").groupBy("cell", "part").applyInArrow(block, schema))
+            sim = x @ centroids.T
+            home = sim.argmax(axis=1).astype(np.int32)
+            group = np.where(targets(sim, centroids).sum(axis=1) > WIDE, np.int32(-1), home).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(home), pa.array(group)], names=["id", "unit", "cell", "grp"])
+
+    placed = cut_lineage(reps.select("id", "unit").mapInArrow(assign, "id bigint, unit binary, cell int, grp int"))
+
+    def packed(column: str, rows: int, with_targets: bool) -> DataFrame:
+        # at most MAX_CELLS + 1 rows; a hot cell is spread over as many blocks as its rows need
+        counts = placed.groupBy(column).agg(F.count("*").alias("n")).collect()
+        parts = placed.sparkSession.createDataFrame([(r[0], max(1, math.ceil(r.n / rows))) for r in counts] or [(-2, 1)], f"{column} int, parts int")
+
+        def block(table: pa.Table) -> pa.Table:
+            order = table.sort_by("id")
+            x = np.frombuffer(b"".join(order["unit"].to_pylist()), np.float32).reshape(-1, dims)
+            scale = np.maximum(np.abs(x).max(axis=1), 1e-12) / 127
+            codes = np.rint(x / scale[:, None]).astype(np.int8)
+            err = np.linalg.norm(x - codes * scale[:, None], axis=1)
+            key = int(order[column][0].as_py())
+            to = np.flatnonzero(targets(x @ centroids.T, centroids).any(axis=0)) if with_targets else np.zeros(0)
+            return pa.table({
+                "key": pa.array([key], pa.int32()), "bid": pa.array([(key + 1 << 32) | int(order["part"][0].as_py())], pa.int64()),
+                "ids": [order["id"].to_numpy().astype(np.int64).tobytes()], "codes": [codes.tobytes()], "scale": [scale.astype(np.float32).tobytes()],
+                "err": [err.astype(np.float32).tobytes()], "mat": [x.tobytes()], "targets": pa.array([to.astype(np.int32).tolist()], pa.list_(pa.int32())),
+            })
+
+        salted = placed.join(F.broadcast(parts), column).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        schema = "key int, bid bigint, ids binary, codes binary, scale binary, err binary, mat binary, targets array<int>"
+        return salted.select("id", "unit", column, "part").groupBy(column, "part").applyInArrow(block, schema)
+
+    index = packed("cell", BLOCK, False).select(F.col("key").alias("cell"), F.col("bid").alias("ib"), *_DATA)
+    groups = cut_lineage(packed("grp", QUERY_BLOCK, True).select(F.col("bid").alias("qb"), "targets", *_DATA))
+    return index, groups
+
+
+_DATA = ("ids", "codes", "scale", "err", "mat")
 
 
 class _Side:
@@ -158,12 +183,11 @@ def _exact(q: _Side, s: _Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q.x[i].astype(np.float64), s.x[j].astype(np.float64))
 
 
-def _tiles(blocks: DataFrame) -> DataFrame:
-    """Query blocks with the blocks they meet, each query block's rows together: its own first, then the others."""
-    data = ["ids", "codes", "scale", "err", "mat"]
-    wanted = blocks.select(F.col("bid").alias("qb"), F.explode("targets").alias("cell"))
-    other = wanted.join(blocks.select("cell", F.col("bid").alias("ib"), *data), "cell").select("qb", "ib", *data)
-    own = blocks.select(F.col("bid").alias("qb"), F.lit(-1).cast("bigint").alias("ib"), *data)
+def _tiles(index: DataFrame, groups: DataFrame) -> DataFrame:
+    """Query groups with the blocks they meet, each group's rows together: its own first, then the blocks."""
+    wanted = groups.select("qb", F.explode("targets").alias("cell"))
+    other = wanted.join(index, "cell").select("qb", "ib", *_DATA)
+    own = groups.select("qb", F.lit(-1).cast("bigint").alias("ib"), *_DATA)
     return own.unionByName(other).repartition("qb").sortWithinPartitions("qb", "ib")
 
 
@@ -189,7 +213,7 @@ def pairs_above(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", cos
     members = cut_lineage(_classes(usable_vectors(df, id_col, vec_col, dims)))
     reps = members.where("id = rep").dropDuplicates(["unit"]).select("id", "unit")
     centroids, _ = _fit(reps, dims)
-    blocks = _blocks(reps, centroids, _probe_threshold(cosine), dims)
+    index, groups = _blocks(reps, centroids, _probe_threshold(cosine), dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = None
@@ -206,7 +230,7 @@ def pairs_above(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", cos
             yield pa.RecordBatch.from_arrays([pa.array(q.ids[i[hit]]), pa.array(side.ids[j[hit]])], names=["a", "b"])
 
     # a pair is found from either side, as both blocks probe each other; the smaller id's side reports it
-    links = _tiles(blocks).mapInArrow(run, "a bigint, b bigint")
+    links = _tiles(index, groups).mapInArrow(run, "a bigint, b bigint")
     shared = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     links = links.unionByName(shared)
     left = members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
@@ -219,13 +243,13 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int
     ties by smaller id.
 
     Approximate in one respect only: a row is compared with the vectors of its `probes` nearest cells (and of the
-    cells its block neighbours probe). Fewer than k other vectors give fewer rows. Equal vectors are neighbours at
+    cells that the rest of its group probes). Fewer than k other vectors give fewer rows. Equal vectors are neighbours at
     cosine 1. Unusable vectors and empty tables give no rows; other columns are left out.
     """
     members = cut_lineage(_classes(usable_vectors(df, id_col, vec_col, dims)))
     reps = members.where("id = rep").dropDuplicates(["unit"]).select("id", "unit")
     centroids, _ = _fit(reps, dims)
-    blocks = _blocks(reps, centroids, _probe_nearest(probes), dims)
+    index, groups = _blocks(reps, centroids, _probe_nearest(probes), dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, best_id, best = None, None, None
@@ -265,7 +289,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int
         if q is not None:
             yield out()
 
-    links = _tiles(blocks).mapInArrow(run, "rep bigint, other bigint, cosine double")
+    links = _tiles(index, groups).mapInArrow(run, "rep bigint, other bigint, cosine double")
     # the first k + 1 ids of a class are all that any list can need of it; the window limit applies before the shuffle
     heads = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1)
     heads = heads.select(F.col("rep").alias("other"), "id")
