@@ -5,11 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kelvara.llm import bpe, neighbours, packing
+from kelvara.llm import bpe, encodings, lookalikes, neighbours, packing, splitting
 from kelvara.session import table
 
 
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encodings.repair(table(spark, sf_dir, "parsed_documents"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_restored(spark, sf_dir).select("parsed_id").distinct()
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_items(splitting.oversized(table(spark, sf_dir, "parsed_documents")), ("parsed_id", "chunk_id"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_pieces(spark, sf_dir).where("piece_no = 0").select("parsed_id", "chunk_id").distinct()
+
+
+def p7_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lookalikes.consistent(table(spark, sf_dir, "parsed_documents"), "parsed_id").select(F.lit("parsed_documents").alias("tbl"), F.col("parsed_id").alias("rec_id"), "consistent")
+    results = lookalikes.consistent(table(spark, sf_dir, "search_results"), "result_id").select(F.lit("search_results").alias("tbl"), F.col("result_id").alias("rec_id"), "consistent")
+    return docs.unionByName(results)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_consistent(spark, sf_dir).select("tbl", "rec_id").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.pairs_above(table(spark, sf_dir, "chunk_vectors"))
 
@@ -31,7 +58,7 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_nearest, p8_ids, p9_containers, p9_fill)}
+    return {f.__name__: f for f in (p3_found, p3_restored, p4_found, p4_pieces, p6_found, p6_nearest, p7_found, p7_consistent, p8_ids, p9_containers, p9_fill)}
 
 
 def oracle_sql() -> dict[str, str]:
