@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelvara.llm import bpe, encodings, lookalikes, neighbours, packing, splitting
+from kelvara.llm import abuse, bpe, encodings, lookalikes, neighbours, packing, scans, splitting
 from kelvara.session import table
 
 
@@ -37,6 +37,27 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_consistent(spark, sf_dir).select("tbl", "rec_id").distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.evidence(table(spark, sf_dir, "parsed_documents")).select("parsed_id").distinct()
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "parsed_documents")
+    return scans.repair(docs, scans.evidence(docs))
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score_documents(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_scores(spark, sf_dir).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(p10_scores(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.pairs_above(table(spark, sf_dir, "chunk_vectors"))
 
@@ -58,7 +79,9 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_restored, p4_found, p4_pieces, p6_found, p6_nearest, p7_found, p7_consistent, p8_ids, p9_containers, p9_fill)}
+    found = (p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p10_found)
+    whole = (p3_restored, p4_pieces, p5_repaired, p6_nearest, p7_consistent, p9_containers, p9_fill, p10_scores, p10_rates)
+    return {f.__name__: f for f in (*found, *whole)}
 
 
 def oracle_sql() -> dict[str, str]:
