@@ -1,22 +1,389 @@
-"""Registered queries over the reference data and their SQL."""
+"""Registered queries over whole tables. The SQL that checks them is in `oracles`."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kelvara.plans import problems
+from kelvara.config import SEARCH
+from kelvara.functions import text as T
+from kelvara.operators import agent, calculation, chunking, memory, reporting, retrieval, tables
+from kelvara.plans import oracles, problems
 from kelvara.session import table
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _questions(s: SparkSession, d: str) -> DataFrame:
+    """The stated query set: every question whose id is divisible by SEARCH.query_step."""
+    return table(s, d, "queries").where(F.col("query_id") % SEARCH.query_step == 0)
+
+
+def _hits(s: SparkSession, d: str) -> DataFrame:
+    return reporting.hits(table(s, d, "search_results"), table(s, d, "queries"))
+
+
+def _chunks(s: SparkSession, d: str) -> DataFrame:
+    return chunking.stored_chunks(table(s, d, "parsed_documents"))
+
+
+@query
+def scan_counts_by_source(s, d):
+    return table(s, d, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.count("text").alias("with_text"), F.sum("n_chars").alias("chars"))
+
+
+@query
+def docs_per_filetype(s, d):
+    return table(s, d, "parsed_documents").groupBy("filetype").agg(F.count("*").alias("documents"))
+
+
+@query
+def supported_files(s, d):
+    suffix = F.lower(F.regexp_extract("filepath", r"\.[^.]+$", 0))
+    return table(s, d, "parsed_documents").where("filepath is not null").select("parsed_id", suffix.alias("suffix"), suffix.isin(".pdf", ".docx", ".doc", ".rtf").alias("supported"))
+
+
+@query
+def normalize_text(s, d):
+    return table(s, d, "documents").where("text is not null").select("doc_id", T.normalize(F.col("text")).alias("text"))
+
+
+@query
+def paragraph_split(s, d):
+    p = T.paragraphs(T.normalize(F.col("text")))
+    return table(s, d, "documents").select("doc_id", F.posexplode(p).alias("para_no", "text")).withColumn("para_no", F.col("para_no").cast("bigint"))
+
+
+@query
+def sentence_split(s, d):
+    return table(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query
+def chunk_documents(s, d):
+    return chunking.chunks(table(s, d, "documents"))
+
+
+@query
+def smart_overlaps(s, d):
+    return table(s, d, "documents").where("text is not null").select("doc_id", T.smart_overlap(F.right("text", F.lit(200))).alias("overlap"))
+
+
+@query
+def formula_mentions(s, d):
+    each = table(s, d, "documents").select("doc_id", F.posexplode(T.formulas(F.col("text"))).alias("pos", "raw"))
+    return each.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "raw", F.array_join(T.variables(F.col("raw")), ",").alias("variables"))
+
+
+@query
+def agent_formulas(s, d):
+    return table(s, d, "documents").select("doc_id", F.explode(T.agent_formulas(F.col("text"))).alias("raw"))
+
+
+@query
+def table_like_flag(s, d):
+    return table(s, d, "documents").where("text is not null").select("doc_id", T.table_like(F.col("text")).alias("flag"))
+
+
+@query
+def doc_metadata(s, d):
+    return reporting.document_metadata(table(s, d, "documents"))
+
+
+@query
+def index_diagnostics(s, d):
+    return reporting.index_diagnostics(table(s, d, "parsed_documents"))
+
+
+@query
+def token_stats(s, d):
+    each = table(s, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    return each.groupBy("token").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+
+
+@query
+def term_vocabulary(s, d):
+    return retrieval.vocabulary(retrieval.term_counts(_chunks(s, d)))
+
+
+@query
+def idf_table(s, d):
+    c = _chunks(s, d)
+    return retrieval.idf(retrieval.vocabulary(retrieval.term_counts(c)), c).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def lexical_search(s, d):
+    scores = retrieval.lexical_scores(_chunks(s, d), _questions(s, d))
+    return retrieval.ranked(scores, "lexical").select("query_id", F.col("rank").cast("bigint").alias("rank"), "parsed_id", "chunk_id", "lexical")
+
+
+@query
+def semantic_search(s, d):
+    found = retrieval.semantic_search(table(s, d, "chunk_vectors"), _questions(s, d))
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", "semantic")
+
+
+@query
+def hybrid_search(s, d):
+    q = _questions(s, d)
+    scores = retrieval.hybrid_scores(retrieval.lexical_scores(_chunks(s, d), q), table(s, d, "chunk_vectors"), q)
+    return retrieval.ranked(scores, "score").select("query_id", F.col("rank").cast("bigint").alias("rank"), "parsed_id", "chunk_id", "score")
+
+
+@query
+def hybrid_rank(s, d):
+    scores = _hits(s, d).withColumn("score", SEARCH.semantic_weight * F.coalesce("semantic_score", F.lit(0.0)) + SEARCH.lexical_weight * F.coalesce("lexical_score", F.lit(0.0)))
+    return retrieval.ranked(scores, "score", keys=("result_id",)).select("query_id", F.col("rank").cast("bigint").alias("rank"), "result_id", "score")
+
+
+@query
+def answer_sources(s, d):
+    return reporting.sources(_hits(s, d)).select("query_id", F.col("ord").cast("bigint").alias("ord"), "doc_name", "score")
+
+
+@query
+def answer_context(s, d):
+    return reporting.contexts(_hits(s, d))
+
+
+@query
+def extractive_answer(s, d):
+    return reporting.extractive_answers(_hits(s, d))
+
+
+@query
+def find_definition(s, d):
+    return agent.definitions(_hits(s, d))
+
+
+@query
+def report_rows(s, d):
+    h = _hits(s, d)
+    return reporting.report_rows(reporting.extractive_answers(h), h)
+
+
+@query
+def pipe_tables(s, d):
+    found = tables.rows_of(tables.pipe_tables(table(s, d, "parsed_documents"), "parsed_id"))
+    return found.select("id", F.col("start").cast("bigint").alias("start"), (F.size("rows") - 1).cast("bigint").alias("data_rows"), "raw_text").where("data_rows >= 2")
+
+
+@query
+def keyword_tables(s, d):
+    found = tables.keyword_tables(table(s, d, "parsed_documents"), "parsed_id")
+    return found.select("id", F.col("start").cast("bigint").alias("start"), "title", "raw_text")
+
+
+@query
+def extract_tables(s, d):
+    found = tables.extract_tables(table(s, d, "parsed_documents"), "parsed_id")
+    return found.select("id", F.col("table_no").cast("bigint").alias("table_no"), "kind", "title", F.col("data_rows").cast("bigint").alias("data_rows"), "confidence")
+
+
+@query
+def table_cells(s, d):
+    cells = tables.table_cells(tables.extract_tables(table(s, d, "parsed_documents"), "parsed_id"))
+    return cells.select("id", *(F.col(c).cast("bigint").alias(c) for c in ("table_no", "row_no", "col_no")), "cell")
+
+
+@query
+def gsop_from_table(s, d):
+    climate = tables.city_climate(tables.extract_tables(table(s, d, "parsed_documents"), "parsed_id"), table(s, d, "cities"))
+    rounded = F.round("t_ot", 1)
+    return climate.select(
+        "city", F.col("id").alias("parsed_id"), "t_ot", F.col("z_ot").cast("bigint").alias("z_ot"), F.round(calculation.gsop(F.lit(20.0), F.col("t_ot"), F.col("z_ot")), 6).alias("gsop"),
+        F.round(calculation.ventilation_heat(F.lit(100.0), F.lit(20.0), rounded), 6).alias("ventilation"), F.round(calculation.heat_loss(F.lit(50.0), F.lit(20.0) - rounded, F.lit(3.2)), 6).alias("heat_loss"),
+    )
+
+
+@query
+def formula_gsop(s, d):
+    return table(s, d, "cities").select("name", F.round(calculation.gsop(F.lit(20.0), F.col("t_ot"), F.col("z_ot")), 6).alias("gsop"))
+
+
+@query
+def formula_ventilation(s, d):
+    t_n = F.coalesce("t_n", F.col("t_ot") - 20)
+    return table(s, d, "cities").select("name", t_n.alias("t_n"), F.round(calculation.ventilation_heat(F.lit(100.0), F.lit(20.0), t_n), 6).alias("heat"))
+
+
+@query
+def formula_heat_loss(s, d):
+    t_n = F.coalesce("t_n", F.col("t_ot") - 20)
+    return table(s, d, "cities").select("name", F.round(calculation.heat_loss(F.lit(50.0), F.lit(20.0) - t_n, F.lit(3.2)), 6).alias("loss"))
+
+
+@query
+def formula_layer_resistance(s, d):
+    return table(s, d, "materials").select("material_id", F.round(calculation.layer_resistance(F.lit(0.1), F.col("lambda_value")), 6).alias("resistance"))
+
+
+@query
+def formula_insulation_thickness(s, d):
+    return table(s, d, "materials").select("material_id", F.round(calculation.insulation_thickness(F.lit(3.2), F.col("lambda_value")), 6).alias("thickness"))
+
+
+@query
+def formula_heat_flux(s, d):
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", T.rounded(calculation.heat_flux(F.col("l_extendedprice"), F.col("l_quantity"))).alias("flux"))
+
+
+@query
+def insulation_calculator(s, d):
+    r = calculation.insulation(F.col("lambda_value"), F.lit(150.0), F.lit(20.0), F.lit(40.0), F.lit(0.1))
+    return table(s, d, "materials").where("lambda_value is not null").select("material_id", F.round(r["delta_mm"], 6).alias("delta_mm"), r["recommended_mm"].alias("recommended_mm"), r["verdict"].alias("verdict"))
+
+
+@query
+def extract_params(s, d):
+    p = calculation.parameters(F.col("query"))
+    return table(s, d, "queries").select("query_id", *(c.alias(f"p_{n}") for n, c in p.items()))
+
+
+@query
+def detect_formula(s, d):
+    return table(s, d, "queries").select("query_id", calculation.formula_key(F.col("query")).alias("formula")).where("formula is not null")
+
+
+@query
+def detect_city(s, d):
+    # the cities are a fixed table of 40 rows
+    names = F.broadcast(table(s, d, "cities").select("name"))
+    hit = table(s, d, "queries").join(names, F.contains(F.lower("query"), F.lower("name")))
+    return hit.groupBy("query_id").agg(F.min(F.struct((-F.length("name")).alias("n"), "name"))["name"].alias("city"))
+
+
+@query
+def calculation_answers(s, d):
+    return calculation.answers(table(s, d, "queries")).withColumn("result", F.round("result", 6))
+
+
+@query
+def classify_queries(s, d):
+    q = F.col("query")
+    return table(s, d, "queries").where("query is not null").select("query_id", agent.query_type(q).alias("kind"), agent.route(q).alias("route"))
+
+
+@query
+def query_entities(s, d):
+    e = agent.entities(F.col("query"))
+    joined = {n: F.array_join(F.transform(c, lambda x: x.cast("string")) if n == "numeric_values" else c, "|") for n, c in e.items() if n != "numeric_values"}
+    return table(s, d, "queries").where("query is not null").select("query_id", *(c.alias(n) for n, c in joined.items()), F.size(e["numeric_values"]).cast("bigint").alias("numeric_values"))
+
+
+@query
+def expand_queries(s, d):
+    return table(s, d, "queries").select("query_id", F.posexplode(agent.variants(F.col("query"))).alias("ord", "variant")).withColumn("ord", F.col("ord").cast("bigint"))
+
+
+@query
+def rerank_hits(s, d):
+    return agent.rerank(_hits(s, d)).select("query_id", F.col("new_rank").cast("bigint").alias("new_rank"), "result_id", "boosted")
+
+
+@query
+def context_params(s, d):
+    return agent.context_parameters(_hits(s, d)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query
+def compare_items(s, d):
+    return agent.compare(_hits(s, d))
+
+
+@query
+def regulatory_sentences(s, d):
+    return agent.requirements(_chunks(s, d), ("parsed_id", "chunk_id"))
+
+
+@query
+def completeness_check(s, d):
+    h = table(s, d, "queries").where("query is not null")
+    rows = h.select(
+        "query_id", agent.query_type(F.col("query")).alias("kind"), F.col("query").alias("answer"), calculation.formula_key(F.col("query")).isNotNull().alias("has_formula"), (F.size(T.numbers(F.col("query"))) > 0).alias("has_parameters")
+    )
+    return agent.completeness(rows).select("query_id", "needs_clarification", "questions", F.round("completeness", 6).alias("completeness"))
+
+
+def _memory(s, d):
+    h = _hits(s, d)
+    found = h.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_set(F.struct("rank", "doc_name"))), lambda x: x["doc_name"]).alias("sources"))
+    q = table(s, d, "queries").where("query is not null")
+    log = q.join(found, "query_id").select(F.col("query_id").alias("seq"), "query", "query_type", F.col("asked_at").alias("used_at"), T.keywords(F.col("query")).alias("keywords"), F.array_distinct("sources").alias("sources"))
+    return memory.remember(log)
+
+
+@query
+def memory_upsert(s, d):
+    return _memory(s, d).select("pattern", "query_type", "success_count", "first_seq", F.array_join("keywords", "|").alias("keywords"), F.array_join("sources", "|").alias("sources"), F.array_join("boost_terms", "|").alias("boost_terms"))
+
+
+@query
+def memory_boosts(s, d):
+    return memory.boosts(_questions(s, d).where("query is not null"), _memory(s, d)).withColumn("ord", F.col("ord").cast("bigint"))
+
+
+@query
+def memory_stats(s, d):
+    return memory.statistics(_memory(s, d)).withColumn("avg_success", F.round("avg_success", 6))
+
+
+@query
+def memory_top(s, d):
+    return _memory(s, d).orderBy(F.desc("success_count"), "pattern", "query_type").limit(10).select("pattern", "query_type", "success_count")
+
+
+@query
+def glossary_lookup(s, d):
+    # the fixed table of quantities, in alphabetical order
+    name = F.lower(F.get(F.split("names", "; "), F.lit(0)))
+    glossary = table(s, d, "common_units").select(name.alias("ord"), name.alias("term"), F.col("common_unit").alias("definition"))
+    terms = table(s, d, "extracted_tables").select(F.explode("headers").alias("term")).distinct()
+    return agent.glossary_lookup(terms, glossary)
+
+
+@query
+def error_summary(s, d):
+    return reporting.error_summary(table(s, d, "events"), "event_type", "ts", "event_id")
+
+
+@query
+def chat_turns(s, d):
+    return reporting.turns(table(s, d, "documents"))
+
+
+@query
+def standards_mentioned(s, d):
+    return reporting.mentions(table(s, d, "documents"))
+
+
+@query
+def mention_graph(s, d):
+    return reporting.mention_graph(table(s, d, "parsed_documents"))
+
+
+@query
+def graph_statistics(s, d):
+    return reporting.graph_statistics(reporting.mention_graph(table(s, d, "parsed_documents"))).withColumn("density", F.round("density", 9))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id")
+    """Hybrid search for the stated query set."""
+    return hybrid_search(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return problems.queries()
+def queries() -> dict[str, Query]:
+    return _QUERIES | problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracles.sql().items() if k in _QUERIES}
