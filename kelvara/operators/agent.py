@@ -140,6 +140,17 @@ def definitions(hits: DataFrame) -> DataFrame:
     return first.select("query_id", "term", F.col("f.sentence").alias("definition"), F.col("f.doc_name").alias("source"))
 
 
+def term_definitions(terms: DataFrame, chunks: DataFrame, keys: tuple[str, ...], longest: int = 100) -> DataFrame:
+    """(term, definition, keys): for every term the shortest sentence of all chunks that has it, below `longest` characters; the earliest
+    chunk among equals. Terms meet sentences on their first word, so no term is held against every sentence."""
+    asked = terms.select(F.lower(T.strip(F.col("term"))).alias("term")).where("term <> ''").distinct().withColumn("word", F.get(T.tokens(F.col("term")), F.lit(0))).where("word is not null")
+    short = chunks.select(*keys, F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).where(F.length("sentence") < longest)
+    words = short.select(*keys, "pos", "sentence", F.explode(F.array_distinct(T.tokens(F.col("sentence")))).alias("word"))
+    hit = words.join(asked, "word").where(F.contains(F.lower("sentence"), F.col("term")))
+    best = hit.groupBy("term").agg(F.min(F.struct(F.length("sentence").alias("n"), *keys, "pos", "sentence")).alias("f"))
+    return best.select("term", T.strip(F.col("f.sentence")).alias("definition"), *(F.col(f"f.{k}").alias(k) for k in keys))
+
+
 def completeness(answers: DataFrame) -> DataFrame:
     """Adds needs_clarification, questions bigint and completeness to answers (kind, answer, has_formula, has_parameters)."""
     calc = F.col("kind") == "calculation"

@@ -162,7 +162,8 @@ def extractive_answer(s, d):
 
 @query
 def find_definition(s, d):
-    return agent.definitions(_hits(s, d))
+    terms = table(s, d, "queries").select(agent.defined_term(F.col("query")).alias("term")).where("term is not null")
+    return agent.term_definitions(terms, _chunks(s, d), ("parsed_id", "chunk_id"))
 
 
 @query
@@ -295,11 +296,6 @@ def context_params(s, d):
     return agent.context_parameters(_hits(s, d)).withColumn("confidence", F.round("confidence", 6))
 
 
-@query
-def compare_items(s, d):
-    return agent.compare(_hits(s, d))
-
-
 @query
 def regulatory_sentences(s, d):
     return agent.requirements(_chunks(s, d), ("parsed_id", "chunk_id"))

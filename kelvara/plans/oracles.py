@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from kelvara import lexicons as L
 from kelvara.config import SEARCH
-from kelvara.functions.text import FORMULA, KEYWORD, NUMBER, TOKEN, VARIABLE, WS
+from kelvara.functions.text import AGENT_FORMULA, BRACKET_FORMULA, FORMULA, KEYWORD, NUMBER, TOKEN, VARIABLE, WS
 from kelvara.operators import calculation
 from kelvara.operators.agent import CONTEXT
 from kelvara.operators.reporting import STANDARD
@@ -184,6 +184,9 @@ def sql() -> dict[str, str]:
     out["formula_mentions"] = f"""with m as (select doc_id, generate_subscripts(a, 1) as pos, unnest(a) as raw from (select doc_id, list_transform(regexp_extract_all(text, '{FORMULA}'), lambda x: {strip('x')}) as a from documents)),
       d as (select doc_id, raw, min(pos) as pos from m where length(raw) >= 4 group by all), r as (select doc_id, raw, row_number() over (partition by doc_id order by pos) - 1 as pos from d)
       select doc_id, pos::bigint as pos, raw, array_to_string(list_sort(list_distinct(regexp_extract_all(raw, '{VARIABLE}'))), ',') as variables from r where pos < 20"""
+    out["agent_formulas"] = f"""with f as (select doc_id, list_transform(list_filter(regexp_extract_all(text, {q(AGENT_FORMULA)}), lambda x: length(x) > 3), lambda x: {strip('x')}) as a,
+      list_transform(list_filter(regexp_extract_all(text, {q(BRACKET_FORMULA)}, 1), lambda x: length(x) > 3), lambda x: '(' || x || ')') as b from documents)
+      select distinct doc_id, unnest(list_concat(a, b)) as raw from f where a is not null"""
     out["table_like_flag"] = f"select doc_id, {table_like('text')} as flag from documents where text is not null"
     words = f"len(list_filter(string_split_regex(t, '{WS}+'), lambda w: w <> ''))"
     out["doc_metadata"] = f"""select doc_id, length(t)::bigint as char_count, {words}::bigint as word_count, len(list_filter({sentences('t')}, lambda s: {strip('s')} <> ''))::bigint as sentence_count,
@@ -211,6 +214,13 @@ def sql() -> dict[str, str]:
       y as (select query_id, regexp_replace(string_agg(t, chr(10) || chr(10) order by r), '\\n{{3,}}', chr(10) || chr(10), 'g') as a from x where r <= 3 group by query_id),
       ans as (select query_id, case when length(a) > 1800 then regexp_replace(left(a, 1800), ' [^ ]*$', '') || '...' else a end as answer from y)"""
     out["extractive_answer"] = f"with {HITS}, {answers} select query_id, answer from ans"
+    prefix = "^(?:" + "|".join(L.DEFINITION_PREFIXES) + ")"
+    out["find_definition"] = f"""with {CHUNKS}, t as (select distinct term, regexp_extract(term, '{TOKEN}') as word from (select trim(regexp_replace(lower({strip('query')}), {q(prefix)}, ''), {q(" ?!.,:;\"'«»()[]")}) as term
+        from queries where {starts(f"lower({strip('query')})", L.DEFINITION_PREFIXES)}) where term <> ''),
+      s as (select parsed_id, chunk_id, generate_subscripts(a, 1) as pos, unnest(a) as sentence from (select parsed_id, chunk_id, {sentences('text')} as a from chunks)),
+      h as (select term, {strip('sentence')} as definition, parsed_id, chunk_id, row_number() over (partition by term order by length(sentence), parsed_id, chunk_id, pos) as r
+        from t join s on contains(lower(sentence), term) where length(sentence) < 100 and list_contains(regexp_extract_all(lower(sentence), '{TOKEN}'), word))
+      select term, definition, parsed_id, chunk_id from h where r = 1"""
     out["report_rows"] = f"""{best}, {answers}, body as (select query_id, 'answer' as section, (generate_subscripts(a, 1) - 1)::bigint as ord, unnest(a) as line from (select query_id, string_split(replace(answer, '*', ''), chr(10)) as a from ans))
       select * from body where {strip('line')} <> '' union all select query_id, 'source', ord, doc_name from o where ord <= 5"""
     out["pipe_tables"] = f"with {PIPES} select id, start::bigint as start, (len(rows) - 1)::bigint as data_rows, raw_text from ptab where len(rows) >= 3"
