@@ -139,15 +139,19 @@ class Table:
         """The delimiter of rows split without regard to quotes: the quoting one if their quotes work as quotes."""
         if not any(c.startswith('"') for r in rows for c in r):
             return _US
-        best, most = _US, sum(len(r) == width for r in rows)
+        plain = sum(len(r) == width for r in rows)
+        best, most = _US, (plain, 0)
         whole = any(re.search(r'^".*""', c) for r in rows for c in r)
         for d in (";", ","):
-            sound = 0
+            sound = decimals = 0
             for r in rows:
                 line = d.join(r)
-                sound += bool(_GRAMMAR[d].fullmatch(line)) and len(re.findall(rf'(?:^|{d})("(?:[^"]|"")*"|[^{d}]*)', line)) == width
-            if sound > most or (whole and best == _US and sound >= most * 0.8):
-                best, most = d, sound
+                fields = re.findall(rf'(?:^|{d})("(?:[^"]|"")*"|[^{d}]*)', line)
+                sound += bool(_GRAMMAR[d].fullmatch(line)) and len(fields) == width
+                # what a quoted field holds tells which sign it was quoted for
+                decimals += sum(bool(re.match(rf'"[+\-−]?\d+{d}\d', f)) for f in fields) if d == "," else 0
+            if (sound, decimals) > most or (whole and best == _US and sound >= plain * 0.8):
+                best, most = d, (sound, decimals)
         return best
 
 

@@ -24,7 +24,8 @@ CONVERTER_S = 60
 
 
 def scan(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """(path, suffix, length, modified_at, supported, content): the files of a folder; the suffix decides support without regard to case."""
+    """(path, suffix, length, modified_at, supported, content): the files of a folder; the suffix decides support without regard to
+    case. Files without a byte are not listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     suffix = F.lower(F.regexp_extract("path", r"\.[^./]+$", 0))
     return files.select("path", suffix.alias("suffix"), "length", F.col("modificationTime").alias("modified_at"), suffix.isin(*EXTENSIONS).alias("supported"), "content")
