@@ -157,7 +157,8 @@ def _blocks(reps: DataFrame, centroids: np.ndarray, targets, dims: int) -> tuple
     return index, groups
 
 
-_DATA = ("ids", "codes", "scale", "err", "mat")
+_CODES = ("ids", "codes", "scale", "err")
+_DATA = (*_CODES, "mat")
 
 
 class _Side:
@@ -165,7 +166,7 @@ class _Side:
 
     def __init__(self, row: dict, dims: int):
         self.ids = np.frombuffer(row["ids"], np.int64)
-        self.x = np.frombuffer(row["mat"], np.float32).reshape(-1, dims)
+        self.x = np.frombuffer(row["mat"], np.float32).reshape(-1, dims) if "mat" in row else None
         self.scale = np.frombuffer(row["scale"], np.float32)
         self.err = np.frombuffer(row["err"], np.float32)
         # int8 values held in float32: their products and sums stay below 2^24, so the BLAS product is exact
@@ -183,11 +184,12 @@ def _exact(q: _Side, s: _Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q.x[i].astype(np.float64), s.x[j].astype(np.float64))
 
 
-def _tiles(index: DataFrame, groups: DataFrame) -> DataFrame:
-    """Query groups with the blocks they meet, each group's rows together: its own first, then the blocks."""
+def _tiles(index: DataFrame, groups: DataFrame, data: tuple[str, ...]) -> DataFrame:
+    """Query groups with the blocks they meet, each group's rows together: its own first, then the blocks. Only the columns of `data`
+    are drawn."""
     wanted = groups.select("qb", F.explode("targets").alias("cell"))
-    other = wanted.join(index, "cell").select("qb", "ib", *_DATA)
-    own = groups.select("qb", F.lit(-1).cast("bigint").alias("ib"), *_DATA)
+    other = wanted.join(index, "cell").select("qb", "ib", *data)
+    own = groups.select("qb", F.lit(-1).cast("bigint").alias("ib"), *data)
     return own.unionByName(other).repartition("qb").sortWithinPartitions("qb", "ib")
 
 
@@ -225,12 +227,19 @@ def pairs_above(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", cos
             approx, bound = _tile(q, side)
             i, j = np.nonzero(approx >= cosine - bound)
             lower = q.ids[i] < side.ids[j]
-            i, j = i[lower], j[lower]
-            hit = _exact(q, side, i, j) >= cosine
-            yield pa.RecordBatch.from_arrays([pa.array(q.ids[i[hit]]), pa.array(side.ids[j[hit]])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(q.ids[i[lower]]), pa.array(side.ids[j[lower]])], names=["a", "b"])
+
+    def recompute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).reshape(-1, dims).astype(np.float64) for c in (2, 3))
+            hit = pa.array(np.einsum("ij,ij->i", x, y) >= cosine)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(hit) for c in (0, 1)], names=["a", "b"])
 
     # a pair is found from either side, as both blocks probe each other; the smaller id's side reports it
-    links = _tiles(index, groups).mapInArrow(run, "a bigint, b bigint")
+    # the tiles travel as int8 alone; the few pairs that survive their error bound are recomputed from the float vectors
+    near = _tiles(index, groups, _CODES).mapInArrow(run, "a bigint, b bigint")
+    x, y = reps.select(F.col("id").alias("a"), F.col("unit").alias("ua")), reps.select(F.col("id").alias("b"), F.col("unit").alias("ub"))
+    links = near.join(x, "a").join(y, "b").select("a", "b", "ua", "ub").mapInArrow(recompute, "a bigint, b bigint")
     shared = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     links = links.unionByName(shared)
     left = members.select(F.col("rep").alias("a"), F.col("id").alias("x"))
@@ -289,7 +298,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int
         if q is not None:
             yield out()
 
-    links = _tiles(index, groups).mapInArrow(run, "rep bigint, other bigint, cosine double")
+    links = _tiles(index, groups, _DATA).mapInArrow(run, "rep bigint, other bigint, cosine double")
     # the first k + 1 ids of a class are all that any list can need of it; the window limit applies before the shuffle
     heads = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1)
     heads = heads.select(F.col("rep").alias("other"), "id")
