@@ -177,7 +177,7 @@ _TO_CYRILLIC = str.maketrans("aeopcyxkmtbhiu", "аеорсухкмтвнии")
 _TO_LATIN = str.maketrans("аеорсухкмтвніο", "aeopcyxkmtbhio")
 _IGNORED = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff\ufe00-\ufe0f]")
 _WIDE = re.compile("[\uff01-\uff5e\ufb00-\ufb06\U0001d400-\U0001d7ff\u0300-\u036f]")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_](?:[.\-_·*•]|\s(?=[^\W\d_][\s.!?,]))){3,}[^\W\d_](?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_](?:[.\-_·*•]|\s(?=[^\W\d_](?:[\s.!?,]|$)))){3,}[^\W\d_](?![^\W_])")
 _TOKEN = re.compile(r"[^\W_]+(?:[*@#$%&'’0-9]+[^\W_]+)*[*@#$]*|[«»\"“”„]|[.!?\n]")
 _MASK = set("*@#$%&")
 _CYR, _LAT = re.compile("[а-яё]"), re.compile("[a-zäöüß]")

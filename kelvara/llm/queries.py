@@ -84,5 +84,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (*found, *whole)}
 
 
+_UNIT = "list_transform(vec, lambda x: x::double)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": """with e as (select parsed_id, unnest(chunks) as piece from parsed_documents)
+          select distinct parsed_id, piece.chunk_id as chunk_id from e where length(piece.text) > 1800
+          union select parsed_id, -1 from parsed_documents where length(text) > 1800 and coalesce(len(chunks), 0) = 0""",
+        "p6_found": f"""with v as (select vec_id, {_UNIT} as v from chunk_vectors where vec is not null), u as (select vec_id, v, sqrt(list_dot_product(v, v)) as n from v
+            where len(list_filter(v, lambda x: x is null or isnan(x))) = 0 and list_dot_product(v, v) > 0)
+          select a.vec_id as vec_lo, b.vec_id as vec_hi from u a join u b on a.vec_id < b.vec_id where list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.95""",
+    }

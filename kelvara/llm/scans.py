@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from kelvara.session import cut_lineage
 
 # What a reader of printed pages takes for what, as misread > right.
-CONFUSIONS = "0>о 0>o 3>з 4>ч 6>б ь1>ы 1о>ю /|>л }{>ж гт>п !>i 1>l 1>i c>e rn>m |>l 5>s ii>п"
+CONFUSIONS = "0>о 0>o 3>з 4>ч 6>б ь1>ы 1о>ю /|>л }{>ж гт>п !>i 1>l 1>i c>e rn>m |>l 5>s ii>п и'>й cl>d vv>w li>h гн>ш"
 PAIRS = [tuple(x.split(">")) for x in CONFUSIONS.split()]
-_SPLIT = r"[^\p{L}\p{N}/|!}{\-]+"
+_SPLIT = r"[^\p{L}\p{N}/|!}{\-']+"
 _SHAPE = "|".join(re.escape(w) for w in sorted({w for w, _ in PAIRS}, key=len, reverse=True))
 #: A frequent word is at least this frequent, and so many times as frequent as a misreading made of letters alone.
 FREQUENT, RATIO = 3, 30
@@ -31,7 +31,7 @@ _HASH_BITS = (1 << 40) - 1
 
 def words_of(text: Column) -> Column:
     """Lower-case words with what misreading puts inside them."""
-    return F.transform(F.split(F.lower(text), _SPLIT), lambda w: F.regexp_replace(w, r"^[-/|!}{]+|[-/|!}{]+$", ""))
+    return F.transform(F.split(F.lower(text), _SPLIT), lambda w: F.regexp_replace(w, r"^[-/|!}{']+|(?<!и)'+$|[-/|!}{]+$", ""))
 
 
 def anagram_hash(word: Column) -> Column:
@@ -153,7 +153,7 @@ def evidence(docs: DataFrame, id_col: str = "parsed_id", text_col: str = "text")
 
 _PY_PAGE = re.compile(rf"\s*(?:{_PAGE}|\d{{1,4}})\s*")
 _PY_CUT = re.compile(r"([\w/|!}{]*[^\W\d_])([-\u2010\u00ac\u00ad])[ \t]*\n[ \t]*([a-zа-яёäöüß][\w/|!}{]*)")
-_PY_WORD = re.compile(r"[\w/|!}{\-]+")
+_PY_WORD = re.compile(r"[\w/|!}{\-']+")
 
 
 def _without_edges(lines: list[str]) -> list[str]:
@@ -210,6 +210,7 @@ def clean(text: str, cuts: list[str], fixes: dict[str, str]) -> str:
     def fix(m: re.Match) -> str:
         w = m.group()
         core = w.strip("-/|!}{")
+        core = core if core.endswith("и'") else core.strip("'")
         right = fixes.get(core.lower())
         if right is None:
             return w
