@@ -29,9 +29,14 @@ FREQUENT, RATIO = 3, 30
 _HASH_BITS = (1 << 40) - 1
 
 
-def words_of(text: Column) -> Column:
-    """Lower-case words with what misreading puts inside them."""
-    return F.transform(F.split(F.lower(text), _SPLIT), lambda w: F.regexp_replace(w, r"^[-/|!}{']+|(?<!и)'+$|[-/|!}{]+$", ""))
+def raw_words(text: Column) -> Column:
+    """Lower-case words with what misreading puts inside them, and with signs around them."""
+    return F.explode(F.split(F.lower(text), _SPLIT))
+
+
+def bare(word: Column) -> Column:
+    """A word without the signs around it."""
+    return F.regexp_replace(word, r"^[-/|!}{']+|(?<!и)'+$|[-/|!}{]+$", "")
 
 
 def anagram_hash(word: Column) -> Column:
@@ -40,8 +45,9 @@ def anagram_hash(word: Column) -> Column:
 
 def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all texts."""
-    words = docs.where(F.col(text_col).isNotNull()).select(F.explode(words_of(F.col(text_col))).alias("word"))
-    return words.where("length(word) between 3 and 60").groupBy("word").agg(F.count("*").alias("n"))
+    # counted first and stripped afterwards, so that the stripping sees every spelling once
+    raw = docs.where(F.col(text_col).isNotNull()).select(raw_words(F.col(text_col)).alias("raw")).where("length(raw) >= 3").groupBy("raw").agg(F.count("*").alias("n"))
+    return raw.select(bare(F.col("raw")).alias("word"), "n").where("length(word) between 3 and 60").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def aligned(wrong: str, right: str) -> bool:
@@ -129,8 +135,7 @@ def evidence(docs: DataFrame, id_col: str = "parsed_id", text_col: str = "text")
     vocab = cut_lineage(vocabulary(docs))
     right = cut_lineage(corrections(vocab))
     # distinct misread words are few, but their number grows; Spark sees the size and broadcasts or shuffles
-    shaped = F.filter(words_of(F.col("text")), lambda w: w.rlike(_SHAPE) & w.rlike(r"\p{L}{2}"))
-    tokens = docs.where(F.lower("text").rlike(_SHAPE)).select("id", F.explode(F.array_distinct(shaped)).alias("word"))
+    tokens = docs.where(F.lower("text").rlike(_SHAPE)).select("id", raw_words(F.col("text")).alias("raw")).where(F.col("raw").rlike(_SHAPE)).select("id", bare(F.col("raw")).alias("word"))
     fixes = tokens.join(right, "word").groupBy("id").agg(F.collect_set(F.struct("word", "right")).alias("fixes"))
     text = F.col("text")
     cut = docs.where(text.rlike(r"\p{L}[-\u2010\u00ac\u00ad][ \t]*\r?\n")).select(
