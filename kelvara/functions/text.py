@@ -133,3 +133,8 @@ def best_definition(text: Column, term: Column, longest: int = 100) -> Column:
     fit = F.filter(sentences(text), lambda s: F.contains(F.lower(s), F.lower(term)) & (F.length(s) < longest))
     ranked = F.transform(fit, lambda s, i: F.struct(F.length(s).alias("n"), i.alias("i"), s.alias("s")))
     return strip(F.array_min(ranked)["s"])
+
+
+def shortened(text: Column, longest: int, end: str = "...") -> Column:
+    """At most `longest` characters, with `end` where something was cut."""
+    return F.when(F.length(text) > longest, F.concat(F.substring(text, 1, longest), F.lit(end))).otherwise(text)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kelvara import lexicons as L
 from kelvara.functions import text as T
+from kelvara.operators import calculation, reporting
 
 
 def query_type(query: Column) -> Column:
@@ -166,3 +167,46 @@ def glossary_lookup(terms: DataFrame, glossary: DataFrame) -> DataFrame:
     hit = asked.join(F.broadcast(glossary.select("ord", F.col("term").alias("entry"), "definition")), F.contains("t", F.col("entry")) | F.contains("entry", F.col("t")))
     first = hit.groupBy("term").agg(F.min(F.struct((F.col("t") != F.col("entry")).alias("differs"), "ord", "entry", "definition")).alias("f"))
     return first.select("term", "f.entry", "f.definition")
+
+
+def useful_chunks(hits: DataFrame, least: int = 30, otherwise: int = 2) -> DataFrame:
+    """Hits with more than `least` characters; of questions without any, the first `otherwise`."""
+    w = Window.partitionBy("query_id")
+    long = F.length(T.strip(F.coalesce("text", F.lit("")))) > least
+    marked = hits.withColumn("long", long).withColumn("any", F.max("long").over(w)).withColumn("place", F.row_number().over(w.orderBy("rank", "result_id")))
+    return marked.where(F.col("long") | (~F.col("any") & (F.col("place") <= otherwise))).drop("long", "any", "place")
+
+
+def formulas_of_hits(hits: DataFrame, first: int = 3, each: int = 3) -> DataFrame:
+    """(query_id, raw, source): formulas of the first hits, a few of each, every formula once with its first source."""
+    top = hits.where(F.col("rank") <= first).select("query_id", "rank", "result_id", "doc_name", F.posexplode(F.slice(T.every(F.col("text"), T.FORMULA), 1, each)).alias("pos", "raw"))
+    once = top.groupBy("query_id", "raw").agg(F.min(F.struct("rank", "result_id", "pos", "doc_name")).alias("f"))
+    return once.select("query_id", "raw", F.col("f.doc_name").alias("source"))
+
+
+def answer(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, kind, answer, confidence, needs_clarification, questions, completeness): every question answered by its kind: a calculation, a
+    definition, a comparison, requirements, or else the beginning of the best hits. One plan over all questions; the parts meet on
+    query_id, each aggregated before the join."""
+    asked = queries.where("query is not null").select("query_id", "query", query_type(F.col("query")).alias("kind"))
+    lines = lambda c, order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda x: x[c]), "\n")
+    calc = calculation.answers(asked).select("query_id", "formula", "missing", "result", "status", F.col("confidence").alias("calc_confidence"))
+    defined = definitions(hits).groupBy("query_id").agg(F.min("definition").alias("definition"))
+    compared = compare(hits).withColumn("line", F.concat_ws(": ", "item", "info")).groupBy("query_id").agg(lines("line", "item").alias("comparison"))
+    ruled = requirements(hits.where(query_type(F.col("query")) == "regulatory"), ("query_id", "rank"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "marker"))
+    ruled = ruled.withColumn("n", place).where("n <= 5").groupBy("query_id").agg(lines("sentence", "n").alias("rules"))
+    found = reporting.extractive_answers(hits).withColumnRenamed("answer", "found")
+    all_ = asked
+    for part in (calc, defined, compared, ruled, found):
+        all_ = all_.join(part, "query_id", "left")
+    value = F.when(F.col("status") == "ok", F.format_string("%s = %.2f", "formula", "result")).when(F.col("missing") != "", F.concat(F.lit("missing: "), "missing"))
+    text = (
+        F.when(F.col("kind") == "calculation", value).when(F.col("kind") == "definition", F.col("definition")).when(F.col("kind") == "comparison", F.col("comparison"))
+        .when(F.col("kind") == "regulatory", F.col("rules"))
+    )
+    confidence = F.when((F.col("kind") == "calculation") & F.col("formula").isNotNull(), F.col("calc_confidence")).when(text.isNotNull(), 0.8).when(F.col("found").isNotNull(), 0.7).otherwise(0.2)
+    rows = all_.select(
+        "query_id", "kind", F.coalesce(text, "found").alias("answer"), confidence.alias("confidence"), F.col("formula").isNotNull().alias("has_formula"), (F.size(T.numbers(F.col("query"))) > 0).alias("has_parameters")
+    )
+    return completeness(rows).drop("has_formula", "has_parameters")

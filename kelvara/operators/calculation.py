@@ -109,3 +109,18 @@ def answers(queries: DataFrame, id_col: str = "query_id", text_col: str = "query
     status = F.when(F.col("missing") != "", "missing").when(F.col("result").isNull(), "error").otherwise("ok")
     confidence = F.when(F.col("missing") != "", 0.3).when(F.col("result").isNull(), 0.0).otherwise(0.9)
     return out.select(id_col, "formula", "missing", "result", status.alias("status"), confidence.alias("confidence"))
+
+
+def registry(spark) -> DataFrame:
+    """(formula, name, unit, source, parameters): the known formulas."""
+    return spark.createDataFrame([(k, n, u, s, ",".join(p)) for k, n, u, s, p in FORMULAS], "formula string, name string, unit string, source string, parameters string")
+
+
+def table_plan(query: Column, city: Column) -> Column:
+    """What to compute from a climate table for a question about a city: ventilation (needs a flow), heat_loss (needs area and resistance), else
+    gsop; null without a city or with a need unmet."""
+    low, p = F.lower(query), parameters(query)
+    air = F.contains(low, F.lit("вентиляц")) | F.contains(low, F.lit("расход теплоты")) | F.contains(low, F.lit("нагрев воздуха"))
+    wall = F.contains(low, F.lit("теплопотер")) | F.contains(low, F.lit("потери тепла")) | F.contains(low, F.lit("ограждени"))
+    flow = F.coalesce(F.nullif(F.regexp_extract(low, r"(\d+[.,]?\d*)\s*м³/ч", 1), F.lit("")), F.nullif(F.regexp_extract(low, r"расход\s*(\d+[.,]?\d*)", 1), F.lit("")), p["L"].cast("string"))
+    return F.when(city.isNull(), None).when(air, F.when(flow.isNotNull(), "ventilation")).when(wall, F.when(p["A"].isNotNull() & p["R"].isNotNull(), "heat_loss")).otherwise("gsop")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kelvara.config import SEARCH
 from kelvara.functions import text as T
-from kelvara.operators import agent, calculation, chunking, memory, reporting, retrieval, tables
+from kelvara.operators import agent, calculation, chunking, memory, providers, reporting, retrieval, tables
 from kelvara.plans import oracles, problems
 from kelvara.session import table
 
@@ -372,6 +372,45 @@ def graph_statistics(s, d):
     return reporting.graph_statistics(reporting.mention_graph(table(s, d, "parsed_documents"))).withColumn("density", F.round("density", 9))
 
 
+@query
+def useful_chunks(s, d):
+    return agent.useful_chunks(_hits(s, d)).select("query_id", "result_id")
+
+
+@query
+def hit_formulas(s, d):
+    return agent.formulas_of_hits(_hits(s, d))
+
+
+@query
+def shortened_results(s, d):
+    return table(s, d, "search_results").where("text is not null").select("result_id", T.shortened(F.col("text"), 200).alias("text"))
+
+
+@query
+def formula_registry(s, d):
+    return calculation.registry(s)
+
+
+@query
+def agent_answers(s, d):
+    return agent.answer(table(s, d, "queries"), _hits(s, d))
+
+
+@query
+def table_plans(s, d):
+    city = detect_city(s, d)
+    asked = table(s, d, "queries").join(city, "query_id").select("query_id", "city", calculation.table_plan(F.col("query"), F.col("city")).alias("plan"))
+    return asked.where("plan is not null")
+
+
+@query
+def prompts(s, d):
+    template = "Вопрос: {q}\n\nКонтекст:\n{c}\n\nОтвет:"
+    rows = reporting.contexts(_hits(s, d)).join(table(s, d, "queries").select("query_id", "query"), "query_id")
+    return rows.select("query_id", providers.prompts(template, q="query", c="context").alias("prompt"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search for the stated query set."""
     return hybrid_search(spark, sf_dir)

@@ -294,6 +294,15 @@ def sql() -> dict[str, str]:
     out["chat_turns"] = f"""with t as (select doc_id, generate_subscripts(a, 1) - 1 as turn, unnest(a) as p from (select doc_id, {turn} as a from documents where regexp_matches(text, '^(?:user|assistant): ')))
       select doc_id, turn::bigint as turn, regexp_extract(p, '^(user|assistant): ', 1) as role, regexp_replace(p, '^(?:user|assistant): ', '') as content from t"""
     out["standards_mentioned"] = f"select doc_id, standard, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '{STANDARD}')) as standard from documents) group by all"
+    long = f"length({strip("coalesce(text, '')")}) > 30"
+    out["useful_chunks"] = f"""with {HITS}, u as (select query_id, result_id, {long} as good, max(({long})::int) over (partition by query_id) as any_good, row_number() over (partition by query_id order by rank, result_id) as place from hits)
+      select query_id, result_id from u where good or (any_good = 0 and place <= 2)"""
+    out["hit_formulas"] = f"""with {HITS}, f as (select query_id, rank, result_id, doc_name, generate_subscripts(a, 1) as pos, unnest(a) as raw from (select *, regexp_extract_all(text, '{FORMULA}')[1:3] as a from hits where rank <= 3)),
+      r as (select *, row_number() over (partition by query_id, raw order by rank, result_id, pos) as k from f) select query_id, raw, doc_name as source from r where k = 1"""
+    out["shortened_results"] = "select result_id, case when length(text) > 200 then left(text, 200) || '...' else text end as text from search_results where text is not null"
+    out["formula_registry"] = "select * from (values " + ", ".join(f"({q(k)}, {q(n)}, {q(u)}, {q(src)}, {q(','.join(p))})" for k, n, u, src, p in L.FORMULAS) + ") as t(formula, name, unit, source, parameters)"
+    out["prompts"] = f"""with {HITS}, c as (select query_id, any_value(query) as query, string_agg('[' || rank || '] ' || coalesce(doc_name, '') || chr(10) || coalesce(text, ''), chr(10) || chr(10) order by rank) as context from hits group by query_id)
+      select query_id, 'Вопрос: ' || coalesce(query, '') || chr(10) || chr(10) || 'Контекст:' || chr(10) || context || chr(10) || chr(10) || 'Ответ:' as prompt from c"""
     edges = f"e as (select distinct doc_name, unnest(regexp_extract_all(text, '{STANDARD}')) as standard from parsed_documents where doc_name is not null)"
     graph = f"{edges}, g as (select doc_name as node, 'document' as type, count(*) as degree from e group by doc_name union all select standard, 'standard', count(*) from e group by standard)"
     out["mention_graph"] = f"with {graph} select node, type, degree from g"

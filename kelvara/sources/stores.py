@@ -34,6 +34,17 @@ def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return out
 
 
+def index_files(spark: SparkSession, folder: str, target: str) -> DataFrame:
+    """Parses the files of `folder`, rebuilds the index under `target` and returns the parsed documents. Chunks are keyed by a hash of the
+    path and their place."""
+    from kelvara.sources import files
+
+    docs = files.parse(files.scan(spark, folder).where("supported"))
+    each = docs.where("parsed").select(F.xxhash64("path").alias("parsed_id"), "doc_name", F.posexplode("chunks").alias("chunk_id", "text"))
+    save_index(each, target)
+    return docs
+
+
 def append_log(rows: DataFrame, folder: str) -> None:
     """Rows as JSON lines, appended."""
     rows.write.mode("append").json(folder)
