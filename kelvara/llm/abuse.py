@@ -179,6 +179,7 @@ _IGNORED = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff\ufe00-\ufe0f]")
 _WIDE = re.compile("[\uff01-\uff5e\ufb00-\ufb06\U0001d400-\U0001d7ff\u0300-\u036f]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_](?:[.\-_·*•]|\s(?=[^\W\d_](?:[\s.!?,]|$)))){3,}[^\W\d_](?![^\W_])")
 _TOKEN = re.compile(r"[^\W_]+(?:[*@#$%&'’0-9]+[^\W_]+)*[*@#$]*|[«»\"“”„]|[.!?\n]")
+_FOREIGN = re.compile(r"[^\x00-\x7fа-яёäöüßіјѕһο]")
 _MASK = set("*@#$%&")
 _CYR, _LAT = re.compile("[а-яё]"), re.compile("[a-zäöüß]")
 
@@ -287,7 +288,8 @@ class Scorer:
         return known
 
     def _token(self, t: str) -> frozenset[int] | None:
-        w = t.strip("'’")
+        # letters of further alphabets inside a word are noise
+        w = _FOREIGN.sub("", t.strip("'’"))
         if len(w) > 40 or len(w) < 2 or w.isdigit() or w in INNOCENT:
             return None
         if _CYR.search(w) and _LAT.search(w):
