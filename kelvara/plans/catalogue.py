@@ -11,7 +11,7 @@ from kelvara.config import SEARCH
 from kelvara.functions import text as T
 from kelvara.operators import agent, calculation, chunking, memory, providers, reporting, retrieval, tables
 from kelvara.plans import oracles, problems
-from kelvara.session import table
+from kelvara.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -32,7 +32,7 @@ def _hits(s: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(s: SparkSession, d: str) -> DataFrame:
-    return chunking.stored_chunks(table(s, d, "parsed_documents"))
+    return chunking.stored_chunks(spread(table(s, d, "parsed_documents").select("parsed_id", "doc_name", "chunks")))
 
 
 @query
@@ -69,7 +69,7 @@ def sentence_split(s, d):
 
 @query
 def chunk_documents(s, d):
-    return chunking.chunks(table(s, d, "documents"))
+    return chunking.chunks(spread(table(s, d, "documents").select("doc_id", "text")))
 
 
 @query
@@ -95,7 +95,7 @@ def table_like_flag(s, d):
 
 @query
 def doc_metadata(s, d):
-    return reporting.document_metadata(table(s, d, "documents"))
+    return reporting.document_metadata(spread(table(s, d, "documents").select("doc_id", "text")))
 
 
 @query
@@ -105,7 +105,7 @@ def index_diagnostics(s, d):
 
 @query
 def token_stats(s, d):
-    each = table(s, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    each = spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
     return each.groupBy("token").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
 
 

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelvara.operators import records
-from kelvara.session import cut_lineage, table
+from kelvara.session import cut_lineage, spread, table
 
 
 def _loaded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    loaded = cut_lineage(records.load_tables(table(spark, sf_dir, "extracted_tables"), table(spark, sf_dir, "common_units")))
+    loaded = cut_lineage(records.load_tables(spread(table(spark, sf_dir, "extracted_tables").select("table_id", "title", "headers", "rows", "raw_text")), table(spark, sf_dir, "common_units")))
     return loaded, records.table_values(loaded)
 
 
