@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelvara.llm import abuse, bpe, encodings, lookalikes, neighbours, packing, scans, splitting
-from kelvara.session import table
+from kelvara.session import spread, table
 
 
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.evidence(table(spark, sf_dir, "parsed_documents")).select("parsed_id").distinct()
+    return scans.evidence(spread(table(spark, sf_dir, "parsed_documents").select("parsed_id", "text"))).select("parsed_id").distinct()
 
 
 def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abuse.score_documents(table(spark, sf_dir, "documents"))
+    return abuse.score_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+    return bpe.encode_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
