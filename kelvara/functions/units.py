@@ -84,7 +84,7 @@ _SAME = str.maketrans({
 })
 _FREE = set(" .()[]{}·,;:'\"_°")
 #: The share of a spelling's length that may be edited at full cost.
-MOST_EDITS = 0.15
+MOST_EDITS = 0.12
 
 
 def units() -> dict[tuple[str, str], tuple[float, float]]:
@@ -188,6 +188,8 @@ _VALUE = re.compile(
     r"(?P<unit>.*)",
     re.IGNORECASE | re.DOTALL,
 )
+# letters that stand where a digit was misread
+_NOT_UNIT = re.compile(r"[ОOоoЗбSlI|]{1,2}(?:[\s\d.,]|$)")
 _LOWER, _UPPER = re.compile(r"[≥>⩾]|не (?:менее|ниже)|от|свыше|более|выше|мин|min|at least|not less|ab"), re.compile(r"[≤<⩽]|не (?:более|выше|свыше)|до|менее|ниже|макс|max|up to|at most|not more|bis")
 _SUPER = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻", "0123456789+-")
 #: Cells that mean "no value". Fixed values.
@@ -230,7 +232,7 @@ def read_value(cell: str | None) -> tuple[str, float | None, float | None, str |
     elif bound and _LOWER.match(bound):
         high = None
     unit = m["unit"].strip()
-    if unit and (unit[0] in ".,;:" or unit[0].isdigit()):
+    if unit and (unit[0] in ".,;:" or unit[0].isdigit() or _NOT_UNIT.match(unit)):
         return "bad", None, None, None
     return "value", low, high, unit or None
 

@@ -312,7 +312,7 @@ def sound_cells(loaded: DataFrame, values: DataFrame) -> DataFrame:
     )
 
 
-_LAMBDA = r"(?i)(?:λ|lambda|теплопроводност\p{L}*|conductivit\p{L}*)"
+_LAMBDA = r"(?iu)(?:λ|lambda|теплопроводност\p{L}*|conductivit\p{L}*)"
 
 
 def _own_text(column: str) -> Column:

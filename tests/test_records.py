@@ -22,7 +22,7 @@ def load(spark, rows):
     [
         ("12,5", ("value", 12.5, 12.5, None)), ("10 041", ("value", 10041.0, 10041.0, None)), ("1.234,5", ("value", 1234.5, 1234.5, None)), ("−3 °F", ("value", -3.0, -3.0, "°F")), ("2,57·10^1", ("value", 25.7, 25.7, None)),
         ("1,72E+01 мм", ("value", 17.2, 17.2, "мм")), ("1 – 2", ("value", 1.0, 2.0, None)), ("1...2 m", ("value", 1.0, 2.0, "m")), ("2 ± 0,5", ("value", 1.5, 2.5, None)), ("≥ 3", ("value", 3.0, None, None)),
-        ("не более 3 мм", ("value", None, 3.0, "мм")), ("", ("missing",)), (" — ", ("missing",)), ("н/д", ("missing",)), ("#Н/Д", ("bad",)), ("да", ("bad",)), ("8,8,93", ("bad",)), ("--5", ("bad",)), ("32.,9", ("bad",)), (None, ("missing",)),
+        ("не более 3 мм", ("value", None, 3.0, "мм")), ("", ("missing",)), (" — ", ("missing",)), ("н/д", ("missing",)), ("#Н/Д", ("bad",)), ("да", ("bad",)), ("8,8,93", ("bad",)), ("--5", ("bad",)), ("32.,9", ("bad",)), ("371О kgf/cm²", ("bad",)), ("27,О3", ("bad",)), (None, ("missing",)),
     ],
 )
 def test_values(cell, want):
@@ -89,11 +89,12 @@ def test_materials(spark):
     rows = [
         (1, "Плита", 40.0, "cat_05", None), (2, "Плита, λ в Вт/(м·К)", 0.04, "cat_05", None), (3, "Плита", 0.04, None, "плотность по паспорту, кг/м³"), (4, "Плита", 40.0, "cat_01 ([мВт/(м·К)])", None),
         (5, "Плита", None, "cat_05", None), (6, "Плита", 1.0, "нет", "Lambda in kcal/(m·h·°C)"),
+        (7, "Плита", 40.0, None, "Теплопроводность в мВт/м·К"),
     ]
     m = spark.createDataFrame(rows, "material_id bigint, name string, lambda_value double, source string, remark string")
     s = spark.createDataFrame([("cat_05", "All lambda values are in mW/(m·K)."), ("cat_01", None)], "source string, about string")
     got = {r.material_id: (r.unit, r.is_common, round(r.lambda_common, 4)) for r in records.material_values(m, s).collect()}
-    assert got == {1: ("mW/(m·K)", False, 0.04), 2: ("W/(m·K)", True, 0.04), 3: ("W/(m·K)", True, 0.04), 4: ("mW/(m·K)", False, 0.04), 6: ("kcal/(m·h·°C)", False, 1.163)}
+    assert got == {1: ("mW/(m·K)", False, 0.04), 2: ("W/(m·K)", True, 0.04), 3: ("W/(m·K)", True, 0.04), 4: ("mW/(m·K)", False, 0.04), 6: ("kcal/(m·h·°C)", False, 1.163), 7: ("mW/(m·K)", False, 0.04)}
 
 
 def test_empty_tables(spark):
