@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +40,8 @@ def weighted(counts: DataFrame, weights: DataFrame, keys: tuple[str, ...]) -> Da
 
 
 def lexical_scores(chunks: DataFrame, queries: DataFrame, settings: Search = SEARCH) -> DataFrame:
-    """(query_id, keys, lexical): cosine of every chunk that shares a term with a query. Postings of other terms are dropped before the
-    join; the scores are summed map-side."""
+    """(query_id, keys, lexical): cosine of every chunk that shares a term with a query. The scores are summed map-side; a
+    stored index (sources.stores) has the weighted postings ready."""
     counts = term_counts(chunks)
     weights = idf(vocabulary(counts, settings.vocabulary), chunks)
     postings = weighted(counts, weights, KEY)

@@ -48,7 +48,7 @@ def aligned_tables(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def marker_tables(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The lines under a marker line up to a blank line; another marker before that drops what was gathered. The title is the line
-    before the marker if it is short."""
+    before the marker if there is a short one, else a number."""
     all_lines = lines(docs, id_col, F.contains("text", F.lit(TABLE_MARKER)))
     w = Window.partitionBy("id").orderBy("i")
     marker, blank = F.contains("line", F.lit(TABLE_MARKER)), T.strip(F.col("line")) == ""
@@ -66,7 +66,9 @@ def marker_tables(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         .withColumn("ended", F.max("blank").over(whole)).withColumn("last", F.max("island").over(Window.partitionBy("id")))
         .where("not marker and gap = 0 and (ended or island = last)")
     )
-    return _tables(body, "marker", 0.95, 1)
+    found = _tables(body, "marker", 0.95, 1)
+    number = F.row_number().over(Window.partitionBy("id").orderBy("start")).cast("string")
+    return found.withColumn("title", F.coalesce("title", F.concat(F.lit("Таблица "), number)))
 
 
 def keyword_tables(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
