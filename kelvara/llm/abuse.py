@@ -307,7 +307,7 @@ class Scorer:
         return found or None
 
     def score(self, text: str | None) -> tuple[float, str | None]:
-        """(score, category of the strongest cue)."""
+        """(score, category): the chance that any of the distinct cues found is right, and the category with the most weight."""
         if not text:
             return 0.0, None
         if _IGNORED.search(text):
@@ -338,17 +338,23 @@ class Scorer:
                 hits.append((place, ids))
             if t in REPORTING:
                 told.append(place)
-        best, category = 0.0, None
+        held: dict[int, float] = {}
         for at, (p, ids) in enumerate(hits):
             for i in ids:
                 for k in self.lex.by_stem.get(i, ()):
-                    cat, weight, parts = self.lex.cues[k]
-                    if weight > best and self._holds(parts, hits, at, p):
+                    _, weight, parts = self.lex.cues[k]
+                    if weight > held.get(k, 0.0) and self._holds(parts, hits, at, p):
                         if parts[0] == self.lex.classes["insult"] and told and (any(abs(p - r) <= 6 for r in told) or sum(q < p for q in quotes) % 2 and any(abs(p - r) <= 12 for r in told)):
                             weight *= 0.3
-                        if weight > best:
-                            best, category = weight, cat
-        return best, category
+                        held[k] = max(weight, held.get(k, 0.0))
+        if not held:
+            return 0.0, None
+        by_category: dict[str, float] = {}
+        miss = 1.0
+        for k, w in held.items():
+            miss *= 1 - w
+            by_category[self.lex.cues[k][0]] = by_category.get(self.lex.cues[k][0], 0.0) + w
+        return round(1 - miss, 6), max(sorted(by_category), key=by_category.get)
 
     @staticmethod
     def _holds(parts: list[frozenset[int]], hits: list[tuple[int, frozenset[int]]], at: int, p: int) -> bool:
