@@ -1,10 +1,11 @@
 """Nearest vectors for every vector, and all pairs above a cosine (problem 6).
 
 Block matrix join. Usable vectors are scaled to length 1, equal ones form one class, and every class goes to the
-cell of its nearest centroid; cells are cut into blocks of about `BLOCK` rows. Queries are grouped by cell as well,
-and a group meets only the blocks of the cells that its rows probe. Such a tile is first multiplied in int8; the quantisation error of both sides
-bounds every product, and only pairs that can still matter are recomputed from the float vectors. The tiles of one
-query block stream through one task, which keeps the k best per row, so memory stays at two blocks and the heaps.
+cell of its nearest centroid; cells are cut into blocks of about `BLOCK` rows. Every row also goes, as a query, to each
+cell that it probes, where queries form blocks of their own. A tile of a query block and an index block is first
+multiplied in int8; the quantisation error of both sides bounds every product, and only pairs that can still matter are
+recomputed from the float vectors. The tiles of one query block stream through one task, which keeps the k best per
+row; a row's lists from its cells are merged at the end.
 
 Work grows with the rows times the rows of the probed cells, not with the square of the rows.
 """
@@ -23,10 +24,8 @@ from pyspark.sql import functions as F
 from kelvara.session import cut_lineage
 
 BLOCK = 1024
-#: Rows of a query group; larger than a block, as every group draws copies of the blocks it meets.
+#: Rows of a query block; larger than a block, as every query block draws copies of the blocks of its cell.
 QUERY_BLOCK = 4096
-#: Rows that probe more cells than this form query groups of their own, so that they don't widen their neighbours' probes.
-WIDE = 8
 #: Rows per cell aimed at, and the most cells.
 CELL_ROWS, MAX_CELLS = 2000, 4096
 #: Vectors from which the centroids are fitted, at most; every vector is indexed.
@@ -118,44 +117,44 @@ def _probe_threshold(cosine: float):
 
 
 def _blocks(reps: DataFrame, centroids: np.ndarray, targets, dims: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks (cell, ib, ids, codes, scale, err, mat) of the index, and query groups (qb, targets, the same)."""
+    """Blocks (cell, ib, data) of the index, each row in its own cell, and of the queries (cell, qb, data), each row in every cell that
+    it probes."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, dims)
             sim = x @ centroids.T
-            home = sim.argmax(axis=1).astype(np.int32)
-            group = np.where(targets(sim, centroids).sum(axis=1) > WIDE, np.int32(-1), home).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(home), pa.array(group)], names=["id", "unit", "cell", "grp"])
-
-    placed = cut_lineage(reps.select("id", "unit").mapInArrow(assign, "id bigint, unit binary, cell int, grp int"))
-
-    def packed(column: str, rows: int, with_targets: bool) -> DataFrame:
-        # at most MAX_CELLS + 1 rows; a hot cell is spread over as many blocks as its rows need
-        counts = placed.groupBy(column).agg(F.count("*").alias("n")).collect()
-        parts = placed.sparkSession.createDataFrame([(r[0], max(1, math.ceil(r.n / rows))) for r in counts] or [(-2, 1)], f"{column} int, parts int")
-
-        def block(table: pa.Table) -> pa.Table:
-            order = table.sort_by("id")
-            x = np.frombuffer(b"".join(order["unit"].to_pylist()), np.float32).reshape(-1, dims)
-            scale = np.maximum(np.abs(x).max(axis=1), 1e-12) / 127
-            codes = np.rint(x / scale[:, None]).astype(np.int8)
-            err = np.linalg.norm(x - codes * scale[:, None], axis=1)
-            key = int(order[column][0].as_py())
-            to = np.flatnonzero(targets(x @ centroids.T, centroids).any(axis=0)) if with_targets else np.zeros(0)
-            return pa.table({
-                "key": pa.array([key], pa.int32()), "bid": pa.array([(key + 1 << 32) | int(order["part"][0].as_py())], pa.int64()),
-                "ids": [order["id"].to_numpy().astype(np.int64).tobytes()], "codes": [codes.tobytes()], "scale": [scale.astype(np.float32).tobytes()],
-                "err": [err.astype(np.float32).tobytes()], "mat": [x.tobytes()], "targets": pa.array([to.astype(np.int32).tolist()], pa.list_(pa.int32())),
-            })
-
-        salted = placed.join(F.broadcast(parts), column).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        schema = "key int, bid bigint, ids binary, codes binary, scale binary, err binary, mat binary, targets array<int>"
-        return salted.select("id", "unit", column, "part").groupBy(column, "part").applyInArrow(block, schema)
-
-    index = packed("cell", BLOCK, False).select(F.col("key").alias("cell"), F.col("bid").alias("ib"), *_DATA)
-    groups = cut_lineage(packed("grp", QUERY_BLOCK, True).select(F.col("bid").alias("qb"), "targets", *_DATA))
-    return index, groups
+            probed = targets(sim, centroids)
+            offsets = np.concatenate([[0], np.cumsum(probed.sum(axis=1))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(probed)[1].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sim.argmax(axis=1).astype(np.int32)), lists], names=["id", "unit", "home", "probed"])
+
+    placed = cut_lineage(reps.select("id", "unit").mapInArrow(assign, "id bigint, unit binary, home int, probed array<int>"))
+
+    def block(table: pa.Table) -> pa.Table:
+        order = table.sort_by("id")
+        x = np.frombuffer(b"".join(order["unit"].to_pylist()), np.float32).reshape(-1, dims)
+        scale = np.maximum(np.abs(x).max(axis=1), 1e-12) / 127
+        codes = np.rint(x / scale[:, None]).astype(np.int8)
+        err = np.linalg.norm(x - codes * scale[:, None], axis=1)
+        cell = int(order["cell"][0].as_py())
+        return pa.table({
+            "cell": pa.array([cell], pa.int32()), "bid": pa.array([(cell << 32) | int(order["part"][0].as_py())], pa.int64()),
+            "ids": [order["id"].to_numpy().astype(np.int64).tobytes()], "codes": [codes.tobytes()], "scale": [scale.astype(np.float32).tobytes()],
+            "err": [err.astype(np.float32).tobytes()], "mat": [x.tobytes()],
+        })
+
+    def packed(rows: DataFrame, size: int) -> DataFrame:
+        # at most MAX_CELLS rows; a hot cell is spread over as many blocks as its rows need
+        counts = rows.groupBy("cell").agg(F.count("*").alias("n")).collect()
+        parts = placed.sparkSession.createDataFrame([(r.cell, max(1, math.ceil(r.n / size))) for r in counts] or [(-1, 1)], "cell int, parts int")
+        salted = rows.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        schema = "cell int, bid bigint, ids binary, codes binary, scale binary, err binary, mat binary"
+        return salted.select("id", "unit", "cell", "part").groupBy("cell", "part").applyInArrow(block, schema)
+
+    index = packed(placed.select("id", "unit", F.col("home").alias("cell")), BLOCK).withColumnRenamed("bid", "ib")
+    groups = packed(placed.select("id", "unit", F.explode("probed").alias("cell")), QUERY_BLOCK).withColumnRenamed("bid", "qb")
+    return index, cut_lineage(groups)
 
 
 _CODES = ("ids", "codes", "scale", "err")
@@ -186,10 +185,9 @@ def _exact(q: _Side, s: _Side, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _tiles(index: DataFrame, groups: DataFrame, data: tuple[str, ...]) -> DataFrame:
-    """Query groups with the blocks they meet, each group's rows together: its own first, then the blocks. Only the columns of `data`
-    are drawn."""
-    wanted = groups.select("qb", F.explode("targets").alias("cell"))
-    other = wanted.join(index, "cell").select("qb", "ib", *data)
+    """Query blocks with the blocks of their cell, each query block's rows together: its own first, then the index's. Only the
+    columns of `data` are drawn."""
+    other = groups.select("qb", "cell").join(index, "cell").select("qb", "ib", *data)
     own = groups.select("qb", F.lit(-1).cast("bigint").alias("ib"), *data)
     return own.unionByName(other).repartition("qb").sortWithinPartitions("qb", "ib")
 
@@ -236,7 +234,7 @@ def pairs_above(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", cos
             hit = pa.array(np.einsum("ij,ij->i", x, y) >= cosine)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(hit) for c in (0, 1)], names=["a", "b"])
 
-    # a pair is found from either side, as both blocks probe each other; the smaller id's side reports it
+    # either row of a pair probes the other's cell; the smaller id reports it
     # the tiles travel as int8 alone; the few pairs that survive their error bound are recomputed from the float vectors
     near = _tiles(index, groups, _CODES).mapInArrow(run, "a bigint, b bigint")
     x, y = reps.select(F.col("id").alias("a"), F.col("unit").alias("ua")), reps.select(F.col("id").alias("b"), F.col("unit").alias("ub"))
@@ -248,12 +246,11 @@ def pairs_above(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", cos
     return links.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("vec_lo"), F.greatest("x", "y").alias("vec_hi")).distinct()
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int = 10, probes: int = 8, dims: int = 64) -> DataFrame:
+def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int = 10, probes: int = 4, dims: int = 64) -> DataFrame:
     """(vec_id, rank, neighbour_id, cosine): the k nearest other vectors of every usable vector, cosine descending,
     ties by smaller id.
 
-    Approximate in one respect only: a row is compared with the vectors of its `probes` nearest cells (and of the
-    cells that the rest of its group probes). Fewer than k other vectors give fewer rows. Equal vectors are neighbours at
+    Approximate in one respect only: a row is compared with the vectors of its `probes` nearest cells. Fewer than k other vectors give fewer rows. Equal vectors are neighbours at
     cosine 1. Unusable vectors and empty tables give no rows; other columns are left out.
     """
     members = cut_lineage(_classes(usable_vectors(df, id_col, vec_col, dims)))

@@ -24,7 +24,6 @@ def small_blocks(monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 64)
     monkeypatch.setattr(neighbours, "QUERY_BLOCK", 128)
     monkeypatch.setattr(neighbours, "CELL_ROWS", 60)
-    monkeypatch.setattr(neighbours, "WIDE", 3)
 
 
 ODD = [(9001, None), (9002, [0.0] * D), (9003, [float("nan")] * D), (9004, [1.0]), (9005, [float("inf")] + [1.0] * (D - 1)), (9006, [None] + [1.0] * (D - 1))]
