@@ -30,7 +30,7 @@ QUERY_BLOCK = 4096
 CELL_ROWS, MAX_CELLS = 2000, 4096
 #: Vectors from which the centroids are fitted, at most; every vector is indexed.
 FIT_ROWS = 32_768
-FIT_ROUNDS = 8
+FIT_ROUNDS = 12
 
 
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str, dims: int) -> DataFrame:
@@ -246,7 +246,7 @@ def pairs_above(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", cos
     return links.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("vec_lo"), F.greatest("x", "y").alias("vec_hi")).distinct()
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int = 10, probes: int = 4, dims: int = 64) -> DataFrame:
+def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int = 10, probes: int = 6, dims: int = 64) -> DataFrame:
     """(vec_id, rank, neighbour_id, cosine): the k nearest other vectors of every usable vector, cosine descending,
     ties by smaller id.
 
