@@ -200,7 +200,7 @@ def test_harmless_text_is_left_alone(scorer, text):
     assert scorer.score(text)[0] < abuse.THRESHOLD
 
 
-def test_held_out_samples(scorer):
+def test_unanimous_samples(scorer):
     import collections
 
     import pyarrow.parquet as pq
