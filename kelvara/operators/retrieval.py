@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelvara.config import SEARCH, Search
@@ -50,8 +50,8 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame, settings: Search = SEA
     return postings.join(terms, "term").groupBy("query_id", *KEY).agg(F.sum(F.col("w") * F.col("qw")).alias("lexical"))
 
 
-def _packed(df: DataFrame, id_cols: list[str], vec_col: str, dims: int) -> DataFrame:
-    """Rows packed into blocks, one per Arrow batch: (ids binary, mat binary). Unusable vectors are left out."""
+def _packed(df: DataFrame, id_cols: list[str], vec_col: str, dims: int, unit: bool = True) -> DataFrame:
+    """Rows packed into blocks, one per Arrow batch: (ids binary, mat binary), scaled to length 1 if `unit`. Unusable vectors are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +64,7 @@ def _packed(df: DataFrame, id_cols: list[str], vec_col: str, dims: int) -> DataF
             good = np.isfinite(norm) & (norm > 0)
             ids = np.stack([np.asarray(batch.column(i).take(pa.array(keep)).to_numpy(zero_copy_only=False), np.int64) for i in range(len(id_cols))], axis=1)[good]
             for at in range(0, len(ids), 2048):
-                mat = x[good][at : at + 2048] / norm[good][at : at + 2048, None]
+                mat = x[good][at : at + 2048] / (norm[good][at : at + 2048, None] if unit else 1.0)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[at : at + 2048].tobytes()]), pa.array([mat.tobytes()])], names=["ids", "mat"])
 
     return df.where(F.col(vec_col).isNotNull()).select(*(F.col(c).cast("bigint") for c in id_cols), F.col(vec_col).cast("array<double>")).mapInArrow(run, "ids binary, mat binary")
@@ -94,14 +94,55 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = SEARCH.top_
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def hybrid_scores(lexical: DataFrame, vectors: DataFrame, queries: DataFrame, settings: Search = SEARCH) -> DataFrame:
-    """(query_id, keys, lexical, semantic, score) of every chunk that shares a term with a query; a chunk without a vector has semantic 0,
-    one with several the best of them."""
+def _usable(vectors: DataFrame) -> DataFrame:
+    """(keys, vec): the vectors that have a direction."""
+    return vectors.where("vec is not null and size(vec) > 0 and not exists(vec, x -> x is null or isnan(x))").where(_length("vec") > 0).select(*KEY, "vec")
+
+
+def _length(vec: str) -> Column:
+    return F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def semantic_candidates(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, settings: Search = SEARCH, dims: int = 64) -> DataFrame:
+    """(query_id, keys): the top_k chunks of every query by semantic score alone (the best vector of a chunk), over all chunks.
+
+    The lexical part is never negative, so whatever stands before a chunk in this order (by the rounded score, ties by key) stands
+    before it in the hybrid order too: a chunk without a common term that belongs to the hybrid top_k is among these.
+    """
+    k, weight = settings.top_k, settings.semantic_weight
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                q, v = (np.frombuffer(r[n], np.float64).reshape(-1, dims) for n in ("qmat", "mat"))
+                qi, ids = np.frombuffer(r["qids"], np.int64).reshape(-1, 1), np.frombuffer(r["ids"], np.int64).reshape(-1, 2)
+                by_key = np.lexsort((ids[:, 1], ids[:, 0]))
+                keys, first = np.unique(ids[by_key], axis=0, return_index=True)
+                for at in range(0, len(q), 512):
+                    s = np.round(weight * np.maximum.reduceat(q[at : at + 512] @ v[by_key].T, first, axis=1) + 1e-9, 6)
+                    # the columns are in the order of the keys, so a stable sort breaks ties by key
+                    order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    rows, cols = np.repeat(np.arange(len(s)), order.shape[1]), order.ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(qi[at + rows, 0]), pa.array(keys[cols, 0]), pa.array(keys[cols, 1]), pa.array(s[rows, cols])], names=["query_id", *KEY, "part"])
+
+    asked = queries.where(T.strip(F.col("query")) != "").select("query_id", "qvec")
+    blocks = _packed(asked, ["query_id"], "qvec", dims, unit=False).select(F.col("ids").alias("qids"), F.col("mat").alias("qmat"))
+    held = _usable(vectors).join(chunks.select(*KEY).distinct(), list(KEY), "left_semi")
+    found = _packed(held, list(KEY), "vec", dims).join(blocks).mapInArrow(run, "query_id bigint, parsed_id bigint, chunk_id bigint, part double")
+    best = found.groupBy("query_id", *KEY).agg(F.max("part").alias("part"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("part"), *KEY))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", *KEY)
+
+
+def hybrid_scores(lexical: DataFrame, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, settings: Search = SEARCH, dims: int = 64) -> DataFrame:
+    """(query_id, keys, lexical, semantic, score) of every chunk that shares a term with a query and of those without one that can be
+    among its top_k; a chunk without a common term has lexical 0, one without a vector semantic 0, one with several the best of them."""
     dot = F.aggregate(F.zip_with("qvec", "vec", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda x, y: x + y)
-    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    usable = vectors.where("vec is not null and size(vec) > 0 and not exists(vec, x -> x is null or isnan(x))").where(length > 0)
-    pairs = lexical.join(queries.select("query_id", "qvec"), "query_id").join(usable.select(*KEY, "vec"), list(KEY), "left")
-    each = pairs.withColumn("semantic", F.coalesce(dot / length, F.lit(0.0)))
+    near = semantic_candidates(chunks, vectors, queries, settings, dims).withColumn("lexical", F.lit(0.0))
+    candidates = lexical.select("query_id", *KEY, "lexical").unionByName(near)
+    # the pairs are shuffled without vectors; the stated queries are few
+    pairs = candidates.join(_usable(vectors), list(KEY), "left").join(F.broadcast(queries.select("query_id", "qvec")), "query_id")
+    each = pairs.withColumn("semantic", F.coalesce(dot / _length("vec"), F.lit(0.0)))
     best = each.groupBy("query_id", *KEY).agg(F.max("lexical").alias("lexical"), F.max("semantic").alias("semantic"))
     return best.withColumn("score", settings.semantic_weight * F.col("semantic") + settings.lexical_weight * F.col("lexical"))
 

@@ -135,7 +135,8 @@ def semantic_search(s, d):
 @query
 def hybrid_search(s, d):
     q = _questions(s, d)
-    scores = retrieval.hybrid_scores(retrieval.lexical_scores(_chunks(s, d), q), table(s, d, "chunk_vectors"), q)
+    chunks = _chunks(s, d)
+    scores = retrieval.hybrid_scores(retrieval.lexical_scores(chunks, q), chunks, table(s, d, "chunk_vectors"), q)
     return retrieval.ranked(scores, "score").select("query_id", F.col("rank").cast("bigint").alias("rank"), "parsed_id", "chunk_id", "score")
 
 

@@ -153,6 +153,33 @@ def test_lexical_scores_against_brute_force(spark):
     assert all(math.isclose(got[i], want[i]) for i in got)
 
 
+def test_hybrid_search_scores_chunks_without_a_common_term(spark):
+    rng = np.random.default_rng(5)
+    words = ["стена", "тепло", "окно", "крыша", "насос", "труба"]
+    texts = [" ".join(rng.choice(words, 3)) for _ in range(300)]
+    chunks = spark.createDataFrame([(i // 4, i % 4, t) for i, t in enumerate(texts)], "parsed_id bigint, chunk_id bigint, text string")
+    vec = rng.normal(size=(300, 8)).astype(np.float32)
+    rows = [(i, i // 4, i % 4, vec[i].tolist()) for i in range(300)] + [(300, 0, 0, vec[7].tolist()), (301, 999, 0, vec[9].tolist()), (302, 1, 1, None)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, parsed_id bigint, chunk_id bigint, vec array<float>")
+    asked = [(1, "стена", vec[5].tolist()), (2, "неизвестно", vec[9].tolist()), (3, " ", vec[9].tolist()), (4, None, vec[9].tolist()), (5, "окно", None)]
+    asked = [(i, t, v if v is None else (np.array(v) / np.linalg.norm(v)).tolist()) for i, t, v in asked]
+    queries = spark.createDataFrame(asked, "query_id bigint, query string, qvec array<float>")
+    lexical = retrieval.lexical_scores(chunks, queries)
+    lex = {(r.query_id, r.parsed_id, r.chunk_id): r.lexical for r in lexical.collect()}
+    got = [(r.query_id, r["rank"], r.parsed_id, r.chunk_id, r.score) for r in retrieval.ranked(retrieval.hybrid_scores(lexical, chunks, vectors, queries, dims=8), "score").collect()]
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    want = []
+    for qid, _, qv in (a for a in asked if a[0] in (1, 2, 5)):
+        sem = np.zeros(300) if qv is None else unit.astype(float) @ np.array(qv)
+        if qv is not None:
+            sem[0] = max(sem[0], sem[7])
+        scores = [(0.7 * sem[i] + 0.3 * lex.get((qid, i // 4, i % 4), 0.0), i) for i in range(300)]
+        best = sorted(((-round(x + 1e-9, 6), i) for x, i in scores if round(x + 1e-9, 6) >= 0.15))[:5]
+        want += [(qid, n + 1, i // 4, i % 4, pytest.approx(-x, abs=2e-6)) for n, (x, i) in enumerate(best)]
+    assert sorted(got) == want
+    assert any((q, p, c) not in lex for q, _, p, c, _ in got if q == 1) and sum(q == 2 for q, *_ in got) == 5
+
+
 def test_semantic_search_against_brute_force(spark):
     rng = np.random.default_rng(1)
     v, q = rng.normal(size=(300, 8)), rng.normal(size=(5, 8))
