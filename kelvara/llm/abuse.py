@@ -159,7 +159,16 @@ sexual | 0.9 | sex mit/with you/dir/me
 # Words that the lexicon's neighbourhood reaches but that mean something else.
 INNOCENT = set(
     "дебит дебита дебиту урон уран сукно скотч гадать падал матч порт порог порты порто порта чёрт тварный жопа2 modem motor butch batch witch pitch ditch brich titles tilts ticks tits2 print "
-    "portion node nodes nodal porno2 заткни2 идио титан титана фиксируется fix fixed fixes flick click lack luck look loses lose closer laser doser like lock kick link milk hell2 bord".split()
+    "portion node nodes nodal porno2 заткни2 идио титан титана фиксируется fix fixed fixes flick click lack luck look loses lose closer laser doser like lock kick link milk hell2 bord "
+    "чудак чудака чудаки чудаков судак судака судаки будил будила будили судил судила судили нудил крыша крыла скаты скобы котел котёл котлы котлов барак бараки выводок выводки застанет застанут закупаю "
+    "тупика ступица ступицы ступицей гнилой гнила регенерат регенератор регенератора регенераторы регенераторов болтанка болтанки дебитор дебитора дебиторы дебиторов дебиты дебитом дебите "
+    "стены стена стене тепло теплу теплы найди зайду голый полые полую своим концу кончая белые полоса давать знать гнуть мешать решать клетка кухня кухни торец торцы торцев торцам торца далек далеко далёк "
+    "верно верны низкие низкая выбирает выбирают треть родина ходила водила черта "
+    "report reports reported reporter reporting bleed freed greed creed breeze beide right where whereas whereby wherein wholes wholesale whose shore shores shoreline chore honey idiom idioms idiomatic boron "
+    "birch birches pitched pitches pitching batched batches batching ditches botch hitch hitches regard regards regarding regarded regardless reward rewards rewarded rewarding poser lover loner leser löser losen losem "
+    "brick bricks trick tricks price prices banker bankers tanker tankers walker walkers wander dance dances danced ounce spine shine swing twine books booms named baked knees kneed loaned chose bread bleak fifth passed massed "
+    "reserve reserves dudes nudge corny horns mitten bitten kitten dicken nicken picken ticken genickt gepickt getickt verdeck verdeckt verdeckte verdeckten verrückt verrücken verrechnet verrechnen verrechnung "
+    "druck latten matten hatten masse kasse tasse gasse nasse wegen lesen presse bleche nacht teller heller wollen wollte wollten ".split()
 )
 # Words that tell of language instead of using it.
 REPORTING = set("слово слова слову словом термин выражение фраза оскорбление оскорбления ругательство модератор цитата word words term phrase quote quoted insult moderator abusive remarks removed wort begriff zitat".split())
@@ -180,6 +189,7 @@ _WIDE = re.compile("[\uff01-\uff5e\ufb00-\ufb06\U0001d400-\U0001d7ff\u0300-\u036
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_](?:[.\-_·*•]|\s(?=[^\W\d_](?:[\s.!?,]|$)))){3,}[^\W\d_](?![^\W_])")
 _TOKEN = re.compile(r"[^\W_]+(?:[*@#$%&'’0-9]+[^\W_]+)*[*@#$]*|[«»\"“”„]|[.!?\n]")
 _FOREIGN = re.compile(r"[^\x00-\x7fа-яёäöüßіјѕһο]")
+_STRETCHED = re.compile(r"(.{1,2}?)\1{2,}")
 _MASK = set("*@#$%&")
 _CYR, _LAT = re.compile("[а-яё]"), re.compile("[a-zäöüß]")
 
@@ -232,8 +242,9 @@ class Lexicon:
         return i
 
     def match(self, token: str) -> frozenset[int]:
-        """Stems within the allowed distance of a token: none for stems under five letters, one edit from five on; a masked letter is
-        free, a swap of neighbours is one edit, a substituted letter only counts from seven letters on."""
+        """Stems within the allowed distance of a token: none for stems under five letters, one edit from five on (a letter inserted,
+        left out or substituted, or two neighbours swapped); a masked letter is free. Words of their own at such a distance are
+        in INNOCENT."""
         exact, fuzzy = set(), set()
         first = list(range(len(token) + 1))
         free = any(c in _MASK or c.isdigit() for c in token)
@@ -251,7 +262,7 @@ class Lexicon:
                     continue
                 new = [row[0] + 1]
                 for j, t in enumerate(token):
-                    swap = row[j] if t == c or t in _MASK else row[j] + (0.3 if t.isdigit() else 1.5)
+                    swap = row[j] if t == c or t in _MASK else row[j] + (0.3 if t.isdigit() else 1)
                     v = min(swap, row[j + 1] + (1 if t not in _MASK else 1), new[j] + (0 if t in _MASK and j and token[j - 1] in _MASK else 1))
                     if older is not None and j and t == letter and token[j - 1] == c and t != c:
                         v = min(v, older[j - 1] + 1)
@@ -290,6 +301,8 @@ class Scorer:
     def _token(self, t: str) -> frozenset[int] | None:
         # letters of further alphabets inside a word are noise
         w = _FOREIGN.sub("", t.strip("'’"))
+        if len(w) > 40:
+            w = _STRETCHED.sub(r"\1", w)
         if len(w) > 40 or len(w) < 2 or w.isdigit() or w in INNOCENT:
             return None
         if _CYR.search(w) and _LAT.search(w):
@@ -297,7 +310,7 @@ class Scorer:
             if w in INNOCENT:
                 return None
         found = self.lex.match(w)
-        if not found and (short := re.sub(r"(.{1,2}?)\1{2,}", r"\1", w)) != w:
+        if not found and (short := _STRETCHED.sub(r"\1", w)) != w:
             w = short
             found = self.lex.match(w)
         if not found and w.isascii() and w.isalpha():

@@ -200,6 +200,20 @@ def test_harmless_text_is_left_alone(scorer, text):
     assert scorer.score(text)[0] < abuse.THRESHOLD
 
 
+@pytest.mark.parametrize("word", ["идеот", "дибил", "кретен", "имбицил", "мудок", "asshale", "идибт", "morun", "schwachkupf", "ид" + "и" * 60 + "от"])
+def test_substituted_and_stretched_letters(scorer, word):
+    assert scorer.score(f"Согласуй узел, {word}, и пришли расчёт.")[0] >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["Котёл и регенератор: торец стены, выводки, ступица.", "Your books regard the lower brick shore where boron is passed.", "Der Druck der Latten wird verdeckt verrechnet; in der Nacht hatten wir Presse."])
+def test_words_one_letter_from_a_stem_are_innocent(scorer, text):
+    assert scorer.score(text)[0] < abuse.THRESHOLD
+
+
+def test_no_stem_is_innocent():
+    assert {w for w in abuse.INNOCENT if w in abuse.lexicon().stems} <= {"fix", "like"}
+
+
 def test_unanimous_samples(scorer):
     import collections
 
