@@ -135,18 +135,35 @@ _WORD = re.compile(r"\S+")
 _HIGH = re.compile(r"[^\x00-\x7f]")
 _GERMAN = set("äöüÄÖÜß")
 _RUN = re.compile("[а-яё]+")
-#: Clean rows from which the letter model is fitted, at most. Without any, letters count by LETTER_FREQUENCY alone.
-FIT_ROWS = 1_000
 #: Nats by which a run of words must look better under another pair of encodings.
 MARGIN = 5.5
 
 
-def fit_letters(texts: list[str]) -> dict[str, float]:
-    """Log-probabilities of Russian letter pairs ("^" stands for the start of a word), smoothed by letter frequencies."""
+def count_pairs(texts: list[str], run: re.Pattern[str] = _RUN) -> Counter:
+    """How often each letter pair occurs in the runs of letters of the texts; "^" stands for the start of a run."""
     pairs: Counter = Counter()
     for t in texts:
-        for w in _RUN.findall(t.lower()):
+        for w in run.findall(t.lower()):
             pairs.update(map("".join, zip("^" + w, w)))
+    return pairs
+
+
+def corpus_pairs(clean: DataFrame, text_col: str, runs: str) -> Counter:
+    """`count_pairs` of all distinct texts, counted in Spark: at most one row per letter pair reaches the driver."""
+    texts = clean.select(F.col(text_col).alias("t")).distinct()
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower("t"), F.lit(runs), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    pairs = words.select("n", F.explode(F.expr("transform(sequence(1, length(w)), i -> substr(concat('^', w), i, 2))")).alias("pair"))
+    return Counter({r.pair: r.n for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()})
+
+
+def fit_letters(texts: list[str]) -> dict[str, float]:
+    return letter_model(count_pairs(texts))
+
+
+def letter_model(pairs: Counter) -> dict[str, float]:
+    """Log-probabilities of Russian letter pairs ("^" stands for the start of a word), smoothed by letter frequencies, which count
+    alone where there are no pairs."""
+    pairs = Counter({p: n for p, n in pairs.items() if p[1] in LETTER_FREQUENCY})
     first: Counter = Counter()
     for p, n in pairs.items():
         first[p[0]] += n
@@ -324,8 +341,7 @@ def repair(docs: DataFrame, id_col: str = "parsed_id", text_col: str = "text") -
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col)
-    clean = docs.where(~suspicious(text) & text.rlike("[а-я]{4}")).select(text.alias("t")).limit(FIT_ROWS).collect()
-    letters = fit_letters([r.t for r in clean])
+    letters = letter_model(corpus_pairs(docs.where(~suspicious(text) & text.rlike("[а-я]{4}")), text_col, _RUN.pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(letters).restore

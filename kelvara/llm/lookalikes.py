@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelvara.llm.encodings import Restorer, fit_letters
+from kelvara.llm.encodings import _RUN, Restorer, corpus_pairs, count_pairs, letter_model
 from kelvara.llm.encodings import suspicious as maybe_garbled
 from kelvara.session import spread
 
@@ -56,16 +56,20 @@ for group in LOOK_ALIKE:
         _CLASS.setdefault(c, []).extend(m for m in members if m[0] != c)
 
 
+_LATIN_RUN = re.compile("[a-zäöüß]+")
+
+
 def fit_latin(texts: list[str]) -> dict[str, float]:
+    return latin_model(count_pairs(texts, _LATIN_RUN))
+
+
+def latin_model(pairs: Counter) -> dict[str, float]:
     """Log-probabilities of Latin letter pairs, smoothed evenly."""
-    pairs: Counter = Counter()
-    for t in texts:
-        for w in re.findall(r"[a-zäöüß]+", t.lower()):
-            pairs.update(map("".join, zip("^" + w, w)))
+    letters = "abcdefghijklmnopqrstuvwxyzäöüß"
+    pairs = Counter({p: n for p, n in pairs.items() if p[1] in letters})
     first: Counter = Counter()
     for p, n in pairs.items():
         first[p[0]] += n
-    letters = "abcdefghijklmnopqrstuvwxyzäöüß"
     return {a + b: math.log((pairs[a + b] + 0.5) / (first[a] + 15)) for a in "^" + letters for b in letters}
 
 
@@ -150,10 +154,6 @@ def has_signs(text: Column) -> Column:
     return text.rlike(f"[{INVISIBLE}{SPACES}{wide}{ACCENTS}]|{_MIXES}")
 
 
-#: Clean rows from which the letter models are fitted, at most.
-FIT_ROWS = 1_000
-
-
 def consistent(docs: DataFrame, id_col: str, text_col: str = "text", garbled_apart: bool = True) -> DataFrame:
     """(id_col, consistent string): the rows whose text differs from its consistent form, with that form.
 
@@ -162,8 +162,9 @@ def consistent(docs: DataFrame, id_col: str, text_col: str = "text", garbled_apa
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col)
-    clean = [r.t for r in docs.where(~has_signs(text) & ~maybe_garbled(text)).select(text.alias("t")).limit(FIT_ROWS).collect()]
-    cyrillic, latin = fit_letters(clean), fit_latin(clean)
+    pairs = corpus_pairs(docs.where(~has_signs(text) & ~maybe_garbled(text)), text_col, f"{_RUN.pattern}|{_LATIN_RUN.pattern}")
+    # "^" starts the runs of both alphabets; each model takes the pairs that end in its letters
+    cyrillic, latin = letter_model(pairs), latin_model(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normalise, restore = Normaliser(cyrillic, latin).normalise, Restorer(cyrillic).restore

@@ -75,6 +75,25 @@ def test_repair_of_rows(spark):
     assert encodings.repair(df.limit(0)).count() == 0
 
 
+def test_letter_pairs_are_counted_over_all_distinct_texts(spark):
+    texts = ["одна и та же строка"] * 1200 + PLAIN + ["The cavity fill, größer als мостик", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, text string").repartition(3)
+    distinct = ["одна и та же строка", *PLAIN, "The cavity fill, größer als мостик"]
+    both = f"{encodings._RUN.pattern}|{lookalikes._LATIN_RUN.pattern}"
+    got = encodings.corpus_pairs(df, "text", both)
+    assert got == encodings.count_pairs(distinct, re.compile(both))
+    assert encodings.letter_model(got) == encodings.fit_letters(distinct) and lookalikes.latin_model(got) == lookalikes.fit_latin(distinct)
+    assert encodings.letter_model(encodings.corpus_pairs(df.limit(0), "text", both)) == encodings.fit_letters([])
+
+
+def test_restoring_does_not_hang_on_what_is_stored_first(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(encodings, "letter_model", lambda pairs: seen.append(pairs) or LETTERS)
+    rows = [(i, "шшшшш щщщщщ") for i in range(1500)] + [(1500 + i, t) for i, t in enumerate(PLAIN)]
+    encodings.repair(spark.createDataFrame(rows, "parsed_id bigint, text string").coalesce(1))
+    assert seen[0]["шш"] == 4 and seen[0]["^с"] > 0
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="аб .,;\n!x", max_size=3000), st.integers(30, 200), st.integers(0, 20))
 def test_pieces_lose_nothing(text, limit, overlap):
