@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it; Java's \s only knows ASCII.
 WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 TOKEN = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_\-./]*[\p{L}\p{N}_])?"
 SENTENCE_END = rf"(?<=[.!?]){WS}+"
 NUMBER = r"-?\d+(?:[.,]\d+)?"
@@ -30,7 +31,7 @@ def every(text: Column, pattern: str, group: int = 0) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(text, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalize(text: Column) -> Column:

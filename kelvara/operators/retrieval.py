@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from kelvara.config import SEARCH, Search
 from kelvara.functions import text as T
+from kelvara.session import by_key, cut_lineage, spread
 
 KEY = ("parsed_id", "chunk_id")
+#: Stated queries up to this number go to every task as blocks (about 1 KB each); beyond it Spark pairs the blocks of both sides.
+SENT_QUERIES = 20_000
 
 
 def term_counts(chunks: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
@@ -28,7 +31,8 @@ def vocabulary(counts: DataFrame, most: int = SEARCH.vocabulary) -> DataFrame:
 
 def idf(vocab: DataFrame, documents: DataFrame) -> DataFrame:
     """(term, df, ctf, idf): ln((1 + N) / (1 + df)) + 1, N the number of indexed texts."""
-    n = documents.agg(F.count("*").alias("n"))
+    # a condition on the text keeps its column, so that the texts are shuffled once for this and for the terms
+    n = documents.agg(F.count_if(F.length("text") >= 0).alias("n"))
     return vocab.join(F.broadcast(n)).select("term", "df", "ctf", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
@@ -50,8 +54,8 @@ def lexical_scores(chunks: DataFrame, queries: DataFrame, settings: Search = SEA
     return postings.join(terms, "term").groupBy("query_id", *KEY).agg(F.sum(F.col("w") * F.col("qw")).alias("lexical"))
 
 
-def _packed(df: DataFrame, id_cols: list[str], vec_col: str, dims: int, unit: bool = True) -> DataFrame:
-    """Rows packed into blocks, one per Arrow batch: (ids binary, mat binary), scaled to length 1 if `unit`. Unusable vectors are left out."""
+def _packed(df: DataFrame, id_cols: list[str], vec_col: str, dims: int) -> DataFrame:
+    """Rows packed into blocks, one per Arrow batch: (ids binary, mat binary), scaled to length 1. Unusable vectors are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +68,7 @@ def _packed(df: DataFrame, id_cols: list[str], vec_col: str, dims: int, unit: bo
             good = np.isfinite(norm) & (norm > 0)
             ids = np.stack([np.asarray(batch.column(i).take(pa.array(keep)).to_numpy(zero_copy_only=False), np.int64) for i in range(len(id_cols))], axis=1)[good]
             for at in range(0, len(ids), 2048):
-                mat = x[good][at : at + 2048] / (norm[good][at : at + 2048, None] if unit else 1.0)
+                mat = x[good][at : at + 2048] / norm[good][at : at + 2048, None]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[at : at + 2048].tobytes()]), pa.array([mat.tobytes()])], names=["ids", "mat"])
 
     return df.where(F.col(vec_col).isNotNull()).select(*(F.col(c).cast("bigint") for c in id_cols), F.col(vec_col).cast("array<double>")).mapInArrow(run, "ids binary, mat binary")
@@ -88,63 +92,160 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = SEARCH.top_
                 cols = order.ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(qi[rows]), pa.array(vi[cols]), pa.array(s[rows, cols])], names=["query_id", "vec_id", "semantic"])
 
-    blocks = _packed(queries, ["query_id"], "qvec", dims).select(F.col("ids").alias("qids"), F.col("mat").alias("qmat"))
-    found = _packed(vectors, ["vec_id"], "vec", dims).join(blocks).mapInArrow(run, "query_id bigint, vec_id bigint, semantic double")
+    n = queries.count()
+    blocks = _packed(queries.repartition(max(1, -(-n // 512))), ["query_id"], "qvec", dims).select(F.col("ids").alias("qids"), F.col("mat").alias("qmat"))
+    found = _packed(vectors, ["vec_id"], "vec", dims).join(F.broadcast(blocks) if n <= SENT_QUERIES else blocks).mapInArrow(run, "query_id bigint, vec_id bigint, semantic double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("semantic"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _usable(vectors: DataFrame) -> DataFrame:
-    """(keys, vec): the vectors that have a direction."""
-    return vectors.where("vec is not null and size(vec) > 0 and not exists(vec, x -> x is null or isnan(x))").where(_length("vec") > 0).select(*KEY, "vec")
+def _directions(rows: DataFrame, keys: tuple[str, ...], vec_col: str, dims: int, unit: bool) -> DataFrame:
+    """(keys, vec binary): the usable vectors as float64 bytes, scaled to length 1 if `unit`. Vectors that are null, all zero, not finite or of
+    another size, and those with a null element, are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vec = batch.column(len(keys))
+            keep = np.flatnonzero(pa.compute.equal(pa.compute.list_value_length(vec), dims).fill_null(False).to_numpy(zero_copy_only=False))
+            if not len(keep):
+                continue
+            x = np.asarray(pa.compute.list_flatten(vec.take(pa.array(keep))).to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
+            norm = np.linalg.norm(x, axis=1)
+            good = np.isfinite(norm) & (norm > 0)
+            x = x[good] / (norm[good][:, None] if unit else 1.0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(keep[good])) for i in range(len(keys))), pa.array([v.tobytes() for v in x], pa.binary())], names=[*keys, "vec"])
+
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return spread(rows.where(F.col(vec_col).isNotNull()).select(*keys, F.col(vec_col).cast("array<double>"))).mapInArrow(run, f"{kinds}, vec binary")
 
 
-def _length(vec: str) -> Column:
-    return F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+_SPARSE = "sizes binary, tids binary, ws binary"
 
 
-def semantic_candidates(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, settings: Search = SEARCH, dims: int = 64) -> DataFrame:
-    """(query_id, keys): the top_k chunks of every query by semantic score alone (the best vector of a chunk), over all chunks.
+def _sparse(column: pa.Array) -> dict[str, bytes]:
+    """Lists of (tid, w) as the number of entries per row and their flat values."""
+    entries = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pa.compute.list_flatten(column)
+    return {"sizes": entries.tobytes(), "tids": flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), "ws": flat.field(1).to_numpy(zero_copy_only=False).astype(np.float64).tobytes()}
 
-    The lexical part is never negative, so whatever stands before a chunk in this order (by the rounded score, ties by key) stands
-    before it in the hybrid order too: a chunk without a common term that belongs to the hybrid top_k is among these.
+
+def _search_blocks(df: DataFrame, id_cols: tuple[str, ...], dims: int, size: int) -> DataFrame:
+    """Rows (ids, vec binary or null, entries) as blocks: ids, vectors (zeros where there is none) and sparse term weights."""
+    nothing = bytes(8 * dims)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                batch = whole.slice(at, size)
+                ids = np.stack([np.asarray(batch.column(i).to_numpy(zero_copy_only=False), np.int64) for i in range(len(id_cols))], axis=1)
+                mat = b"".join(nothing if v is None else v for v in batch.column(len(id_cols)).to_pylist())
+                yield pa.RecordBatch.from_pylist([{"ids": ids.tobytes(), "mat": mat} | _sparse(batch.column(len(id_cols) + 1))])
+
+    columns = [*(F.col(c).cast("bigint").alias(c) for c in id_cols), "vec", "entries"]
+    return df.select(*columns).mapInArrow(run, f"ids binary, mat binary, {_SPARSE}")
+
+
+def _common_terms(q: dict, c: dict, nq: int, n: int) -> np.ndarray:
+    """Dense product of two sparse blocks: for every posting of a chunk the queries that have its term."""
+    qt, ct = np.frombuffer(q["qtids"], np.int64), np.frombuffer(c["tids"], np.int64)
+    if not len(qt) or not len(ct):
+        return np.zeros((nq, n))
+    order = np.argsort(qt, kind="stable")
+    qt, qw, qrow = qt[order], np.frombuffer(q["qws"])[order], np.repeat(np.arange(nq), np.frombuffer(q["qsizes"], np.int64))[order]
+    crow, cw = np.repeat(np.arange(n), np.frombuffer(c["sizes"], np.int64)), np.frombuffer(c["ws"])
+    lo, hi = np.searchsorted(qt, ct, "left"), np.searchsorted(qt, ct, "right")
+    many = hi - lo
+    post = np.repeat(np.arange(len(ct)), many)
+    hit = np.arange(len(post)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+    return np.bincount(qrow[hit] * n + crow[post], weights=qw[hit] * cw[post], minlength=nq * n).reshape(nq, n)
+
+
+def search(chunks: DataFrame, vectors: DataFrame | None, queries: DataFrame, settings: Search = SEARCH, dims: int = 64) -> DataFrame:
+    """(query_id, rank, keys, lexical, semantic, score): the top_k chunks of every query over all chunks, by the weighted sum of both scores.
+
+    lexical is 0 without a common term, semantic 0 without a vector and the best of several; only scores of at least min_score (rounded to
+    six places) count, ties go by key. Blank and null queries, and an index without chunks, give no row. `vectors` None: lexical alone.
+
+    The text is shuffled once, by key; term counts, norms and the asked terms of a chunk then need no further shuffle. A block of chunks
+    meets a block of the stated queries in one matrix product and one sparse product, of which only top_k per query leave the task.
     """
-    k, weight = settings.top_k, settings.semantic_weight
+    base = by_key(chunks.select(*KEY, "text"), *KEY)
+    counts = term_counts(base)
+    weights = idf(vocabulary(counts, settings.vocabulary), base)
+    # at most settings.vocabulary rows; written once, as both sides of the search read them
+    weights = cut_lineage(weights.withColumn("tid", F.row_number().over(Window.orderBy(F.desc("ctf"), "term"))).select("term", "idf", "tid"))
+    asked = queries.where(T.strip(F.col("query")) != "")
+    asked_terms = asked.select("query_id", F.explode(T.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
+    entries, q = _term_lists(counts, weights, asked_terms)
+    return _ranked_blocks(entries, chunks, vectors, asked.join(q, "query_id", "left"), settings, dims)
+
+
+def search_index(index: dict[str, DataFrame], vectors: DataFrame | None, queries: DataFrame, settings: Search = SEARCH, dims: int = 64) -> DataFrame:
+    """`search` over a stored index (sources.stores): postings hold the weights already, and only those of asked terms are read."""
+    weights = index["vocabulary"].select("term", "idf", "tid")
+    asked = queries.where(T.strip(F.col("query")) != "")
+    asked_terms = asked.select("query_id", F.explode(T.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
+    # asked terms of the vocabulary, at most its cap
+    some = weights.join(asked_terms.select("term").distinct(), "term", "left_semi").select("term", "tid")
+    found = index["postings"].join(F.broadcast(some), "term").groupBy(*KEY).agg(F.collect_list(F.struct("tid", "w")).alias("entries"))
+    return _ranked_blocks(found, index["chunks"], vectors, asked.join(_query_lists(asked_terms, weights), "query_id", "left"), settings, dims)
+
+
+def _query_lists(asked_terms: DataFrame, weights: DataFrame) -> DataFrame:
+    raw = asked_terms.join(F.broadcast(weights), "term").select("query_id", "tid", (F.col("tf") * F.col("idf")).alias("w"))
+    per = raw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("tid", "w")).alias("e"))
+    return per.select("query_id", F.transform("e", lambda x: F.struct(x["tid"].alias("tid"), (x["w"] / F.col("norm")).alias("w"))).alias("entries"))
+
+
+def _term_lists(counts: DataFrame, weights: DataFrame, asked_terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keys, entries) of the chunks, with the asked terms alone, and (query_id, entries); each text scaled to length 1 over all its terms."""
+    marked = weights.join(asked_terms.select("term").distinct().withColumn("asked", F.lit(True)), "term", "left")
+    raw = counts.join(F.broadcast(marked), "term").select(*KEY, "tid", "asked", (F.col("tf") * F.col("idf")).alias("w"))
+    per = raw.groupBy(*KEY).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("asked"), F.struct("tid", "w"))).alias("e"))
+    lists = per.where(F.size("e") > 0).select(*KEY, F.transform("e", lambda x: F.struct(x["tid"].alias("tid"), (x["w"] / F.col("norm")).alias("w"))).alias("entries"))
+    return lists, _query_lists(asked_terms, weights)
+
+
+def _ranked_blocks(entries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, asked: DataFrame, settings: Search, dims: int) -> DataFrame:
+    k, semantic_weight, lexical_weight, least = settings.top_k, settings.semantic_weight, settings.lexical_weight, settings.min_score
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 q, v = (np.frombuffer(r[n], np.float64).reshape(-1, dims) for n in ("qmat", "mat"))
-                qi, ids = np.frombuffer(r["qids"], np.int64).reshape(-1, 1), np.frombuffer(r["ids"], np.int64).reshape(-1, 2)
+                qi, ids = np.frombuffer(r["qids"], np.int64), np.frombuffer(r["ids"], np.int64).reshape(-1, 2)
                 by_key = np.lexsort((ids[:, 1], ids[:, 0]))
                 keys, first = np.unique(ids[by_key], axis=0, return_index=True)
-                for at in range(0, len(q), 512):
-                    s = np.round(weight * np.maximum.reduceat(q[at : at + 512] @ v[by_key].T, first, axis=1) + 1e-9, 6)
-                    # the columns are in the order of the keys, so a stable sort breaks ties by key
-                    order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    rows, cols = np.repeat(np.arange(len(s)), order.shape[1]), order.ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(qi[at + rows, 0]), pa.array(keys[cols, 0]), pa.array(keys[cols, 1]), pa.array(s[rows, cols])], names=["query_id", *KEY, "part"])
-
-    asked = queries.where(T.strip(F.col("query")) != "").select("query_id", "qvec")
-    blocks = _packed(asked, ["query_id"], "qvec", dims, unit=False).select(F.col("ids").alias("qids"), F.col("mat").alias("qmat"))
-    held = _usable(vectors).join(chunks.select(*KEY).distinct(), list(KEY), "left_semi")
-    found = _packed(held, list(KEY), "vec", dims).join(blocks).mapInArrow(run, "query_id bigint, parsed_id bigint, chunk_id bigint, part double")
-    best = found.groupBy("query_id", *KEY).agg(F.max("part").alias("part"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("part"), *KEY))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", *KEY)
-
-
-def hybrid_scores(lexical: DataFrame, chunks: DataFrame, vectors: DataFrame, queries: DataFrame, settings: Search = SEARCH, dims: int = 64) -> DataFrame:
-    """(query_id, keys, lexical, semantic, score) of every chunk that shares a term with a query and of those without one that can be
-    among its top_k; a chunk without a common term has lexical 0, one without a vector semantic 0, one with several the best of them."""
-    dot = F.aggregate(F.zip_with("qvec", "vec", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda x, y: x + y)
-    near = semantic_candidates(chunks, vectors, queries, settings, dims).withColumn("lexical", F.lit(0.0))
-    candidates = lexical.select("query_id", *KEY, "lexical").unionByName(near)
-    # the pairs are shuffled without vectors; the stated queries are few
-    pairs = candidates.join(_usable(vectors), list(KEY), "left").join(F.broadcast(queries.select("query_id", "qvec")), "query_id")
-    each = pairs.withColumn("semantic", F.coalesce(dot / _length("vec"), F.lit(0.0)))
-    best = each.groupBy("query_id", *KEY).agg(F.max("lexical").alias("lexical"), F.max("semantic").alias("semantic"))
-    return best.withColumn("score", settings.semantic_weight * F.col("semantic") + settings.lexical_weight * F.col("lexical"))
+                # the columns are in the order of the keys, so a stable sort breaks ties by key
+                dense = np.maximum.reduceat((q @ v.T)[:, by_key], first, axis=1)
+                common = np.maximum.reduceat(_common_terms(r, r, len(q), len(v))[:, by_key], first, axis=1)
+                s = np.round(semantic_weight * dense + lexical_weight * common + 1e-9, 6)
+                order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                rows, cols = np.repeat(np.arange(len(s)), order.shape[1]), order.ravel()
+                fit = s[rows, cols] >= least
+                rows, cols = rows[fit], cols[fit]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qi[rows], keys[cols, 0], keys[cols, 1], common[rows, cols], dense[rows, cols], s[rows, cols])], names=["query_id", *KEY, "lexical", "semantic", "score"])
+
+    nothing = F.lit(None).cast("binary").alias("vec")
+    if vectors is None:
+        rows, asked = entries.select(*KEY, nothing, "entries"), asked.select("query_id", nothing, "entries")
+    else:
+        unit = _directions(vectors, KEY, "vec", dims, True).join(chunks.select(*KEY).distinct(), list(KEY), "left_semi")
+        # vectors with the terms of their chunk, and chunks without a vector; either join can be split at a skewed key
+        rows = unit.join(entries, list(KEY), "left").select(*KEY, "vec", "entries").unionByName(
+            entries.join(unit.select(*KEY), list(KEY), "left_anti").select(*KEY, nothing, "entries")
+        )
+        asked = asked.join(_directions(asked, ("query_id",), "qvec", dims, False), "query_id", "left").select("query_id", "vec", "entries")
+    n = asked.count()
+    blocks = _search_blocks(asked.repartition(max(1, -(-n // 512))), ("query_id",), dims, 512)
+    blocks = blocks.select(*(F.col(c).alias(f"q{c}") for c in blocks.columns))
+    met = _search_blocks(rows, KEY, dims, 2048).join(F.broadcast(blocks) if n <= SENT_QUERIES else blocks)
+    found = met.mapInArrow(run, "query_id bigint, parsed_id bigint, chunk_id bigint, lexical double, semantic double, score double")
+    best = found.groupBy("query_id", *KEY).agg(*(F.max(c).alias(c) for c in ("lexical", "semantic", "score")))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *KEY)
+    kept = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    kinds = {c: chunks.schema[c].dataType for c in KEY}
+    return kept.select("query_id", "rank", *(F.col(c).cast(t).alias(c) for c, t in kinds.items()), "lexical", "semantic", "score")
 
 
 def ranked(scores: DataFrame, score: str, settings: Search = SEARCH, keys: tuple[str, ...] = KEY) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,8 +123,8 @@ def idf_table(s, d):
 
 @query
 def lexical_search(s, d):
-    scores = retrieval.lexical_scores(_chunks(s, d), _questions(s, d))
-    return retrieval.ranked(scores, "lexical").select("query_id", F.col("rank").cast("bigint").alias("rank"), "parsed_id", "chunk_id", "lexical")
+    found = retrieval.search(_chunks(s, d), None, _questions(s, d), replace(SEARCH, semantic_weight=0.0, lexical_weight=1.0))
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "parsed_id", "chunk_id", F.col("score").alias("lexical"))
 
 
 @query
@@ -134,10 +135,8 @@ def semantic_search(s, d):
 
 @query
 def hybrid_search(s, d):
-    q = _questions(s, d)
-    chunks = _chunks(s, d)
-    scores = retrieval.hybrid_scores(retrieval.lexical_scores(chunks, q), chunks, table(s, d, "chunk_vectors"), q)
-    return retrieval.ranked(scores, "score").select("query_id", F.col("rank").cast("bigint").alias("rank"), "parsed_id", "chunk_id", "score")
+    found = retrieval.search(_chunks(s, d), table(s, d, "chunk_vectors"), _questions(s, d))
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "parsed_id", "chunk_id", "score")
 
 
 @query

@@ -201,9 +201,11 @@ def sql() -> dict[str, str]:
     out["semantic_search"] = f"""with {USABLE}, qs as (select query_id, list_transform(qvec, lambda x: x::double) as qv from queries where {_STEP}),
       s as (select query_id, vec_id, round({_COS} / sqrt(list_dot_product(qv, qv)), 6) as semantic from qs, usable)
       select query_id, rank, vec_id, semantic from (select *, row_number() over (partition by query_id order by semantic desc, vec_id) as rank from s) where rank <= {SEARCH.top_k}"""
-    out["hybrid_search"] = f"""with {CHUNKS}, {TERMS}, {LEXICAL}, {USABLE}, qs as (select query_id, list_transform(qvec, lambda x: x::double) as qv from queries where {_STEP}),
-      h as (select query_id, parsed_id, chunk_id, {SEARCH.semantic_weight}e0 * max(coalesce({_COS}, 0)) + {SEARCH.lexical_weight}e0 * max(lexical) as score
-        from lex join qs using (query_id) left join usable using (parsed_id, chunk_id) group by all)
+    # every chunk against every question: a missing side counts 0
+    out["hybrid_search"] = f"""with {CHUNKS}, {TERMS}, {LEXICAL}, {USABLE}, qs as (select query_id, list_transform(qvec, lambda x: x::double) as qv from queries where {_STEP} and {strip('query')} <> ''),
+      sem as (select query_id, parsed_id, chunk_id, max({_COS}) as semantic from usable, qs group by all),
+      h as (select query_id, parsed_id, chunk_id, {SEARCH.semantic_weight}e0 * coalesce(semantic, 0) + {SEARCH.lexical_weight}e0 * coalesce(lexical, 0) as score
+        from (select distinct parsed_id, chunk_id from chunks) cross join (select query_id from qs) left join sem using (query_id, parsed_id, chunk_id) left join lex using (query_id, parsed_id, chunk_id))
       select query_id, rank, parsed_id, chunk_id, score from ({ranked('h', 'score', 'parsed_id, chunk_id')})"""
     out["hybrid_rank"] = f"""with {HITS}, h as (select query_id, result_id, {SEARCH.semantic_weight}e0 * coalesce(semantic_score, 0) + {SEARCH.lexical_weight}e0 * coalesce(lexical_score, 0) as score from hits)
       select query_id, rank, result_id, score from ({ranked('h', 'score', 'result_id')})"""

@@ -166,7 +166,7 @@ def test_hybrid_search_scores_chunks_without_a_common_term(spark):
     queries = spark.createDataFrame(asked, "query_id bigint, query string, qvec array<float>")
     lexical = retrieval.lexical_scores(chunks, queries)
     lex = {(r.query_id, r.parsed_id, r.chunk_id): r.lexical for r in lexical.collect()}
-    got = [(r.query_id, r["rank"], r.parsed_id, r.chunk_id, r.score) for r in retrieval.ranked(retrieval.hybrid_scores(lexical, chunks, vectors, queries, dims=8), "score").collect()]
+    got = [(r.query_id, r["rank"], r.parsed_id, r.chunk_id, r.score) for r in retrieval.search(chunks, vectors, queries, dims=8).collect()]
     unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
     want = []
     for qid, _, qv in (a for a in asked if a[0] in (1, 2, 5)):
