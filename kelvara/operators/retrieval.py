@@ -36,11 +36,16 @@ def idf(vocab: DataFrame, documents: DataFrame) -> DataFrame:
     return vocab.join(F.broadcast(n)).select("term", "df", "ctf", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def numbered(weights: DataFrame) -> DataFrame:
+    """The weights with a number per term, `tid`, by frequency; at most the vocabulary cap of rows, so one partition may order them."""
+    return weights.withColumn("tid", F.row_number().over(Window.orderBy(F.desc("ctf"), "term")))
+
+
 def weighted(counts: DataFrame, weights: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(keys, term, w): tf * idf, each text scaled to length 1. `weights` has at most the vocabulary cap of rows."""
     raw = counts.join(F.broadcast(weights.select("term", "idf")), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
-    return raw.select(*keys, "term", (F.col("w") / norm).alias("w"))
+    norms = raw.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(norms, list(keys)).select(*keys, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def lexical_scores(chunks: DataFrame, queries: DataFrame, settings: Search = SEARCH) -> DataFrame:
@@ -173,7 +178,7 @@ def search(chunks: DataFrame, vectors: DataFrame | None, queries: DataFrame, set
     counts = term_counts(base)
     weights = idf(vocabulary(counts, settings.vocabulary), base)
     # at most settings.vocabulary rows; written once, as both sides of the search read them
-    weights = cut_lineage(weights.withColumn("tid", F.row_number().over(Window.orderBy(F.desc("ctf"), "term"))).select("term", "idf", "tid"))
+    weights = cut_lineage(numbered(weights).select("term", "idf", "tid"))
     asked = queries.where(T.strip(F.col("query")) != "")
     asked_terms = asked.select("query_id", F.explode(T.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
     entries, q = _term_lists(counts, weights, asked_terms)

@@ -3,45 +3,65 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
+from collections.abc import Callable
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kelvara.operators import retrieval
+from kelvara.operators import providers, retrieval
 
-INDEX_TABLES = ("chunks", "postings", "vocabulary")
+INDEX_TABLES = ("chunks", "postings", "vocabulary", "diagnostics")
 
 
-def save_index(chunks: DataFrame, folder: str) -> None:
-    """Chunks, postings and vocabulary under `folder`, replaced as a whole. Postings are ordered by term within files, so that a search prunes row
-    groups by its terms."""
-    counts = retrieval.term_counts(chunks)
-    vocab = retrieval.idf(retrieval.vocabulary(counts), chunks)
-    chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
-    vocab.write.mode("overwrite").parquet(f"{folder}/vocabulary")
-    stored = chunks.sparkSession.read.parquet(f"{folder}/vocabulary")
-    retrieval.weighted(counts, stored, retrieval.KEY).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
+def save_index(chunks: DataFrame, folder: str, vectors: DataFrame | None = None) -> str:
+    """Chunks, postings, vocabulary, diagnostics and, where given, vectors as one version under `folder`; returns the version.
+
+    The version's tables are written first and its name is appended to `folder`/versions last, in one commit, so that a reader sees either
+    the old index or the new one. Postings are ordered by term within files, so that a search prunes row groups by its terms.
+    """
+    spark, version = chunks.sparkSession, uuid.uuid4().hex
+    place = f"{folder}/{version}"
+    chunks.write.parquet(f"{place}/chunks")
+    stored = spark.read.parquet(f"{place}/chunks")
+    retrieval.term_counts(stored).write.parquet(f"{place}/counts")
+    counts = spark.read.parquet(f"{place}/counts")
+    vocab = retrieval.numbered(retrieval.idf(retrieval.vocabulary(counts), stored))
+    vocab.write.parquet(f"{place}/vocabulary")
+    weights = spark.read.parquet(f"{place}/vocabulary")
+    retrieval.weighted(counts, weights, retrieval.KEY).sortWithinPartitions("term").write.parquet(f"{place}/postings")
+    stored.agg(F.count("*").alias("chunks"), F.count_distinct(retrieval.KEY[0]).alias("documents"), F.lit(vectors is not None).alias("with_vectors")).write.parquet(f"{place}/diagnostics")
+    if vectors is not None:
+        vectors.write.parquet(f"{place}/vectors")
+    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("saved_at")).coalesce(1).write.mode("append").parquet(f"{folder}/versions")
+    return version
 
 
 def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of an index; raises if one is missing or there is no chunk."""
-    out = {t: spark.read.parquet(f"{folder}/{t}") for t in INDEX_TABLES}
-    if out["chunks"].isEmpty():
+    """The tables of the newest version of an index; raises if there is none or it has no chunk."""
+    newest = spark.read.parquet(f"{folder}/versions").orderBy(F.desc("saved_at"), "version").first()
+    place = f"{folder}/{newest.version}"
+    out = {t: spark.read.parquet(f"{place}/{t}") for t in INDEX_TABLES}
+    said = out["diagnostics"].first()
+    if not said.chunks:
         raise ValueError(f"the index in {folder} has no chunk")
+    if said.with_vectors:
+        out["vectors"] = spark.read.parquet(f"{place}/vectors")
     return out
 
 
-def index_files(spark: SparkSession, folder: str, target: str) -> DataFrame:
+def index_files(spark: SparkSession, folder: str, target: str, model: Callable[[], providers.Embed] | None = None) -> DataFrame:
     """Parses the files of `folder`, rebuilds the index under `target` and returns the parsed documents. Chunks are keyed by a hash of the
-    path and their place."""
+    path and their place; with an embedding model they get vectors."""
     from kelvara.sources import files
 
     docs = files.parse(files.scan(spark, folder).where("supported"))
     each = docs.where("parsed").select(F.xxhash64("path").alias("parsed_id"), "doc_name", F.posexplode("chunks").alias("chunk_id", "text"))
-    save_index(each, target)
+    vectors = providers.embed(each.select(*retrieval.KEY, "text"), "text", model).drop("text") if model else None
+    save_index(each, target, vectors)
     return docs
 
 

@@ -3,6 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from kelvara.operators import chunking
+from kelvara.operators import retrieval
 from kelvara.sources import files, stores
 from kelvara.streaming import memory_stream
 
@@ -48,6 +49,19 @@ def test_index_round_trip(spark, tmp_path):
     raise AssertionError("an empty index must not load")
 
 
+def test_a_stored_index_searches_like_the_chunks(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "d", 0, "стена тепло"), (1, "d", 1, "окно тепло тепло"), (2, "d", 0, "крыша")], "parsed_id bigint, doc_name string, chunk_id int, text string")
+    vectors = spark.createDataFrame([(1, 0, [1.0, 0.0]), (2, 0, [0.6, 0.8])], "parsed_id bigint, chunk_id int, vec array<double>")
+    queries = spark.createDataFrame([(1, "тепло стена", [0.0, 1.0]), (2, "", [1.0, 0.0]), (3, "дверь", [1.0, 0.0])], "query_id bigint, query string, qvec array<double>")
+    first = stores.save_index(chunks.limit(1), str(tmp_path / "i"))
+    assert stores.save_index(chunks, str(tmp_path / "i"), vectors) != first
+    index = stores.load_index(spark, str(tmp_path / "i"))
+    rows = lambda df: sorted((r.query_id, r["rank"], r.parsed_id, r.chunk_id, round(r.score, 6)) for r in df.collect())
+    got = rows(retrieval.search_index(index, index["vectors"], queries, dims=2))
+    assert got == rows(retrieval.search(chunks, vectors, queries, dims=2)) and {g[0] for g in got} == {1, 3}
+    assert rows(retrieval.search_index(index, None, queries, dims=2)) == rows(retrieval.search(chunks, None, queries, dims=2))
+
+
 def test_logs_and_climate(spark, tmp_path):
     stores.append_log(spark.createDataFrame([("ValueError", "x")], "type string, message string"), str(tmp_path / "log"))
     stores.append_log(spark.createDataFrame([("KeyError", "y")], "type string, message string"), str(tmp_path / "log"))
