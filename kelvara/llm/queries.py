@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,9 @@ def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abuse.score_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    fitted = replace(abuse.fit(table(spark, sf_dir, "moderation_samples")), ordinary=abuse.ordinary_words(docs))
+    return abuse.score_documents(docs, fitted=fitted)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

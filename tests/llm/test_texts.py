@@ -229,6 +229,47 @@ def test_words_one_letter_from_a_stem_are_innocent(scorer, text):
     assert scorer.score(text)[0] < abuse.THRESHOLD
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "критин", "moran", "You pathetic waste of oxygen, nobody needs you.", "I hope your whole family gets cancer", "Нацмены должны убираться из страны", "Jews should be gassed", "Пошли все вон, бездари криворукие",
+        "i'm going to slit your throat", "сдохни под забором", "Fick dich", "r3tard", "мерзовец", "дегинерат", "придырок", "motherfocker", "Женщинам место у плиты", "I know where you live", "Ты труп!", "du bist so eine Sau",
+        "All of them are subhuman", "Чтоб тебе пусто было", "Я тебя найду и ноги переломаю", "Send me your nudes", "эй,тыбезмозглыйидиотивсетвоидрузьяидиотытоже",
+    ],
+)
+def test_abuse_in_words_of_no_sample(scorer, text):
+    assert scorer.score(text)[0] >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "shut up valve upper", "The porn filter blocked the page", "the tits nested under the roof", "screw you removed from panel", "Модератор удалил фразу «убью» из отчёта", "The quote \"you idiot\" was removed by the moderator.",
+        "The cock valve must be kept hard closed for you", "Kill the process and strip the cable you see", "Прибью доску к стене завтра", "The female thread and the black pipe are disabled by gas", "Do not touch the pump body with your hands",
+        "You may burn wood pellets; do not let your pipes freeze.", "Keep naked flames away from you.", "Die Frauenumkleide hat einen Herd.", "Ваш расчёт никуда не годится, пересчитайте потери.", "Выбить деньги из бюджета и сломать стену.",
+    ],
+)
+def test_words_that_only_resemble_abuse(scorer, text):
+    assert scorer.score(text)[0] < abuse.THRESHOLD
+
+
+def test_samples_name_groups_and_move_weights():
+    rows = [("Зурмиты — паразиты, гнать их", "hate"), ("Зурмиты — паразиты, гнать их", "hate"), ("Зурмит мылся", "none"), ("Вязкость — паразитный эффект", "none"), (None, "hate"), ("x", None)]
+    fitted = abuse.fit_samples(rows)
+    assert abuse.Scorer(fitted).score("Зурмитам нельзя доверять")[0] >= abuse.THRESHOLD > abuse.Scorer().score("Зурмитам нельзя доверять")[0]
+    assert abuse.fit_samples([]) == abuse.Fit()
+    lowered = abuse.fit_samples([("ну и дурак этот клапан", "none")] * 30)
+    assert abuse.Scorer(lowered).score("дурак")[0] < abuse.THRESHOLD
+
+
+def test_frequent_words_beside_a_stem_are_ordinary(spark):
+    rows = [(i, "схема идиом", "a") for i in range(abuse.FREQUENT)] + [(900, "ты идиот", "a"), (901, "мудок", "a"), (902, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert abuse.ordinary_words(docs.where("doc_id < 0")) == frozenset()
+    assert abuse.ordinary_words(docs.withColumn("text", F.regexp_replace("text", "идиом", "кретон"))) == {"кретон"}
+    assert abuse.Scorer(abuse.Fit(ordinary=frozenset({"кретон"}))).score("кретон") == (0.0, None)
+
+
 def test_no_stem_is_innocent():
     assert {w for w in abuse.INNOCENT if w in abuse.lexicon().stems} <= {"fix", "like"}
 
