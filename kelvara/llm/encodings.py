@@ -1,8 +1,8 @@
 """Text that was decoded with the wrong character encoding: finding it and restoring it (problem 3).
 
 Every character is mapped back to the byte it had in a legacy encoding, and an automaton over the bytes finds the
-maximal well-formed multibyte spans; only those spans are decoded, from the inside out while that goes on (text may
-have been garbled twice). Text confused between two single-byte encodings has no multibyte structure, so there runs
+maximal well-formed multibyte spans; only those spans are decoded, from the inside out until none is left (text may
+have been garbled several times). Text confused between two single-byte encodings has no multibyte structure, so there runs
 of words are compared under each pair of encodings by letter frequencies, case and script. Replacement characters
 mark what can't be restored.
 
@@ -281,22 +281,28 @@ class Restorer:
             at = e
         return "".join(out) + text[at:], n
 
-    def restore(self, text: str | None) -> tuple[str | None, int, bool]:
-        """(restored text, characters restored, whether some can't be)."""
-        if not text:
-            return text, 0, False
+    @staticmethod
+    def spans(text: str) -> tuple[str, int]:
+        """`text` with its multibyte spans decoded, encoding by encoding and layer by layer until nothing is left; each pass shortens the text."""
         total = 0
-        for _ in range(4):
-            if not _SPAN_GATE.search(text):
-                break
-            tries = [_decode_spans(text, e) for e in ("cp1252", "cp1251", "koi8-r", "cp866", "mac-cyrillic", "mac-roman")]
-            new, n = max(tries, key=lambda x: x[1])
+        while _SPAN_GATE.search(text):
+            new, n = max((_decode_spans(text, e) for e in ("cp1252", "cp1251", "koi8-r", "cp866", "mac-cyrillic", "mac-roman")), key=lambda x: x[1])
             if not n:
                 break
             text, total = new, total + n
+        return text, total
+
+    def restore(self, text: str | None) -> tuple[str | None, int, bool]:
+        """(restored text, characters restored, whether some can't be)."""
+        if not text:
+            return text, 0, False
+        text, total = self.spans(text)
         if _WORD_GATE.search(text):
             text, n = self.single_byte(text)
-            total += n
+            if n:
+                # what the words hid may be spans in turn
+                text, more = self.spans(text)
+                total += n + more
         if not total and _ALONE.search(text):
             total = len(_ALONE.findall(text))
             text = _ALONE.sub(lambda m: {"і": "³", "І": "²", "Ј": "·"}.get(m.group(), "°"), text)
