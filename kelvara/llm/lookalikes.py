@@ -28,7 +28,7 @@ from kelvara.session import spread
 LOOK_ALIKE = "aаα eе. oоο pр. cс. yу. xх. iіι jј. sѕ. hһ. vѵν AАΑ BВΒ EЕΕ KКΚ MМΜ HНΗ OОΟ PРΡ CС. TТΤ XХΧ YУΥ IІΙ JЈ. SЅ. Z.Ζ N.Ν ëё. ËЁ. ïї. dԁ. wԝ. qԛ. lӏ. ".split()
 INVISIBLE = r"\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\ufe00-\ufe0f"
 SPACES = r"\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-COMPATIBLE = r"\ufb00-\ufb06\uff01-\uff5e\uffa0-\uffbe\U0001d400-\U0001d7ff\u212a\u212b\u2126\u0132\u0133\u01c4-\u01cc\u01f1-\u01f3\u3300-\u33ff"
+COMPATIBLE = r"\u2160-\u217f\ufb00-\ufb06\uff01-\uff5e\uff61-\uffbe\U0001d400-\U0001d7ff\u212a\u212b\u2126\u0132\u0133\u01c4-\u01cc\u01f1-\u01f3\u3300-\u33ff"
 ACCENTS = r"\u0300-\u036f"
 
 _SIMPLE = re.compile(f"[{INVISIBLE}{SPACES}{COMPATIBLE}{ACCENTS}]")
@@ -105,11 +105,14 @@ class Normaliser:
             best = new
         path = max(best.values(), key=lambda x: x[0])[1]
         if len({s for _, s in path}) > 1:
-            # the cheapest path within one script, if there is one
+            # the best path within one script, if there is one
+            whole = []
             for target in ("C", "L", "G"):
                 if all(any(s == target for _, s in st) for st in states):
-                    return "".join(next(c for c, s in st if s == target) for st in states)
-            return w
+                    path = [next(x for x in st if x[1] == target) for st in states]
+                    score = sum(self._pair(before, x) for before, x in zip(["^", *(c for c, _ in path)], path)) + self.CHANGE * sum(x[0] != c for x, c in zip(path, w))
+                    whole.append((score, "".join(c for c, _ in path)))
+            return max(whole, key=lambda x: x[0])[1] if whole else w
         return "".join(c for c, _ in path)
 
     def _pair(self, before: str, s: tuple[str, str]) -> float:
@@ -121,12 +124,12 @@ class Normaliser:
             return text, False
         found = False
         if _SIMPLE.search(text):
-            found = bool(_SIMPLE.search(_EMOJI_JOIN.sub("", text)))
-            if found:
-                # joiners inside an emoji are part of its look
-                new = _DROP.sub(lambda m: m[1] or "", text)
-                new = _SPACE.sub(" ", _COMPATIBLE.sub(lambda m: unicodedata.normalize("NFKC", m.group()), new))
-                text = _ACCENTED.sub(lambda m: _compose(m.group()), new)
+            # joiners inside an emoji are part of its look
+            new = _DROP.sub(lambda m: m[1] or "", text)
+            new = _SPACE.sub(" ", _COMPATIBLE.sub(lambda m: unicodedata.normalize("NFKC", m.group()), new))
+            new = _ACCENTED.sub(lambda m: _compose(m.group()), new)
+            found = new != text
+            text = new
         if _MIXED.search(text):
             out, at = [], 0
             for m in _LETTERS.finditer(text):
@@ -143,9 +146,8 @@ class Normaliser:
 
 
 def _compose(s: str) -> str:
-    """A letter with its accents composed; accents that have no composed form are dropped."""
-    new = unicodedata.normalize("NFC", s)
-    return "".join(c for c in new if not unicodedata.combining(c)) or ""
+    """A letter with its accents composed; accents that have no composed form stay, as x̂ is not x."""
+    return unicodedata.normalize("NFC", s)
 
 
 def has_signs(text: Column) -> Column:
@@ -155,10 +157,10 @@ def has_signs(text: Column) -> Column:
 
 
 def consistent(docs: DataFrame, id_col: str, text_col: str = "text", garbled_apart: bool = True) -> DataFrame:
-    """(id_col, consistent string): the rows whose text differs from its consistent form, with that form.
+    """(id_col, consistent string, garbled boolean): the rows whose text differs from its consistent form, with that form.
 
-    With `garbled_apart`, text of which any part was read in a wrong encoding (problem 3) gives no row. Null and empty texts
-    and consistent rows give no row either; repeated rows stay repeated; other columns are left out.
+    `garbled` marks text of which any part was read in a wrong encoding (problem 3); with `garbled_apart` it gives no row, else its form is that
+    of the restored text. Null and empty texts and consistent rows give no row; repeated rows stay repeated; other columns are left out.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col)
@@ -169,15 +171,18 @@ def consistent(docs: DataFrame, id_col: str, text_col: str = "text", garbled_apa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         normalise, restore = Normaliser(cyrillic, latin).normalise, Restorer(cyrillic).restore
         for batch in batches:
-            keep, texts = [], []
+            keep, texts, marks = [], [], []
             for k, t in enumerate(batch.column(1).to_pylist()):
                 new, found = normalise(t)
-                if found and garbled_apart:
-                    _, changed, lost = restore(t)
-                    found = not changed and not lost
-                if found:
-                    keep.append(k)
-                    texts.append(new)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), pa.array(texts, pa.string())], names=[id_col, "consistent"])
-
-    return spread(docs.where(has_signs(text)).select(F.col(id_col), text)).mapInArrow(run, f"`{id_col}` {id_type}, consistent string")
+                if not found:
+                    continue
+                restored, changed, lost = restore(t)
+                if garbled_apart and (changed or lost):
+                    continue
+                keep.append(k)
+                texts.append(normalise(restored)[0] if changed else new)
+                marks.append(bool(changed or lost))
+            arrays = [batch.column(0).take(pa.array(keep, pa.int32())), pa.array(texts, pa.string()), pa.array(marks, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "consistent", "garbled"])
+
+    return spread(docs.where(has_signs(text)).select(F.col(id_col), text)).mapInArrow(run, f"`{id_col}` {id_type}, consistent string, garbled boolean")

@@ -28,14 +28,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).where("piece_no = 0").select("parsed_id", "chunk_id").distinct()
 
 
-def p7_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = lookalikes.consistent(table(spark, sf_dir, "parsed_documents"), "parsed_id").select(F.lit("parsed_documents").alias("tbl"), F.col("parsed_id").alias("rec_id"), "consistent")
-    results = lookalikes.consistent(table(spark, sf_dir, "search_results"), "result_id").select(F.lit("search_results").alias("tbl"), F.col("result_id").alias("rec_id"), "consistent")
+def _consistent(spark: SparkSession, sf_dir: str, garbled_apart: bool) -> DataFrame:
+    docs = lookalikes.consistent(table(spark, sf_dir, "parsed_documents"), "parsed_id", garbled_apart=garbled_apart).select(F.lit("parsed_documents").alias("tbl"), F.col("parsed_id").alias("rec_id"), "consistent", "garbled")
+    results = lookalikes.consistent(table(spark, sf_dir, "search_results"), "result_id", garbled_apart=garbled_apart).select(F.lit("search_results").alias("tbl"), F.col("result_id").alias("rec_id"), "consistent", "garbled")
     return docs.unionByName(results)
 
 
+def p7_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _consistent(spark, sf_dir, False)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_consistent(spark, sf_dir).select("tbl", "rec_id").distinct()
+    return _consistent(spark, sf_dir, True).select("tbl", "rec_id").distinct()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +47,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "parsed_documents")
+    docs = spread(table(spark, sf_dir, "parsed_documents").select("parsed_id", "text"))
     return scans.repair(docs, scans.evidence(docs))
 
 
