@@ -26,6 +26,8 @@ _SPLIT = r"[^\p{L}\p{N}/|!}{\-']+"
 _SHAPE = "|".join(re.escape(w) for w in sorted({w for w, _ in PAIRS}, key=len, reverse=True))
 #: A frequent word is at least this frequent, and so many times as frequent as a misreading made of letters alone.
 FREQUENT, RATIO = 3, 30
+#: Readings of a word up to which they are enumerated by hash differences; others meet on their merged form.
+MOST_SUMS = 256
 _HASH_BITS = (1 << 40) - 1
 
 
@@ -47,7 +49,7 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all texts."""
     # counted first and stripped afterwards, so that the stripping sees every spelling once
     raw = docs.where(F.col(text_col).isNotNull()).select(raw_words(F.col(text_col)).alias("raw")).where("length(raw) >= 3").groupBy("raw").agg(F.count("*").alias("n"))
-    return raw.select(bare(F.col("raw")).alias("word"), "n").where("length(word) between 3 and 60").groupBy("word").agg(F.sum("n").alias("n"))
+    return raw.select(bare(F.col("raw")).alias("word"), "n").where("length(word) >= 3").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def aligned(wrong: str, right: str) -> bool:
@@ -67,6 +69,15 @@ def aligned(wrong: str, right: str) -> bool:
     return False
 
 
+def merged(word: Column) -> Column:
+    """A word in which whatever the table takes for one another is spelt the same: a necessary condition for `aligned`. Right letters are spelt as
+    their misreadings, so that no two replacements compete for a character."""
+    out = F.replace(F.translate(word, "0o346!1|ie5", "оозчбllllcs"), F.lit("гт"), F.lit("ll"))
+    for right, wrong in (("d", "cl"), ("h", "ll"), ("m", "rn"), ("w", "vv"), ("п", "ll"), ("ш", "гн"), ("ы", "ьl"), ("ю", "lо"), ("л", "/l"), ("ж", "}{"), ("й", "и'")):
+        out = F.replace(out, F.lit(right), F.lit(wrong))
+    return out
+
+
 def corrections(vocab: DataFrame) -> DataFrame:
     """(word, right): misread words with the most frequent word that they can stand for; ties by alphabet.
 
@@ -75,30 +86,31 @@ def corrections(vocab: DataFrame) -> DataFrame:
     spark = vocab.sparkSession
     letters = F.col("word").rlike(r"^[\p{L}\-]+$")
     frequent = vocab.where(letters & (F.col("n") >= FREQUENT) & ~F.col("word").rlike(r"ь1|[a-z][а-яё]|[а-яё][a-z]")).select(F.col("word").alias("right"), F.col("n").alias("right_n"), anagram_hash(F.col("word")).alias("key"))
-    table = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(PAIRS)], "i int, wrong string, good string").select(
-        "i", "wrong", (anagram_hash(F.col("good")) - anagram_hash(F.col("wrong"))).alias("d")
+    table = spark.createDataFrame(PAIRS, "wrong string, good string").select("wrong", (anagram_hash(F.col("good")) - anagram_hash(F.col("wrong"))).alias("d"))
+    # about 20 rows, sent along as one array
+    pairs = F.array(*[F.struct(F.lit(r.wrong).alias("wrong"), F.lit(r.d).cast("bigint").alias("d")) for r in table.collect()])
+    times = F.transform(pairs, lambda p: F.struct(p["d"].alias("d"), F.floor((F.length("word") - F.length(F.replace("word", p["wrong"], F.lit("")))) / F.length(p["wrong"])).alias("n")))
+    rare = vocab.where(F.col("word").rlike(_SHAPE) & F.col("word").rlike(r"\p{L}{2}")).withColumn("times", F.filter(times, lambda t: t["n"] > 0))
+    rare = rare.withColumn("many", F.aggregate("times", F.lit(1.0).cast("double"), lambda a, t: a * (t["n"] + 1)))
+    # every sum of differences, any number of times each: the hashes of all readings
+    sums = F.aggregate(
+        "times", F.array(F.lit(0).cast("bigint")), lambda acc, t: F.flatten(F.transform(acc, lambda s: F.transform(F.sequence(F.lit(0).cast("bigint"), t["n"]), lambda k: s + k * t["d"])))
     )
-    # at most 20 rows, sent along as one array
-    pairs = F.array(*[F.struct(F.lit(r.i).alias("i"), F.lit(r.wrong).alias("wrong"), F.lit(r.d).cast("bigint").alias("d")) for r in table.collect()])
-    rare = vocab.where(F.col("word").rlike(_SHAPE) & F.col("word").rlike(r"\p{L}{2}")).withColumn("hash", anagram_hash(F.col("word")))
-
-    def step(df: DataFrame, after: str) -> DataFrame:
-        fit = F.filter(pairs, lambda p: F.contains(F.col("word"), p["wrong"]) & (p["i"] > F.col(after)))
-        many = F.explode(fit).alias("p")
-        each = df.select("*", many).withColumn("times", F.explode(F.sequence(F.lit(1), F.least(F.lit(3), F.regexp_count("word", F.regexp_replace("p.wrong", r"([|/!}{])", r"\\$1"))))))
-        return each.select("word", "n", (F.col("hash") + F.col("times") * F.col("p.d")).alias("hash"), F.col("p.i").alias("after"))
-
-    one = step(rare.withColumn("after", F.lit(-1)), "after")
-    keys = one.unionByName(step(one, "after"))
-    joined = keys.join(frequent, keys["hash"] == frequent["key"]).where(
-        (F.col("right") != F.col("word")) & (F.col("right_n") > F.col("n")) & (~letters | ((F.col("right_n") >= RATIO * F.col("n")) & (F.length("right") >= 4))) & (F.length("right") >= 3)
+    fit = lambda wrong, right: (
+        (right != wrong) & (F.col("right_n") > F.col("n")) & (~letters | ((F.col("right_n") >= RATIO * F.col("n")) & (F.length(right) >= 4))) & (F.length(right) >= 3)
     )
+    keys = rare.where(F.col("many") <= MOST_SUMS).select("word", "n", F.explode(F.array_distinct(sums)).alias("sum")).where("sum <> 0")
+    keys = keys.withColumn("key", anagram_hash(F.col("word")) + F.col("sum"))
+    joined = keys.join(frequent, "key").where(fit(F.col("word"), F.col("right"))).select("word", "right", "right_n")
+    # words with more readings than that meet on the form in which all readings are one
+    dense = rare.where(F.col("many") > MOST_SUMS).select("word", "n", merged(F.col("word")).alias("form"))
+    joined = joined.unionByName(dense.join(frequent.withColumn("form", merged(F.col("right"))), "form").where(fit(F.col("word"), F.col("right"))).select("word", "right", "right_n"))
 
     @F.pandas_udf("boolean")
     def fits(wrong: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series([aligned(a, b) for a, b in zip(wrong, right)])
 
-    verified = joined.select("word", "right", "right_n").distinct().where(fits("word", "right"))
+    verified = joined.distinct().where(fits("word", "right"))
     return verified.groupBy("word").agg(F.max_by("right", F.struct("right_n", F.col("right"))).alias("right"))
 
 
@@ -133,15 +145,18 @@ def evidence(docs: DataFrame, id_col: str = "parsed_id", text_col: str = "text")
     """
     docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     vocab = cut_lineage(vocabulary(docs))
-    right = cut_lineage(corrections(vocab))
-    # distinct misread words are few, but their number grows; Spark sees the size and broadcasts or shuffles
-    tokens = docs.where(F.lower("text").rlike(_SHAPE)).select("id", raw_words(F.col("text")).alias("raw")).where(F.col("raw").rlike(_SHAPE)).select("id", bare(F.col("raw")).alias("word"))
-    fixes = tokens.join(right, "word").groupBy("id").agg(F.collect_set(F.struct("word", "right")).alias("fixes"))
     text = F.col("text")
     cut = docs.where(text.rlike(r"\p{L}[-\u2010\u00ac\u00ad][ \t]*\r?\n")).select(
         "id", F.explode(F.arrays_zip(*(F.regexp_extract_all(text, F.lit(_CUT), F.lit(k)).alias(n) for k, n in ((1, "l"), (2, "sign"), (3, "r"))))).alias("c")
     )
-    cut = cut.select("id", "c.l", "c.r", "c.sign", F.lower(F.concat("c.l", "c.r")).alias("joined"), F.lower(F.concat_ws("-", "c.l", "c.r")).alias("compound")).distinct()
+    cut = cut_lineage(cut.select("id", "c.l", "c.r", "c.sign", F.lower(F.concat("c.l", "c.r")).alias("joined"), F.lower(F.concat_ws("-", "c.l", "c.r")).alias("compound")).distinct())
+    # a cut word is misread as a whole, so the joined forms are corrected beside the words
+    whole = cut.where(F.col("joined").rlike(_SHAPE)).groupBy(F.col("joined").alias("word")).agg(F.count("*").alias("n")).join(vocab.select("word"), "word", "left_anti")
+    right = cut_lineage(corrections(cut_lineage(vocab.unionByName(whole))))
+    # distinct misread words are few, but their number grows; Spark sees the size and broadcasts or shuffles
+    tokens = docs.where(F.lower("text").rlike(_SHAPE)).select("id", raw_words(F.col("text")).alias("raw")).where(F.col("raw").rlike(_SHAPE)).select("id", bare(F.col("raw")).alias("word"))
+    tokens = tokens.unionByName(cut.where(F.col("joined").rlike(_SHAPE)).select("id", F.col("joined").alias("word")))
+    fixes = tokens.join(right, "word").groupBy("id").agg(F.collect_set(F.struct("word", "right")).alias("fixes"))
     joined_n = vocab.select(F.col("word").alias("joined"), F.col("n").alias("joined_n"))
     compound_n = vocab.select(F.col("word").alias("compound"), F.col("n").alias("compound_n"))
     judged = cut.join(joined_n, "joined", "left").join(compound_n, "compound", "left")

@@ -314,3 +314,36 @@ def test_every_found_query_has_its_columns(spark, data):
         rows = df.select(*(F.col(c).cast("string") for c in columns)).collect()
         assert len(rows) == len(set(rows)), name
     assert re.match("p", min(queries.queries()))
+
+
+def test_text_garbled_many_times(restorer):
+    wrong = PLAIN[0]
+    for read in ("cp1251", "cp1252", "cp1252", "cp1251", "cp1252", "cp1252"):
+        wrong = "".join(encodings._byte_char(read, b) for b in wrong.encode())
+    assert restorer.restore(wrong)[0] == PLAIN[0]
+
+
+def test_accents_without_a_composed_form_stay():
+    normalise = lookalikes.Normaliser(LETTERS, lookalikes.fit_latin(["plain text"])).normalise
+    assert normalise("x\u0302 и q\u0303") == ("x\u0302 и q\u0303", False)
+    assert normalise("и\u0306од") == ("йод", True)
+    assert normalise("ﾃｽﾄ Ⅳ") == ("テスト IV", True)
+
+
+def test_any_number_of_misreadings(spark):
+    words = [("водопровод", 40), ("в0д0пр0в0д", 1), ("длинношеее", 9), ("корзина", 50), ("к0р3ина", 1), ("эффективность", 30), ("эффектив\u043d0сть", 1), ("слово" * 15, 5), ("сл0в0" * 15, 1)]
+    got = {r.word: r.right for r in scans.corrections(spark.createDataFrame(words, "word string, n bigint")).collect()}
+    assert got == {"в0д0пр0в0д": "водопровод", "к0р3ина": "корзина", "эффектив\u043d0сть": "эффективность", "сл0в0" * 15: "слово" * 15}
+
+
+def test_merged_forms_of_every_pair_are_equal(spark):
+    rows = [(f"ка{a}ра", f"ка{b}ра") for a, b in scans.PAIRS]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", (scans.merged(F.col("a")) == scans.merged(F.col("b"))).alias("same")).collect()
+    assert [(r.a, r.b) for r in got if not r.same] == []
+
+
+def test_a_cut_word_is_corrected_as_a_whole(spark):
+    rows = [(i, "теплопровод стены") for i in range(4)] + [(9, "слой тепло-\nпр0вод стены")]
+    docs = spark.createDataFrame(rows, "parsed_id bigint, text string")
+    found = scans.evidence(docs)
+    assert {r.parsed_id: r.repaired for r in scans.repair(docs, found).collect()} == {9: "слой теплопровод стены"}
