@@ -73,6 +73,10 @@ def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "chunk_vectors"))
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.classes_above(table(spark, sf_dir, "chunk_vectors"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -87,7 +91,7 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (p3_found, p4_found, p5_found, p6_found, p7_found, p8_ids, p10_found)
-    whole = (p3_restored, p4_pieces, p5_repaired, p6_nearest, p7_consistent, p9_containers, p9_fill, p10_scores, p10_rates)
+    whole = (p3_restored, p4_pieces, p5_repaired, p6_nearest, p6_classes, p7_consistent, p9_containers, p9_fill, p10_scores, p10_rates)
     return {f.__name__: f for f in (*found, *whole)}
 
 
