@@ -31,6 +31,8 @@ density | lb/ft³ | 16.018463 | 0 | lb/ft³; фунт/фут³; фунт на к
 thickness | mm | 1 | 0 | мм; mm; миллиметр; миллиметры; миллиметров; millimetres
 thickness | cm | 10 | 0 | см; cm; сантиметр; сантиметры; сантиметров; centimetres
 thickness | m | 1000 | 0 | м; m; метр; метры; метров; metres
+thickness | dm | 100 | 0 | дм; dm; дециметр; дециметры; дециметров; decimetres
+thickness | km | 1000000 | 0 | км; km; километр; километры; километров; kilometres
 thickness | µm | 0.001 | 0 | мкм; µm; um; микрон; микрометр
 thickness | in | 25.4 | 0 | дюйм; дюймы; дюймов; in; inch; inches
 thickness | ft | 304.8 | 0 | фут; футы; футов; ft; feet
@@ -46,6 +48,8 @@ heat_flow | BTU/h | 0.29307107 | 0 | БТЕ/ч; BTU/h; BTU/hr
 pressure | Pa | 1 | 0 | Па; Pa; паскаль; паскали; pascals
 pressure | kPa | 1000 | 0 | кПа; kPa; килопаскаль; килопаскали; kilopascals
 pressure | MPa | 1000000 | 0 | МПа; мегапаскаль; мегапаскали; megapascals
+pressure | hPa | 100 | 0 | гПа; hPa; гектопаскаль; гектопаскали; hectopascals
+pressure | GPa | 1000000000 | 0 | ГПа; GPa; гигапаскаль; гигапаскали; gigapascals
 pressure | bar | 100000 | 0 | бар; bar
 pressure | mbar | 100 | 0 | мбар; mbar; миллибар
 pressure | kgf/cm² | 98066.5 | 0 | кгс/см²; kgf/cm²
@@ -87,6 +91,16 @@ _FREE = set(" .()[]{}·,;:'\"_°")
 MOST_EDITS = 0.12
 
 
+def longest_spelling() -> int:
+    """No longer text can be within MOST_EDITS of a spelling of the table: the limit buys so many free signs, or inflected letters, beside it."""
+    most = 0
+    for _, _, _, _, spelled in _table():
+        for s in spelled.split(";"):
+            room = MOST_EDITS * max(1, len(skeleton(s))) + 0.5
+            most = max(most, len(folded(s)) + int(room / 0.05))
+    return most
+
+
 def units() -> dict[tuple[str, str], tuple[float, float]]:
     """(quantity, unit) -> (factor, offset)."""
     return {(q, u): (float(f), float(o)) for q, u, f, o, _ in _table()}
@@ -105,8 +119,9 @@ def folded(spelling: str) -> str:
     """A spelling without what never changes a unit, but with case where case counts (mW and MW)."""
     s = spelling.strip()
     mega = s[:1] in "MМ" and s[1:3].lower() in ("вт", "па", "w", "pa", "w/")
+    giga = s[:1] in "GГ" and s[1:3].lower() in ("па", "pa")
     s = s.lower().translate(_SAME)
-    return ("mega" if mega else "") + s
+    return ("mega" if mega else "giga" if giga else "") + s
 
 
 def skeleton(spelling: str) -> str:
@@ -163,7 +178,7 @@ def alias_dictionary(spark: SparkSession, spellings: DataFrame) -> DataFrame:
             weighted_distance(x, y, MOST_EDITS * len(z) + 0.5) / max(1, len(z)) for x, y, z in ((folded(p), folded(q), skeleton(q)) for p, q in zip(a, b))
         ])
 
-    distinct = spellings.where("spelling is not null and spelling <> '' and length(spelling) <= 60").select("quantity", "spelling").distinct()
+    distinct = spellings.where("spelling is not null and spelling <> ''").where(F.length("spelling") <= longest_spelling()).select("quantity", "spelling").distinct()
     seen = distinct.withColumn("g", grams("spelling")).withColumn("size", F.size("g")).withColumn("gram", F.explode("g"))
     near = (
         seen.join(index, ["quantity", "gram"]).groupBy("quantity", "spelling", "size", "unit", "known").agg(F.count("*").alias("shared"))
@@ -241,10 +256,16 @@ def read_value(cell: str | None) -> tuple[str, float | None, float | None, str |
 _LINK = re.compile(r"(?:[\s,:;(\[«»\"—–/=.-]|дан[аоы]?\b|даётся\b|привед[её]н[аоы]?\b|указан[аоы]?\b|выражен[аоы]?\b|измер\w+|значени\w+|столбц\w+|values?\b|given\b|measured\b|is\b|are\b|в(?=\s)|in\s)+", re.IGNORECASE)
 
 
+@lru_cache(maxsize=1)
+def _reach() -> int:
+    return longest_spelling()
+
+
 def stated_spellings(rest: str) -> list[str]:
-    """Candidate spellings at the start of a statement's text after the quantity's name, longest first."""
+    """Candidate spellings at the start of a statement's text after the quantity's name, longest first: every beginning that ends at a word and that
+    is not too long for any unit."""
     m = _LINK.match(rest)
-    s = (rest[m.end() :] if m else rest)[:80]
+    s = (rest[m.end() :] if m else rest)[: _reach() + 1]
     cut = re.search(r"[;«»]", s)
     s = s[: cut.start()] if cut else s
     out, stops = [], [x.start() for x in re.finditer(r"[\s,)\]]", s)] + [len(s)]
@@ -254,9 +275,9 @@ def stated_spellings(rest: str) -> list[str]:
             c = c.rstrip(")")
         if c.count("[") < c.count("]"):
             c = c.rstrip("]")
-        if c and len(c) <= 60 and c not in out:
+        if c and len(c) <= _reach() and c not in out:
             out.append(c)
-    return out[:12]
+    return out
 
 
 def rows_of(spark: SparkSession) -> DataFrame:

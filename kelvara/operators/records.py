@@ -2,9 +2,9 @@
 every value to the common unit of its quantity (problems 1 and 2).
 
 Each task writes the record lines of its tables to files, one per delimiter and width, and lets DuckDB read them with
-reject tables; line errors are joined to the raw records by the line's key. Lines whose quoting breaks the rules could
-swallow their neighbours, so they are read from files of their own. Values are then parsed per column, and the units
-are resolved through the alias dictionary of `functions.units`.
+reject tables; line errors are joined to the raw records by the line's key, and lines that an open quote swallowed are
+read again. Plain numbers come typed from the reader, other values are parsed per column, and the units are resolved
+through the alias dictionary of `functions.units`.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from kelvara.functions import units as U
 from kelvara.session import cut_lineage
 
-#: Tables read together by one DuckDB call.
-SLICE = 400
+#: Tables read together by one DuckDB call, and their characters.
+SLICE, SLICE_CHARS = 2000, 8_000_000
 _US = "\x1f"
 #: Quantities of which no value is below zero. Fixed values.
 NOT_NEGATIVE = ("conductivity", "density", "thickness", "specific_heat", "resistance", "duration", "air_flow", "pressure", "heat_flow")
@@ -155,51 +155,77 @@ class Table:
         return best
 
 
-def _read(groups: dict[tuple[str, int], list[tuple[int, str]]], folder: str, con) -> tuple[dict[int, list[str]], dict[int, str]]:
-    """Sound cells and reasons by line key. groups: lines by delimiter and width."""
-    sound: dict[int, list[str]] = {}
+#: A cell that is a number as it stands; DuckDB gives it typed. Anything else is read by units.read_value.
+_NUMBER = "[+-]?[0-9]{1,15}([.,][0-9]{1,15})?"
+_COUNTS = ("MISSING COLUMNS", "TOO MANY COLUMNS")
+
+
+def _read(groups: dict[tuple[str, int], list[tuple[int, str]]], folder: str, con) -> tuple[dict[int, tuple[list[str], list[float | None]]], dict[int, str]]:
+    """Sound cells with the numbers among them, and reasons, by line key. groups: lines by delimiter and width.
+
+    One file per group. A quote that never closes makes the reader swallow the lines up to the next quote: the reject (or a cell that
+    holds a line end) names the culprit, and the swallowed lines are read again, which at least halves the culprits that are left.
+    """
+    sound: dict[int, tuple[list[str], list[float | None]]] = {}
     faults: dict[int, str] = {}
     for n, ((d, width), lines) in enumerate(groups.items()):
         quoting = d != _US
-        tame, wild = [], []
-        for key, line in lines:
-            line = line.replace("\r", " ").replace("\n", " ")
-            (tame if not quoting or _GRAMMAR[d].fullmatch(line) else wild).append((key, f"{key}{d}{line}"))
-        files = []
-        for k, part in enumerate([tame, *([w] for w in wild)]):
-            if part:
-                files.append(os.path.join(folder, f"{n}_{k}.csv"))
-                with open(files[-1], "w", encoding="utf-8", newline="") as f:
-                    f.write("\n".join(x for _, x in part) + "\n")
-        for at in range(0, len(files), 500):
-            names = ", ".join(f"'{f}'" for f in files[at : at + 500])
-            columns = ", ".join(["'k': 'BIGINT'", *(f"'c{i}': 'VARCHAR'" for i in range(width))])
-            sign = "'\"'" if quoting else "''"
+        pending = [(key, line.replace("\r", " ").replace("\n", " ")) for key, line in lines]
+        names = [f"c{i}" for i in range(width)]
+        columns = ", ".join(["'k': 'BIGINT'", *(f"'{c}': 'VARCHAR'" for c in names)])
+        typed = ", ".join(f"case when regexp_full_match({c}, '{_NUMBER}') then replace({c}, ',', '.')::double end" for c in names)
+        sign = "'\"'" if quoting else "''"
+        while pending:
+            path = os.path.join(folder, f"{n}.csv")
+            body = "".join(f"{key}{d}{line}\n" for key, line in pending).encode()
+            with open(path, "wb") as f:
+                f.write(body)
+            # a record may span lines where a quote is open, so the whole file is the longest possible line
+            room = max(len(body) + 1024, 1 << 16)
             con.execute("drop table if exists reject_errors; drop table if exists reject_scans")
             got = con.execute(
-                f"select * from read_csv([{names}], delim='{d}', quote={sign}, escape={sign}, header=false, auto_detect=false, strict_mode=true, "
-                f"null_padding=false, store_rejects=true, parallel=false, max_line_size=67108864, buffer_size=134217728, columns={{{columns}}})"
+                f"select k, [{', '.join(names)}], [{typed}] from read_csv('{path}', delim='{d}', quote={sign}, escape={sign}, header=false, auto_detect=false, strict_mode=true, "
+                f"null_padding=false, store_rejects=true, parallel=false, max_line_size={room}, buffer_size={2 * room}, columns={{{columns}}})"
             ).fetchall()
-            for key, *cells in got:
-                sound[key] = ["" if c is None else c for c in cells]
+            done: dict[int, str | None] = {}
+            swallowed: set[int] = set()
+            for key, cells, numbers in got:
+                taken = [c for c in cells if c and "\n" in c] if quoting else ()
+                if taken:
+                    done[key] = "quoting"
+                    swallowed.update(_keys("\n".join(taken).split("\n")[1:], d))
+                else:
+                    done[key] = None
+                    sound[key] = (["" if c is None else c for c in cells], numbers)
             for text, kind in con.execute("select csv_line, error_type::varchar from reject_errors").fetchall():
-                head = (text or "").split(d, 1)[0]
-                if head.isdigit():
-                    reason = "column_count" if kind in ("MISSING COLUMNS", "TOO MANY COLUMNS") else "quoting"
-                    if faults.get(int(head)) != "quoting":
-                        faults[int(head)] = reason
-        # the reader takes some breaches of the quoting rules as text; the grammar has the last word
-        for key, _ in wild:
-            sound.pop(key, None)
-            faults[key] = "quoting"
-        for key, _ in tame:
-            if key in faults:
-                sound.pop(key, None)
-            elif key not in sound:
-                faults[key] = "column_count"
+                head, *more = (text or "").rstrip("\n").split("\n")
+                for key in _keys([head], d):
+                    if done.get(key) != "quoting":
+                        done[key] = "column_count" if kind in _COUNTS and not more else "quoting"
+                    sound.pop(key, None)
+                swallowed.update(_keys(more, d))
+            # what is neither read, rejected nor swallowed stands behind a quote that is open to the end of the file
+            tail = next((key for key, _ in pending if key not in done and key not in swallowed), None)
+            if tail is not None:
+                done[tail] = "quoting"
+            left = [x for x in pending if x[0] not in done]
+            if quoting:
+                # the reader takes some breaches of the quoting rules as text; every quote is checked against them
+                for key, line in pending:
+                    if key in done and '"' in line and not _GRAMMAR[d].fullmatch(line):
+                        done[key] = "quoting"
+            for key, reason in done.items():
+                if reason:
+                    sound.pop(key, None)
+                    faults[key] = reason
+            pending = left
     return sound, faults
 
 
+def _keys(lines: list[str], d: str) -> list[int]:
+    return [int(k) for x in lines if (k := x.split(d, 1)[0]).isdigit()]
+
+
 def load_tables(tables: DataFrame, quantities: DataFrame) -> DataFrame:
     """One row per table: its headers, sound records, faults, and per column of a known quantity the cells with their numbers.
 
@@ -213,18 +239,32 @@ def load_tables(tables: DataFrame, quantities: DataFrame) -> DataFrame:
 
         names = Names(known)
         con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                folder = tempfile.mkdtemp(prefix="kelvara-records-")
-                try:
-                    yield _slice(batch.slice(at, SLICE).to_pylist(), names, folder, con)
-                finally:
-                    shutil.rmtree(folder, ignore_errors=True)
+        for rows in _slices(batches):
+            folder = tempfile.mkdtemp(prefix="kelvara-records-")
+            try:
+                yield _slice(rows, names, folder, con)
+            finally:
+                shutil.rmtree(folder, ignore_errors=True)
 
     source = tables.select(F.col("table_id").cast("bigint"), "title", "headers", "rows", "raw_text")
     return source.mapInArrow(run, _DDL)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Tables for one DuckDB call: up to SLICE of them, fewer where they are long."""
+    held, size = [], 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            own = len(row["raw_text"] or "") or sum(len(c or "") for r in row["rows"] or [] for c in r or [])
+            if held and (len(held) >= SLICE or size + own > SLICE_CHARS):
+                yield held
+                held, size = [], 0
+            held.append(row)
+            size += own
+    if held:
+        yield held
+
+
 def _slice(rows: list[dict], names: Names, folder: str, con) -> pa.RecordBatch:
     groups: dict[tuple[str, int], list[tuple[int, str]]] = {}
     parsed, places = [], {}
@@ -237,17 +277,23 @@ def _slice(rows: list[dict], names: Names, folder: str, con) -> pa.RecordBatch:
             if t.width:
                 groups.setdefault((t.delimiter, t.width), []).append((key, line))
     sound, faults = _read(groups, folder, con)
-    out = [{"table_id": r["table_id"], "headers": t.headers, "records": [], "faults": [], "columns": []} for r, t in parsed]
+    # structs as tuples in the order of their fields
+    records: list[list] = [[] for _ in parsed]
+    wrong: list[list] = [[] for _ in parsed]
+    columns: list[list] = [[] for _ in parsed]
+    numbers: list[list] = [[] for _ in parsed]
     for key, (k, row_no, line) in places.items():
         if key in sound:
-            out[k]["records"].append({"row_no": row_no, "cells": sound[key]})
+            cells, typed = sound[key]
+            records[k].append((row_no, cells))
+            numbers[k].append(typed)
         else:
-            out[k]["faults"].append({"row_no": row_no, "reason": faults.get(key, "column_count"), "line": line.replace(_US, " | ")})
-    for (r, t), o in zip(parsed, out):
+            wrong[k].append((row_no, faults.get(key, "column_count"), line.replace(_US, " | ")))
+    for k, (r, t) in enumerate(parsed):
         title, note = names.statements(r["title"]), names.statements(t.note)
-        columns = [(i, names.column(h)) for i, h in enumerate(t.headers)]
-        bases = {c[1] for _, c in columns if c}
-        for i, c in columns:
+        named = [(i, names.column(h)) for i, h in enumerate(t.headers)]
+        bases = {c[1] for _, c in named if c}
+        for i, c in named:
             if not c:
                 continue
             quantity, base, stated = c
@@ -256,11 +302,12 @@ def _slice(rows: list[dict], names: Names, folder: str, con) -> pa.RecordBatch:
                     if q == quantity and (b == base or b not in bases):
                         stated = stated + spellings
             cells = []
-            for rec in o["records"]:
-                state, lo, hi, unit = U.read_value(rec["cells"][i])
-                cells.append({"row_no": rec["row_no"], "text": rec["cells"][i], "state": state, "lo": lo, "hi": hi, "unit": unit})
-            o["columns"].append({"col_no": i, "quantity": quantity, "stated": stated, "cells": cells})
-    return pa.RecordBatch.from_pylist(out, schema=_OUT)
+            for (row_no, row), typed in zip(records[k], numbers[k]):
+                x = typed[i]
+                cells.append((row_no, row[i], "value", x, x, None) if x is not None else (row_no, row[i], *U.read_value(row[i])))
+            columns[k].append((i, quantity, stated, cells))
+    arrays = [[r["table_id"] for r, _ in parsed], [t.headers for _, t in parsed], records, wrong, columns]
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(arrays, _OUT)], schema=_OUT)
 
 
 def table_values(loaded: DataFrame) -> DataFrame:
@@ -335,7 +382,7 @@ def material_values(materials: DataFrame, catalogues: DataFrame) -> DataFrame:
 
     rows = (
         materials.where("lambda_value is not null").select("material_id", "lambda_value", _own_text("name").alias("s0"), _own_text("remark").alias("s1"), _own_text("source").alias("s2"), F.regexp_extract(F.coalesce("source", F.lit("")), r"^\s*([^\s(\[]+)", 1).alias("code"))
-        .join(F.broadcast(about), "code", "left")
+        .join(about, "code", "left")
         .select("material_id", "lambda_value", spellings(F.array("s0", "s1", "s2"), F.col("s3")).alias("stated"))
     )
     rows = cut_lineage(rows)

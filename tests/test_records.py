@@ -100,3 +100,31 @@ def test_materials(spark):
 def test_empty_tables(spark):
     loaded, values = load(spark, [])
     assert records.faulty_records(loaded, values).count() == 0 and values.count() == 0
+
+
+def test_open_quotes_swallow_no_neighbours(spark):
+    lines = ['a;"1', 'b;2', '"c";3', 'd;4', '"e;5', 'f"g";6', '"h;7";8', 'i;9', '"j', 'k;10']
+    want = {0: "quoting", 4: "quoting", 5: "quoting", 8: "quoting"}
+    loaded, values = load(spark, [(1, None, None, None, "\n".join(["Имя;Толщина", *lines]), None), (2, None, None, None, "Имя;Толщина\nx;1\ny;\"2", None), (3, None, None, None, "Имя;Толщина\n" + "\n".join(f'x;"{i}' for i in range(50)), None)])
+    got = {(r.table_id, r.row_no): r.reason for r in records.faulty_records(loaded, values).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == 1} == want
+    assert {k: v for k, v in got.items() if k[0] == 2} == {(2, 1): "quoting"}
+    assert sum(k[0] == 3 and v == "quoting" for k, v in got.items()) == 50
+    cells = {(r.table_id, r.row_no): r.cell for r in records.sound_cells(loaded, values).where("header_no = 0").collect()}
+    assert cells == {(1, 1): "b", (1, 2): "c", (1, 3): "d", (1, 6): "h;7", (1, 7): "i", (1, 9): "k", (2, 0): "x"}
+
+
+def test_very_long_lines(spark):
+    long = "x" * 3_000_000
+    loaded, values = load(spark, [(1, None, None, None, f'Имя;Толщина\n{long};5\n"{long};6', None)])
+    assert [(r.row_no, r.reason) for r in records.faulty_records(loaded, values).collect()] == [(1, "quoting")]
+    assert [r.lo for r in values.collect()] == [5.0]
+
+
+def test_long_statements_keep_their_unit(spark):
+    words = "выраженные по результатам испытаний в сухом состоянии"
+    rows = [(1, f"Толщина, см, а также {words}, t в К, q в Вт, ρ в г/см³, с в Дж/(кг·К), L в м³/с", ["δ"], [["5"]], None, None), (2, None, ["δ, дм"], [["5"]], None, None), (3, None, ["λ, килокалория на метр и час и градус"], [["5"]], None, None)]
+    _, values = load(spark, rows)
+    got = {r.table_id: (r.unit, r.lo) for r in values.collect()}
+    assert got[1] == ("cm", 50.0) and got[2] == ("dm", 500.0)
+    assert U.longest_spelling() > max(len(s) for r in U._table() for s in r[4].split(";"))
