@@ -111,7 +111,9 @@ def corrections(vocab: DataFrame) -> DataFrame:
         return pd.Series([aligned(a, b) for a, b in zip(wrong, right)])
 
     verified = joined.distinct().where(fits("word", "right"))
-    return verified.groupBy("word").agg(F.max_by("right", F.struct("right_n", F.col("right"))).alias("right"))
+    best = verified.groupBy("word").agg(F.max_by("right", F.struct("right_n", F.col("right"))).alias("right"))
+    # written anew, as Spark would else infer the conditions above, with all their sums, for every word that is joined to these
+    return best.select(F.concat("word", F.lit("")).alias("word"), "right")
 
 
 _CUT = r"([\p{L}\p{N}/|!}{]*[\p{L}])([-\u2010\u00ac\u00ad])[ \t]*\r?\n[ \t]*([\p{Ll}][\p{L}\p{N}/|!}{]*)"
