@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelvara import lexicons as L
 from kelvara.functions import text as T
-from kelvara.operators import calculation, reporting
+from kelvara.config import SEARCH
+from kelvara.operators import calculation, reporting, retrieval
 
 
 def query_type(query: Column) -> Column:
@@ -33,7 +36,7 @@ def defined_term(query: Column) -> Column:
     q = F.lower(T.strip(query))
     out = None
     for p in L.DEFINITION_PREFIXES:
-        term = F.btrim(F.substring(q, len(p) + 1, 100_000), F.lit(" ?!.,:;\"'«»()[]"))
+        term = F.btrim(F.substring(q, F.lit(len(p) + 1), F.length(q)), F.lit(" ?!.,:;\"'«»()[]"))
         out = F.when(F.startswith(q, F.lit(p)), term) if out is None else out.when(F.startswith(q, F.lit(p)), term)
     return out
 
@@ -64,6 +67,10 @@ def variants(query: Column, boosts: Column | None = None, most: int = 4) -> Colu
     return F.slice(first, 1, most)
 
 
+#: Chunks per variant by kind of question. Fixed values.
+TOP_K_MOST = 14
+
+
 def top_k(kind: Column) -> Column:
     return F.when(kind == "calculation", 8).when(kind == "regulatory", 14).otherwise(12)
 
@@ -77,7 +84,7 @@ def boosted_score(query: Column, doc_name: Column, text: Column, score: Column,
     hits = F.size(F.filter(terms, lambda t: F.contains(low, t)))
     out = F.coalesce(score, F.lit(0.0))
     if preferred is not None:
-        out = out + F.when(F.exists(preferred, lambda s: F.contains(name, F.lower(s))), 0.20).otherwise(0.0)
+        out = out + F.when(F.exists(F.coalesce(preferred, F.expr("cast(array() as array<string>)")), lambda s: F.contains(name, F.lower(s))), 0.20).otherwise(0.0)
     out = out + F.when(F.exists(codes, lambda c: F.contains(name, c) | F.contains(low, c)), 0.35).otherwise(0.0)
     out = out + F.when(F.exists(refs, lambda r: F.contains(low, r)), 0.20).otherwise(0.0)
     return out + F.least(F.lit(0.25), hits * F.lit(0.03))
@@ -141,13 +148,25 @@ def definitions(hits: DataFrame) -> DataFrame:
     return first.select("query_id", "term", F.col("f.sentence").alias("definition"), F.col("f.doc_name").alias("source"))
 
 
+#: Distinct terms up to which every sentence is held against all of them; beyond it both meet on letter triples.
+SENT_TERMS = 2_000
+
+
 def term_definitions(terms: DataFrame, chunks: DataFrame, keys: tuple[str, ...], longest: int = 100) -> DataFrame:
-    """(term, definition, keys): for every term the shortest sentence of all chunks that has it, below `longest` characters; the earliest
-    chunk among equals. Terms meet sentences on their first word, so no term is held against every sentence."""
-    asked = terms.select(F.lower(T.strip(F.col("term"))).alias("term")).where("term <> ''").distinct().withColumn("word", F.get(T.tokens(F.col("term")), F.lit(0))).where("word is not null")
+    """(term, definition, keys): for every term the shortest sentence of all chunks that contains it, below `longest` characters; the earliest
+    chunk among equals. A term may stand inside a word. Few terms are sent to the sentences; many meet them on the term's first three
+    letters, so that no term is held against every sentence. Blank and null terms are left out."""
+    asked = terms.select(F.lower(T.strip(F.col("term"))).alias("term")).where("term <> ''").distinct()
     short = chunks.select(*keys, F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).where(F.length("sentence") < longest)
-    words = short.select(*keys, "pos", "sentence", F.explode(F.array_distinct(T.tokens(F.col("sentence")))).alias("word"))
-    hit = words.join(asked, "word").where(F.contains(F.lower("sentence"), F.col("term")))
+    few = asked.limit(SENT_TERMS + 1).count() <= SENT_TERMS
+    if few:
+        hit = short.join(F.broadcast(asked), F.contains(F.lower("sentence"), F.col("term")))
+    else:
+        low = F.lower("sentence")
+        triples = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - 2)), lambda i: F.substring(low, i, F.lit(3)))
+        grams = short.select("*", F.explode(F.array_distinct(triples)).alias("gram"))
+        long = grams.join(asked.where(F.length("term") >= 3).select("term", F.substring("term", 1, 3).alias("gram")), "gram").drop("gram")
+        hit = long.where(F.contains(low, F.col("term"))).unionByName(short.join(asked.where(F.length("term") < 3), F.contains(low, F.col("term"))))
     best = hit.groupBy("term").agg(F.min(F.struct(F.length("sentence").alias("n"), *keys, "pos", "sentence")).alias("f"))
     return best.select("term", T.strip(F.col("f.sentence")).alias("definition"), *(F.col(f"f.{k}").alias(k) for k in keys))
 
@@ -184,6 +203,32 @@ def formulas_of_hits(hits: DataFrame, first: int = 3, each: int = 3) -> DataFram
     return once.select("query_id", "raw", F.col("f.doc_name").alias("source"))
 
 
+def search_variants(chunks: DataFrame, vectors: DataFrame | None, queries: DataFrame, boosts: DataFrame, dims: int = 64) -> DataFrame:
+    """(query_id, query, kind, rank, doc_name, parsed_id, chunk_id, text, score): the agent's search. Every question's variants are searched, each
+    for as many chunks as its kind asks for; the hits are united, the first variant first, distinct by source and the text's first 250 characters,
+    boosted (remembered sources, codes, sections, terms) and cut again.
+
+    queries: query_id, query, qvec; boosts: the rows of memory.boosts for these questions under their own kind. A variant is embedded as its
+    question is. Blank and null questions give no row; ties go by variant, rank and key. chunks: keys, doc_name, text.
+    """
+    # an id of a variant: four of each question
+    most = 4
+    item = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("boost") == kind, F.struct("ord", "item")))), lambda x: x["item"])
+    remembered = boosts.withColumnRenamed("kind", "boost").groupBy("query_id").agg(item("source").alias("sources"), item("term").alias("terms"))
+    asked = queries.where(T.strip(F.col("query")) != "").join(remembered, "query_id", "left").withColumn("kind", query_type(F.col("query")))
+    spelled = asked.select("*", F.posexplode(variants(F.col("query"), F.col("terms"), most)).alias("ord", "variant"))
+    sought = spelled.select((F.col("query_id") * most + F.col("ord")).alias("query_id"), F.col("variant").alias("query"), "qvec")
+    found = retrieval.search(chunks, vectors, sought, replace(SEARCH, top_k=TOP_K_MOST), dims).withColumn("ord", F.pmod("query_id", F.lit(most))).withColumn("query_id", F.expr(f"query_id div {most}"))
+    told = found.select("query_id", "ord", "rank", *retrieval.KEY, "score").join(asked.select("query_id", "query", "kind", "sources"), "query_id").where(F.col("rank") <= top_k(F.col("kind")))
+    named = told.join(chunks.select(*retrieval.KEY, "doc_name", "text"), list(retrieval.KEY))
+    first = Window.partitionBy("query_id", "doc_name", F.substring("text", 1, 250)).orderBy("ord", "rank", *retrieval.KEY)
+    once = named.withColumn("n", F.row_number().over(first)).where("n = 1")
+    once = once.withColumn("score", T.rounded(boosted_score(F.col("query"), F.col("doc_name"), F.col("text"), F.col("score"), F.col("sources"))))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord", F.col("rank"), *retrieval.KEY)
+    ranked = once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_k(F.col("kind")))
+    return ranked.select("query_id", "query", "kind", F.col("place").alias("rank"), "doc_name", *retrieval.KEY, "text", "score")
+
+
 def answer(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """(query_id, kind, answer, confidence, needs_clarification, questions, completeness): every question answered by its kind: a calculation, a
     definition, a comparison, requirements, or else the beginning of the best hits. One plan over all questions; the parts meet on

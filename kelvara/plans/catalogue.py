@@ -12,7 +12,7 @@ from kelvara.config import SEARCH
 from kelvara.functions import text as T
 from kelvara.operators import agent, calculation, chunking, memory, providers, reporting, retrieval, tables
 from kelvara.plans import oracles, problems
-from kelvara.session import spread, table
+from kelvara.session import cut_lineage, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -291,6 +291,19 @@ def rerank_hits(s, d):
     return agent.rerank(_hits(s, d)).select("query_id", F.col("new_rank").cast("bigint").alias("new_rank"), "result_id", "boosted")
 
 
+def _agent_hits(s, d):
+    asked = _questions(s, d).where(T.strip(F.col("query")) != "")
+    typed = asked.select("query_id", "query", agent.query_type(F.col("query")).alias("query_type"))
+    # read for the ids and again for the texts of the hits
+    chunks = cut_lineage(_chunks(s, d))
+    return agent.search_variants(chunks, table(s, d, "chunk_vectors"), asked.select("query_id", "query", "qvec"), memory.boosts(typed, _memory(s, d)))
+
+
+@query
+def agent_search(s, d):
+    return _agent_hits(s, d).select("query_id", "kind", F.col("rank").cast("bigint").alias("place"), "parsed_id", "chunk_id", "doc_name", "score")
+
+
 @query
 def context_params(s, d):
     return agent.context_parameters(_hits(s, d)).withColumn("confidence", F.round("confidence", 6))
@@ -394,7 +407,8 @@ def formula_registry(s, d):
 
 @query
 def agent_answers(s, d):
-    return agent.answer(table(s, d, "queries"), _hits(s, d))
+    found = cut_lineage(_agent_hits(s, d).withColumn("result_id", F.col("rank").cast("bigint")).withColumnRenamed("kind", "query_type"))
+    return agent.answer(_questions(s, d), found)
 
 
 @query

@@ -87,22 +87,30 @@ def pattern(x: str) -> str:
 
 HITS = """hits as (select * from (select r.*, q.query, q.query_type, row_number() over (partition by r.query_id, r.rank order by r.result_id) as n
   from search_results r join queries q using (query_id)) where n = 1)"""
-CHUNKS = f"""chunks as (select parsed_id, chunk_id, text from (select parsed_id, c.chunk_id as chunk_id, {strip('c.text')} as text
-  from (select parsed_id, unnest(chunks) as c from parsed_documents)) where text <> '')"""
+CHUNKS = f"""chunks as (select parsed_id, chunk_id, doc_name, text from (select parsed_id, doc_name, c.chunk_id as chunk_id, {strip('c.text')} as text
+  from (select parsed_id, doc_name, unnest(chunks) as c from parsed_documents)) where text <> '')"""
 TERMS = f"""toks as (select parsed_id, chunk_id, regexp_extract_all(lower(text), '{TOKEN}') as t from chunks),
 terms as (select parsed_id, chunk_id, term, count(*) as tf from (
   select parsed_id, chunk_id, unnest(t) as term from toks
   union all select parsed_id, chunk_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) from toks) group by all),
 vocab as (select term, count(*) as df, sum(tf)::bigint as ctf from terms group by term order by ctf desc, term limit {SEARCH.vocabulary}),
 idf as (select term, df, ctf, ln((1 + (select count(*) from chunks)) / (1 + df)) + 1 as idf from vocab)"""
-LEXICAL = f"""raw as (select parsed_id, chunk_id, term, tf * idf as w from terms join idf using (term)),
+_ASKED = f"(select query_id, query from queries where {_STEP} and {strip('query')} <> '')"
+
+
+def lexical(asked: str) -> str:
+    """The lexical score of every chunk that shares a term with a row (query_id, query) of `asked`."""
+    return f"""raw as (select parsed_id, chunk_id, term, tf * idf as w from terms join idf using (term)),
 post as (select parsed_id, chunk_id, term, w / sqrt(sum(w * w) over (partition by parsed_id, chunk_id)) as w from raw),
-qt as (select query_id, regexp_extract_all(lower(query), '{TOKEN}') as t from queries where {_STEP} and {strip('query')} <> ''),
+qt as (select query_id, regexp_extract_all(lower(query), '{TOKEN}') as t from {asked}),
 qterms as (select query_id, term, count(*) as tf from (select query_id, unnest(t) as term from qt
   union all select query_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) from qt) group by all),
 qraw as (select query_id, term, tf * idf as w from qterms join idf using (term)),
 qw as (select query_id, term, w / sqrt(sum(w * w) over (partition by query_id)) as qw from qraw),
 lex as (select query_id, parsed_id, chunk_id, sum(w * qw) as lexical from post join qw using (term) group by all)"""
+
+
+LEXICAL = lexical(_ASKED)
 USABLE = """usable as (select * from (select vec_id, parsed_id, chunk_id, list_transform(vec, lambda x: x::double) as v from chunk_vectors where vec is not null)
   where len(list_filter(v, lambda x: x is null or isnan(x))) = 0 and list_sum(list_transform(v, lambda x: x * x)) > 0)"""
 _COS = "list_dot_product(v, qv) / sqrt(list_dot_product(v, v))"
@@ -217,11 +225,11 @@ def sql() -> dict[str, str]:
       ans as (select query_id, case when length(a) > 1800 then regexp_replace(left(a, 1800), ' [^ ]*$', '') || '...' else a end as answer from y)"""
     out["extractive_answer"] = f"with {HITS}, {answers} select query_id, answer from ans"
     prefix = "^(?:" + "|".join(L.DEFINITION_PREFIXES) + ")"
-    out["find_definition"] = f"""with {CHUNKS}, t as (select distinct term, regexp_extract(term, '{TOKEN}') as word from (select trim(regexp_replace(lower({strip('query')}), {q(prefix)}, ''), {q(" ?!.,:;\"'«»()[]")}) as term
+    out["find_definition"] = f"""with {CHUNKS}, t as (select distinct term from (select trim(regexp_replace(lower({strip('query')}), {q(prefix)}, ''), {q(" ?!.,:;\"'«»()[]")}) as term
         from queries where {starts(f"lower({strip('query')})", L.DEFINITION_PREFIXES)}) where term <> ''),
       s as (select parsed_id, chunk_id, generate_subscripts(a, 1) as pos, unnest(a) as sentence from (select parsed_id, chunk_id, {sentences('text')} as a from chunks)),
       h as (select term, {strip('sentence')} as definition, parsed_id, chunk_id, row_number() over (partition by term order by length(sentence), parsed_id, chunk_id, pos) as r
-        from t join s on contains(lower(sentence), term) where length(sentence) < 100 and list_contains(regexp_extract_all(lower(sentence), '{TOKEN}'), word))
+        from t join s on contains(lower(sentence), term) where length(sentence) < 100)
       select term, definition, parsed_id, chunk_id from h where r = 1"""
     out["report_rows"] = f"""{best}, {answers}, body as (select query_id, 'answer' as section, (generate_subscripts(a, 1) - 1)::bigint as ord, unnest(a) as line from (select query_id, string_split(replace(answer, '*', ''), chr(10)) as a from ans))
       select * from body where {strip('line')} <> '' union all select query_id, 'source', ord, doc_name from o where ord <= 5"""
@@ -271,6 +279,29 @@ def sql() -> dict[str, str]:
     read = {n: f"try_cast(replace(nullif(regexp_extract(text, {q(p)}, 1), ''), ',', '.') as double)" for n, p in CONTEXT.items()}
     read["temperature"] = f"coalesce({read['temperature']}, ({numbers('query')})[1])"
     read["flow"] = f"coalesce({read['flow']}, ({numbers('query')})[2])"
+    kind_k = "case kind when 'calculation' then 8 when 'regulatory' then 14 else 12 end"
+    preferred = "case when len(list_filter(coalesce(sources, []), lambda s: contains(lower(coalesce(doc_name, '')), lower(s)))) > 0 then 0.2e0 else 0e0 end"
+    out["agent_search"] = f"""with {MEMORY}, asked as (select query_id, query, list_transform(qvec, lambda x: x::double) as qv, {query_type('query')} as kind, {pattern('query')} as p from queries where {_STEP} and {strip('query')} <> ''),
+      bh as (select query_id, mem.*, row_number() over (partition by query_id order by success_count desc, last_used desc, pattern) as r from asked join mem on mem.query_type = asked.kind
+        where p <> '' and (len(list_intersect(string_split(p, ' '), string_split(pattern, ' '))) >= 2 or p = pattern)),
+      bi as (select query_id, r, 'source' as boost, generate_subscripts(sources, 1) as pos, unnest(sources) as item from bh union all select query_id, r, 'term', generate_subscripts(boost_terms, 1), unnest(boost_terms) from bh),
+      bf as (select query_id, boost, item, min(row(r, pos)) as place from bi group by all), bo as (select *, row_number() over (partition by query_id, boost order by place) as o from bf),
+      bs as (select query_id, list(item order by o) filter (where boost = 'source') as sources, list(item order by o) filter (where boost = 'term') as words from bo where o <= 8 group by query_id),
+      ae as (select asked.*, coalesce(sources, []) as sources, coalesce(words, []) as words, regexp_extract_all(query, '{_CODE}') as codes, regexp_extract_all(query, '{_REF}') as refs, {domain_terms('query')} as terms from asked left join bs using (query_id)),
+      av as (select query_id, unnest([1, 2, 3, 4, 5]) as k, unnest([{strip('query')}, case when len(codes) > 0 then {join('codes', 4)} end, case when len(refs) > 0 then {join('refs', 4)} end,
+        case when len(terms) > 0 then trim(array_to_string(terms[1:8], ' ')) end, case when len(words) > 0 then trim(array_to_string(list_concat(terms[1:5], words[1:3]), ' ')) end]) as variant from ae),
+      ad as (select query_id, min(k) as k, arg_min(variant, k) as variant from av where variant is not null and variant <> '' group by query_id, lower(variant)),
+      sought as (select * from (select query_id, variant, row_number() over (partition by query_id order by k) - 1 as ord from ad) where ord < 4),
+      vq as (select query_id * 4 + ord as query_id, variant as query from sought),
+      {CHUNKS}, {TERMS}, {lexical('vq')}, {USABLE},
+      sem as (select query_id * 4 + ord as query_id, parsed_id, chunk_id, max({_COS}) as semantic from usable, (select query_id, ord, qv from sought join asked using (query_id)) group by all),
+      h as (select query_id, parsed_id, chunk_id, {SEARCH.semantic_weight}e0 * coalesce(semantic, 0) + {SEARCH.lexical_weight}e0 * coalesce(lexical, 0) as score
+        from (select distinct parsed_id, chunk_id from chunks) cross join (select query_id from vq) left join sem using (query_id, parsed_id, chunk_id) left join lex using (query_id, parsed_id, chunk_id)),
+      hr as (select query_id // 4 as query_id, query_id % 4 as ord, parsed_id, chunk_id, round(score + 1e-9, 6) as score, row_number() over (partition by query_id order by round(score + 1e-9, 6) desc, parsed_id, chunk_id) as rank from h where round(score + 1e-9, 6) >= {SEARCH.min_score}),
+      hk as (select hr.*, query, kind, sources, doc_name, text from hr join ae using (query_id) join chunks using (parsed_id, chunk_id) where rank <= {kind_k}),
+      ho as (select * from (select *, row_number() over (partition by query_id, doc_name, left(text, 250) order by ord, rank, parsed_id, chunk_id) as n from hk) where n = 1),
+      hb as (select * replace (round({boosted()} + {preferred} + 1e-9, 6) as score) from ho), hz as (select *, row_number() over (partition by query_id order by score desc, ord, rank, parsed_id, chunk_id) as place from hb)
+      select query_id, kind, place::bigint as place, parsed_id, chunk_id, doc_name, score from hz where place <= {kind_k}"""
     out["context_params"] = f"""with {HITS}, p as (select query_id, any_value(query) as query, string_agg(coalesce(text, ''), chr(10) order by rank) filter (where rank <= 3) as text, avg((coalesce(score, 0) > 0.5)::int) as good from hits group by query_id)
       select query_id, {', '.join(f'{c} as {n}' for n, c in read.items())}, round(case when good > 0 then good else 0.5 end, 6) as confidence from p"""
     marks = "[" + ", ".join(q(m) for m in L.REGULATORY_MARKERS) + "]"
