@@ -124,3 +124,57 @@ def table_plan(query: Column, city: Column) -> Column:
     wall = F.contains(low, F.lit("теплопотер")) | F.contains(low, F.lit("потери тепла")) | F.contains(low, F.lit("ограждени"))
     flow = F.coalesce(F.nullif(F.regexp_extract(low, r"(\d+[.,]?\d*)\s*м³/ч", 1), F.lit("")), F.nullif(F.regexp_extract(low, r"расход\s*(\d+[.,]?\d*)", 1), F.lit("")), p["L"].cast("string"))
     return F.when(city.isNull(), None).when(air, F.when(flow.isNotNull(), "ventilation")).when(wall, F.when(p["A"].isNotNull() & p["R"].isNotNull(), "heat_loss")).otherwise("gsop")
+
+
+#: What the climate tables are searched by, in this order. Fixed values.
+CLIMATE_PHRASES = ("климатические параметры температура отопительный период", "температура наружного воздуха отопительный период")
+#: Room temperature of table-driven calculations. Fixed value.
+ROOM_C = 20.0
+
+
+def air_flow(query: Column) -> Column:
+    """The air flow that a question names: before m³/h, after the word for flow, else the parameter L."""
+    low = F.lower(query)
+    read = lambda p: F.replace(F.nullif(F.regexp_extract(low, p, 1), F.lit("")), F.lit(","), F.lit(".")).cast("double")
+    return F.coalesce(read(r"(\d+[.,]?\d*)\s*м³/ч"), read(r"расход\s*(\d+[.,]?\d*)"), parameters(query)["L"])
+
+
+def table_answers(queries: DataFrame, climate: DataFrame, has_tables: Column) -> DataFrame:
+    """(query_id, city, plan, outcome, result, confidence, source, answer): questions (query_id, query, city) that are computed from a climate table.
+
+    outcome: ok, no_tables, city_not_found, no_numbers, no_climate (a calculation that needs a table row that isn't there) or error (resistance
+    0). climate: one row per city (tables.climate_of); has_tables: whether any climate table was found."""
+    p = parameters(F.col("query"))
+    asked = queries.select("query_id", "city", table_plan(F.col("query"), F.col("city")).alias("plan"), air_flow(F.col("query")).alias("flow"), p["A"].alias("area"), p["R"].alias("resistance")).where("plan is not null")
+    rows = asked.join(climate, "city", "left").withColumn("has_tables", has_tables)
+    found = F.when(~F.col("has_tables"), "no_tables").when(F.col("numbers").isNull(), "city_not_found").when(F.col("z_ot").isNull() | F.col("t_ot").isNull(), "no_numbers").otherwise("ok")
+    outside = F.round("t_ot", 1)
+    value = (
+        F.when(F.col("plan") == "gsop", gsop(F.lit(ROOM_C), F.col("t_ot"), F.col("z_ot"))).when(F.col("plan") == "ventilation", ventilation_heat(F.col("flow"), F.lit(ROOM_C), outside))
+        .otherwise(heat_loss(F.col("area"), F.lit(ROOM_C) - outside, F.col("resistance")))
+    )
+    rows = rows.withColumn("found", found)
+    rows = rows.withColumn("result", F.when(F.col("found") == "ok", value))
+    simple = F.col("plan") == "gsop"
+    outcome = F.when(simple | (F.col("found") == "ok"), F.when((F.col("found") == "ok") & F.col("result").isNull(), "error").otherwise(F.col("found"))).otherwise("no_climate")
+    rows = rows.withColumn("outcome", outcome)
+    confidence = F.when(F.col("outcome") == "ok", F.when(simple, 0.9).otherwise(0.85)).when(F.col("outcome") == "no_numbers", 0.2).otherwise(0.0)
+    said = (
+        F.when(F.col("outcome") == "ok", F.format_string("%s = %.2f %s", F.when(simple, "ГСОП для").when(F.col("plan") == "ventilation", "Расход теплоты на вентиляцию для").otherwise("Теплопотери для"), F.col("result"), F.when(simple, "°C·сут").otherwise("Вт")))
+        .when(F.col("outcome") == "no_tables", F.concat(F.lit("Не найдены климатические таблицы для города "), "city")).when(F.col("outcome") == "city_not_found", F.concat(F.lit("Город не найден в климатических таблицах: "), "city"))
+        .when(F.col("outcome") == "no_numbers", F.concat(F.lit("Нет климатических данных для города "), "city")).when(F.col("outcome") == "error", F.lit("Ошибка расчёта: деление на ноль"))
+        .otherwise(F.concat(F.lit("Нет климатических данных для города "), "city"))
+    )
+    said = F.when(F.col("outcome") == "ok", F.regexp_replace(said, " для = ", F.concat(F.lit(" для "), "city", F.lit(" = ")))).otherwise(said)
+    return rows.select("query_id", "city", "plan", "outcome", "result", confidence.alias("confidence"), F.when(F.col("outcome").isin("ok", "no_numbers"), F.col("source")).alias("source"), said.alias("answer"))
+
+
+def driver(queries: DataFrame, tabled: DataFrame) -> DataFrame:
+    """(query_id, formula, path, status, result, confidence, answer): every question that asks for a known formula; one that a climate table serves (tabled:
+    table_answers) is answered from it, any other from its own parameters."""
+    own = answers(queries)
+    both = own.join(tabled.select("query_id", "outcome", F.col("result").alias("t_result"), F.col("confidence").alias("t_confidence"), F.col("answer").alias("t_answer")), "query_id", "left")
+    served = F.col("outcome").isNotNull() & F.col("formula").isin("gsop", "ventilation_heat", "heat_loss")
+    said = F.when(F.col("status") == "ok", F.format_string("%s = %.2f", "formula", "result")).when(F.col("status") == "missing", F.concat(F.lit("Укажите значения: "), F.replace("missing", F.lit(","), F.lit(", ")))).otherwise(F.lit("Ошибка расчёта: деление на ноль"))
+    pick = lambda a, b: F.when(served, F.col(a)).otherwise(F.col(b) if isinstance(b, str) else b)
+    return both.select("query_id", "formula", F.when(served, "table").otherwise("parameters").alias("path"), pick("outcome", "status").alias("status"), pick("t_result", "result").alias("result"), pick("t_confidence", "confidence").alias("confidence"), pick("t_answer", said).alias("answer"))

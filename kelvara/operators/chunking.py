@@ -67,6 +67,17 @@ def chunk_texts(text: Column, settings: Chunking = CHUNKING) -> Column:
     return F.coalesce(split_long(F.when(long, paragraphs)), paragraphs)
 
 
+def windows(text: Column, settings: Chunking = CHUNKING) -> Column:
+    """array<string>: a text cut by windows alone, whatever its sentences."""
+    c = settings.clamped()
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else cut_windows(t, c))
+
+    return cut(text)
+
+
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Chunking = CHUNKING) -> DataFrame:
     """(id_col, chunk_id int, text, has_formula, has_table_like_content): no shuffle, chunk ids from 0 per row. Null and blank texts give
     no chunk."""

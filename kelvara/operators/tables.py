@@ -64,11 +64,12 @@ def marker_tables(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     body = (
         tagged.withColumn("title", F.first("title").over(inner)).withColumn("gap", F.sum(F.col("blank").cast("int")).over(inner))
         .withColumn("ended", F.max("blank").over(whole)).withColumn("last", F.max("island").over(Window.partitionBy("id")))
-        .where("not marker and gap = 0 and (ended or island = last)")
+        .where("not marker and gap = 0 and (ended or island = last)").withColumn("line", T.strip(F.col("line")))
     )
     found = _tables(body, "marker", 0.95, 1)
-    number = F.row_number().over(Window.partitionBy("id").orderBy("start")).cast("string")
-    return found.withColumn("title", F.coalesce("title", F.concat(F.lit("Таблица "), number)))
+    # numbered by the tables before it that have two data rows
+    before = F.coalesce(F.sum((F.size("lines") >= 3).cast("int")).over(Window.partitionBy("id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return found.withColumn("title", F.coalesce("title", F.concat(F.lit("Таблица "), (before + 1).cast("string"))))
 
 
 def keyword_tables(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -105,14 +106,52 @@ def rows_of(found: DataFrame) -> DataFrame:
     return found.withColumn("rows", F.when(F.col("kind") == "pipe", pipe).otherwise(other))
 
 
-def extract_tables(docs: DataFrame, id_col: str = "doc_id", least_rows: int = 2, most: int = 10) -> DataFrame:
+def extract_tables(docs: DataFrame, id_col: str = "doc_id", least_rows: int = 2, most: int = 10, source_col: str | None = None) -> DataFrame:
     """(id, table_no, kind, title, raw_text, rows, data_rows, confidence): the tables of every text from all four extractors; equal ones (first 200
-    characters) once, valid ones only, best confidence first, at most `most` per text."""
+    characters) once, valid ones only, best confidence first, at most `most` per text. Pipe and aligned tables are titled after the source
+    where its column is named, else they have no title."""
     found = marker_tables(docs, id_col).unionByName(pipe_tables(docs, id_col)).unionByName(aligned_tables(docs, id_col)).unionByName(keyword_tables(docs, id_col))
     first = Window.partitionBy("id", F.substring("raw_text", 1, 200)).orderBy(F.desc("confidence"), "start", "kind")
     order = Window.partitionBy("id").orderBy(F.desc("confidence"), "start", "kind")
     kept = rows_of(found.withColumn("r", F.row_number().over(first)).where("r = 1")).withColumn("data_rows", F.size("rows") - 1).where(F.col("data_rows") >= least_rows)
-    return kept.withColumn("table_no", F.row_number().over(order)).where(F.col("table_no") <= most).select("id", "table_no", "kind", "title", "raw_text", "rows", "data_rows", "confidence")
+    kept = kept.withColumn("table_no", F.row_number().over(order)).where(F.col("table_no") <= most)
+    if source_col is not None:
+        names = docs.select(F.col(id_col).alias("id"), F.concat(F.lit("Таблица из "), F.coalesce(source_col, F.lit(""))).alias("named")).dropDuplicates(["id"])
+        kept = kept.join(names, "id", "left").withColumn("title", F.when(F.col("kind").isin("pipe", "aligned"), F.col("named")).otherwise(F.col("title")))
+    return kept.select("id", "table_no", "kind", "title", "raw_text", "rows", "data_rows", "confidence")
+
+
+def tables_of_hits(hits: DataFrame, first: int = 3) -> DataFrame:
+    """(query_id, hit, source, place, kind, title, raw_text, rows, data_rows, confidence): the tables in the first hits of every question, in the order
+    of the hits; equal ones of a source (first 200 characters) once. hits: query_id, rank, result_id, doc_name, text."""
+    top = hits.where(F.col("rank") <= first).select("query_id", F.col("rank").alias("hit"), "result_id", F.coalesce("doc_name", F.lit("")).alias("source"), "text")
+    texts = top.select("result_id", "source", "text").dropDuplicates(["result_id"])
+    found = extract_tables(texts, "result_id", source_col="source").withColumnRenamed("id", "result_id")
+    each = top.select("query_id", "hit", "result_id", "source").join(found, "result_id")
+    once = Window.partitionBy("query_id", "source", F.substring("raw_text", 1, 200)).orderBy("hit", "result_id", "table_no")
+    place = Window.partitionBy("query_id").orderBy("hit", "result_id", "table_no")
+    kept = each.withColumn("n", F.row_number().over(once)).where("n = 1").withColumn("place", F.row_number().over(place))
+    return kept.select("query_id", "hit", "source", "place", "kind", "title", "raw_text", "rows", "data_rows", "confidence")
+
+
+def records_of(found: DataFrame) -> DataFrame:
+    """Tables as records: (.., title, headers, rows, content, doc_name, row_count, confidence) beside their keys; the header row stands apart."""
+    keys = [c for c in ("query_id", "id", "place", "table_no") if c in found.columns]
+    body = F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))
+    source = F.col("source") if "source" in found.columns else F.lit(None).cast("string")
+    return found.select(*keys, "title", F.get("rows", F.lit(0)).alias("headers"), body.alias("rows"), F.col("raw_text").alias("content"), source.alias("doc_name"), F.size(body).alias("row_count"), "confidence")
+
+
+def climate_of(found: DataFrame, cities: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """(city, source, row_text, t_ot, z_ot, numbers): for every city its first table row (by `order`, then row and cell): one with a cell that contains it, else
+    one whose cells together do; and the first two numbers of that row. `cities` (city) is a fixed table."""
+    rows = found.select(*order, "source", F.posexplode("rows").alias("row_no", "row")).where("row_no > 0").withColumn("row_text", F.array_join("row", " "))
+    hit = rows.join(F.broadcast(cities.select("city")), F.contains(F.lower("row_text"), F.lower("city")))
+    whole = F.exists("row", lambda c: F.contains(F.lower(c), F.lower("city")))
+    first = hit.groupBy("city").agg(F.min(F.struct((~whole).alias("split"), *order, "row_no", "source", "row_text")).alias("f"))
+    n = T.every(F.col("f.row_text"), r"-?\d+[.,]?\d*")
+    number = lambda i: F.replace(F.get(n, F.lit(i)), F.lit(","), F.lit(".")).try_cast("double")
+    return first.select("city", "f.source", "f.row_text", number(0).alias("t_ot"), number(1).cast("int").alias("z_ot"), F.size(n).alias("numbers"))
 
 
 def table_cells(found: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kelvara.config import SEARCH
 from kelvara.functions import text as T
 from kelvara.operators import agent, calculation, chunking, memory, providers, reporting, retrieval, tables
-from kelvara.plans import oracles, problems
+from kelvara.plans import fixtures, oracles, problems
 from kelvara.session import cut_lineage, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,19 +186,19 @@ def keyword_tables(s, d):
 
 @query
 def extract_tables(s, d):
-    found = tables.extract_tables(table(s, d, "parsed_documents"), "parsed_id")
+    found = tables.extract_tables(table(s, d, "parsed_documents"), "parsed_id", source_col="doc_name")
     return found.select("id", F.col("table_no").cast("bigint").alias("table_no"), "kind", "title", F.col("data_rows").cast("bigint").alias("data_rows"), "confidence")
 
 
 @query
 def table_cells(s, d):
-    cells = tables.table_cells(tables.extract_tables(table(s, d, "parsed_documents"), "parsed_id"))
+    cells = tables.table_cells(tables.extract_tables(table(s, d, "parsed_documents"), "parsed_id", source_col="doc_name"))
     return cells.select("id", *(F.col(c).cast("bigint").alias(c) for c in ("table_no", "row_no", "col_no")), "cell")
 
 
 @query
 def gsop_from_table(s, d):
-    climate = tables.city_climate(tables.extract_tables(table(s, d, "parsed_documents"), "parsed_id"), table(s, d, "cities"))
+    climate = tables.city_climate(tables.extract_tables(table(s, d, "parsed_documents"), "parsed_id", source_col="doc_name"), table(s, d, "cities"))
     rounded = F.round("t_ot", 1)
     return climate.select(
         "city", F.col("id").alias("parsed_id"), "t_ot", F.col("z_ot").cast("bigint").alias("z_ot"), F.round(calculation.gsop(F.lit(20.0), F.col("t_ot"), F.col("z_ot")), 6).alias("gsop"),
@@ -268,6 +268,68 @@ def calculation_answers(s, d):
     return calculation.answers(table(s, d, "queries")).withColumn("result", F.round("result", 6))
 
 
+def _climate(s, d):
+    """Climate tables: those in the first three hits of the first phrase that finds any; and whether there are some."""
+    chunks = cut_lineage(_chunks(s, d))
+    phrases = s.createDataFrame([(i + 1, x) for i, x in enumerate(calculation.CLIMATE_PHRASES)], "query_id bigint, query string")
+    found = retrieval.search(chunks, None, phrases, replace(SEARCH, top_k=10, semantic_weight=0.0, lexical_weight=1.0)).where("rank <= 3")
+    named = found.join(chunks, list(retrieval.KEY)).withColumn("result_id", F.col("parsed_id") * 1_000_000 + F.col("chunk_id"))
+    # at most three chunks of two phrases, and ten tables of each
+    mined = cut_lineage(tables.tables_of_hits(named.select("query_id", "rank", "result_id", "doc_name", "text")))
+    first = mined.agg(F.min("query_id").alias("query_id")).first().query_id
+    return mined.where(F.col("query_id") == F.lit(first)), first is not None
+
+
+def _table_answers(s, d):
+    mined, there = _climate(s, d)
+    cities = table(s, d, "cities").select(F.col("name").alias("city"))
+    asked = table(s, d, "queries").join(detect_city(s, d), "query_id").select("query_id", "query", "city")
+    return calculation.table_answers(asked, tables.climate_of(mined, cities, ("hit", "place")), F.lit(there))
+
+
+@query
+def calculation_driver(s, d):
+    found = calculation.driver(table(s, d, "queries"), _table_answers(s, d))
+    return found.select("query_id", "formula", "path", "status", F.round("result", 6).alias("result"), "confidence")
+
+
+@query
+def table_calculations(s, d):
+    return _table_answers(s, d).withColumn("result", F.round("result", 6))
+
+
+def _fixture(s, rows):
+    return s.createDataFrame(list(rows), "doc_id bigint, text string").withColumn("source", F.lit("d"))
+
+
+@query
+def marker_tables(s, d):
+    return tables.marker_tables(_fixture(s, fixtures.MARKED)).select("id", F.col("start").cast("bigint").alias("start"), "title", "raw_text", F.size("lines").cast("bigint").alias("n"))
+
+
+@query
+def aligned_tables(s, d):
+    return tables.aligned_tables(_fixture(s, fixtures.ALIGNED)).select("id", F.col("start").cast("bigint").alias("start"), "title", "raw_text", F.size("lines").cast("bigint").alias("n"))
+
+
+@query
+def fixture_tables(s, d):
+    found = tables.extract_tables(_fixture(s, fixtures.MARKED + fixtures.ALIGNED + fixtures.MIXED), source_col="source")
+    return found.select("id", F.col("table_no").cast("bigint").alias("table_no"), "kind", "title", F.col("data_rows").cast("bigint").alias("data_rows"), "confidence", F.array_join(F.get("rows", F.lit(0)), "¦").alias("head"))
+
+
+@query
+def hit_tables(s, d):
+    found = tables.tables_of_hits(_hits(s, d))
+    return found.select("query_id", "hit", "source", F.col("place").cast("bigint").alias("place"), "kind", "title", F.col("data_rows").cast("bigint").alias("data_rows"), "confidence")
+
+
+@query
+def hard_windows(s, d):
+    docs = spread(table(s, d, "documents").where("text is not null").select("doc_id", "text"))
+    return docs.select("doc_id", F.posexplode(chunking.windows(T.normalize(F.col("text")))).alias("piece_no", "piece")).withColumn("piece_no", F.col("piece_no").cast("bigint"))
+
+
 @query
 def classify_queries(s, d):
     q = F.col("query")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from kelvara import lexicons as L
-from kelvara.config import SEARCH
+from kelvara.config import CHUNKING, SEARCH
 from kelvara.functions.text import AGENT_FORMULA, BRACKET_FORMULA, FORMULA, KEYWORD, NUMBER, TOKEN, VARIABLE, WS
 from kelvara.operators import calculation
 from kelvara.operators.agent import CONTEXT
 from kelvara.operators.reporting import STANDARD
+from kelvara.plans import fixtures
 
 _CODE = r"(?i)(?:СП\s?\d+\.\d+|ГОСТ\s?\d+(?:-\d+)?|СНиП\s?[\d.-]+)"
 _REF = r"(?i)(?:пункт\s?\d+(?:\.\d+)*|раздел\s?\d+(?:\.\d+)*)"
@@ -131,18 +132,48 @@ def boosted() -> str:
     )
 
 
-def _lines(where: str) -> str:
-    return f"""l as (select parsed_id as id, generate_subscripts(a, 1) - 1 as i, unnest(a) as line
-  from (select parsed_id, string_split(text, chr(10)) as a from parsed_documents where text is not null and {where}))"""
+_WIDE = "'\\s{2,}'"
 
 
-PIPES = f"""{_lines("contains(text, '|')")},
+def _cells(x: str) -> str:
+    """The cells of a line that is not a pipe line."""
+    return f"case when contains({x}, chr(9)) then list_transform(string_split({x}, chr(9)), lambda c: {strip('c')}) else list_transform(string_split_regex({strip(x)}, {_WIDE}), lambda c: {strip('c')}) end"
+
+
+def _lines(name: str, src: str, where: str) -> str:
+    return f"{name} as (select id, generate_subscripts(a, 1) - 1 as i, unnest(a) as line from (select id, string_split(text, chr(10)) as a from {src} where text is not null and {where}))"
+
+
+def pipes(src: str) -> str:
+    return f"""{_lines('l', src, "contains(text, '|')")},
 hit as (select *, i - row_number() over (partition by id order by i) as island from l where len(regexp_extract_all(line, '\\|')) >= 2),
 pipes as (select id, min(i) as start, string_agg(line, chr(10) order by i) as raw_text, count(*) as n,
   list(list_transform(string_split(regexp_replace({strip('line')}, '^\\||\\|$', '', 'g'), '|'), lambda c: {strip('c')}) order by i) as rows from hit group by id, island),
 ptab as (select id, start, raw_text, list_filter(rows, lambda r: len(list_filter(r, lambda c: c <> '')) > 0 and len(list_filter(r, lambda c: not regexp_full_match(c, '-+'))) > 0) as rows from pipes)"""
+
+
+def aligned(src: str) -> str:
+    return f"""{_lines('al', src, "true")},
+ah as (select *, i - row_number() over (partition by id order by i) as island from al where regexp_matches(line, '[0-9]') and len(string_split_regex({strip('line')}, {_WIDE})) >= 3),
+atab as (select id, min(i) as start, string_agg(line, chr(10) order by i) as raw_text, list({_cells('line')} order by i) as rows from ah group by id, island having count(*) >= 3)"""
+
+
+def marked(src: str) -> str:
+    return f"""{_lines('ml', src, f"contains(text, {q(L.TABLE_MARKER)})")},
+mm as (select *, contains(line, {q(L.TABLE_MARKER)}) as m, {strip('line')} = '' as blank, lag(line) over (partition by id order by i) as prev from ml),
+mi as (select *, max(case when m then i end) over (partition by id order by i) as island from mm),
+mb as (select *, sum(blank::int) over (partition by id, island order by i) as gap, max(blank::int) over (partition by id, island) as ended, max(island) over (partition by id) as last from mi where island is not null),
+mg as (select id, island, min(i) as start, list({strip('line')} order by i) as lines from mb where not m and gap = 0 and (ended = 1 or island = last) group by id, island),
+mh as (select id, i as island, case when i > 0 and length({strip('prev')}) < 100 then {strip('prev')} end as head from mi where m),
+mtab as (select id, start, coalesce(head, 'Таблица ' || (1 + coalesce(sum((len(lines) >= 3)::int) over (partition by id order by start rows between unbounded preceding and 1 preceding), 0))::bigint) as title,
+  array_to_string(lines, chr(10)) as raw_text, list_transform(lines, lambda x: {_cells('x')}) as rows from mg join mh using (id, island))"""
+
+
 _KEY = any_of("lower(line)", L.TABLE_KEYWORDS)
-KEYWORDS = f"""kl as (select parsed_id as id, generate_subscripts(a, 1) - 1 as i, unnest(a) as raw from (select parsed_id, string_split(text, chr(10)) as a from parsed_documents where text is not null)),
+
+
+def keyed(src: str) -> str:
+    return f"""kl as (select id, generate_subscripts(a, 1) - 1 as i, unnest(a) as raw from (select id, string_split(text, chr(10)) as a from {src} where text is not null)),
 kt as (select id, i, {strip('raw')} as line from kl),
 kk as (select *, {_KEY} as key from kt),
 ki as (select *, max(case when key then i end) over (partition by id order by i) as island from kk),
@@ -151,14 +182,30 @@ kc as (select *, sum(bad) over (partition by id, island order by i) as gap,
   max(case when key and contains(line, ':') then line end) over (partition by id, island) as title from kb),
 ktab as (select id, min(i) as start, max(title) as title, string_agg(line, chr(10) order by i) as raw_text, list(line order by i) as lines, count(*) as n
   from kc where title is not null and not key and gap = 0 group by id, island having count(*) >= 2)"""
-CELLS = f"""{PIPES}, {KEYWORDS},
+
+
+def mined(src: str) -> str:
+    """The tables of the texts of `src` (id, text, source) from all four extractors, as tabs."""
+    return f"""{pipes(src)}, {keyed(src)}, {aligned(src)}, {marked(src)},
 found as (select id, 'pipe' as kind, start, null as title, raw_text, rows, 0.85e0 as confidence from ptab
-  union all select id, 'keyword', start, title, raw_text, list_transform(lines, lambda x: case when contains(x, chr(9)) then list_transform(string_split(x, chr(9)), lambda c: {strip('c')})
-    else list_transform(string_split_regex(x, '\\s{{2,}}'), lambda c: {strip('c')}) end), 0.6e0 from ktab),
+  union all select id, 'keyword', start, title, raw_text, list_transform(lines, lambda x: {_cells('x')}), 0.6e0 from ktab
+  union all select id, 'aligned', start, null, raw_text, rows, 0.7e0 from atab union all select id, 'marker', start, title, raw_text, rows, 0.95e0 from mtab),
 once as (select *, row_number() over (partition by id, left(raw_text, 200) order by confidence desc, start, kind) as r from found),
-tabs as (select * from (select *, row_number() over (partition by id order by confidence desc, start, kind) as table_no from once where r = 1 and len(rows) >= 3) where table_no <= 10),
-trows as (select id, table_no, generate_subscripts(rows, 1) - 1 as row_no, unnest(rows) as row from tabs),
+tabs as (select id, kind, start, case when kind in ('pipe', 'aligned') then 'Таблица из ' || coalesce(source, '') else title end as title, raw_text, rows, confidence, table_no
+  from (select once.*, source, row_number() over (partition by id order by confidence desc, start, kind) as table_no from once join (select distinct id, source from {src}) using (id) where r = 1 and len(rows) >= 3) where table_no <= 10)"""
+
+
+_DOCUMENTS = "(select parsed_id as id, text, doc_name as source from parsed_documents)"
+PIPES, KEYWORDS = pipes(_DOCUMENTS), keyed(_DOCUMENTS)
+_ROWS = """trows as (select id, table_no, generate_subscripts(rows, 1) - 1 as row_no, unnest(rows) as row from tabs),
 cells as (select id, table_no, row_no, array_to_string(row, ' ') as row_text, generate_subscripts(row, 1) - 1 as col_no, unnest(row) as cell from trows where row_no > 0)"""
+CELLS = f"{mined(_DOCUMENTS)}, {_ROWS}"
+
+
+def values(rows: tuple[tuple[int, str], ...]) -> str:
+    return "(select * from (values " + ", ".join(f"({i}::bigint, {q(x)}, 'd')" for i, x in rows) + ") as t(id, text, source))"
+
+
 _ITEMS = "(select pattern, query_type, item, min(row(seq, pos)) as place from {src} where item is not null and item <> '' group by all)"
 MEMORY = f"""{HITS},
 src as (select query_id, list(doc_name order by rank) as s from (select query_id, doc_name, min(rank) as rank from hits where doc_name is not null group by all) group by query_id),
@@ -264,6 +311,47 @@ def sql() -> dict[str, str]:
       r as (select query_id, formula, {missing} as missing, {result} as result from p where formula is not null)
       select query_id, formula, missing, round(result, 6) as result, case when missing <> '' then 'missing' when result is null then 'error' else 'ok' end as status,
       case when missing <> '' then 0.3e0 when result is null then 0e0 else 0.9e0 end as confidence from r"""
+    phrases = "(select * from (values " + ", ".join(f"({i + 1}::bigint, {q(x)})" for i, x in enumerate(calculation.CLIMATE_PHRASES)) + ") as t(query_id, query))"
+    number = lambda i: f"try_cast(replace(regexp_extract_all(row_text, '-?\\d+[.,]?\\d*')[{i}], ',', '.') as double)"
+    flow = (
+        "coalesce(replace(nullif(regexp_extract(lower(query), '(\\d+[.,]?\\d*)\\s*м³/ч', 1), ''), ',', '.')::double, replace(nullif(regexp_extract(lower(query), 'расход\\s*(\\d+[.,]?\\d*)', 1), ''), ',', '.')::double, "
+        + parameter("query", "L") + ")"
+    )
+    low = "lower(query)"
+    air, wall = any_of(low, ("вентиляц", "расход теплоты", "нагрев воздуха")), any_of(low, ("теплопотер", "потери тепла", "ограждени"))
+    out["calculation_driver"] = f"""with {CHUNKS}, {TERMS}, {lexical(phrases)},
+      lr as (select query_id, parsed_id, chunk_id, row_number() over (partition by query_id order by round(lexical + 1e-9, 6) desc, parsed_id, chunk_id) as rank from lex where round(lexical + 1e-9, 6) >= {SEARCH.min_score}),
+      hits3 as (select query_id, rank, parsed_id * 1000000 + chunk_id as id, doc_name, text from lr join chunks using (parsed_id, chunk_id) where rank <= 3), texts as (select distinct id, text, doc_name as source from hits3),
+      {mined('texts')}, ht as (select query_id, rank as hit, tabs.*, doc_name, row_number() over (partition by query_id, doc_name, left(raw_text, 200) order by rank, id, table_no) as n from hits3 join tabs using (id)),
+      hu as (select *, row_number() over (partition by query_id order by hit, id, table_no) as place from ht where n = 1 and query_id = (select min(query_id) from ht)),
+      hr as (select hit, place, doc_name, generate_subscripts(rows, 1) - 1 as row_no, unnest(rows) as row from hu),
+      cc as (select name as city, doc_name as source, array_to_string(row, ' ') as row_text, row_number() over (partition by name order by len(list_filter(row, lambda c: contains(lower(c), lower(name)))) = 0, hit, place, row_no) as r
+        from hr join cities on contains(lower(array_to_string(row, ' ')), lower(name)) where row_no > 0),
+      cl as (select city, source, {number(1)} as t_ot, trunc({number(2)})::bigint as z_ot, true as there from cc where r = 1),
+      qc as (select query_id, query, city from (select query_id, query, name as city, row_number() over (partition by query_id order by -length(name), name) as r from queries join cities on contains(lower(query), lower(name))) where r = 1),
+      pl as (select query_id, city, {flow} as flow, {parameter('query', 'A')} as area, {parameter('query', 'R')} as res,
+        case when {air} then case when {flow} is not null then 'ventilation' end when {wall} then case when {parameter('query', 'A')} is not null and {parameter('query', 'R')} is not null then 'heat_loss' end else 'gsop' end as plan from qc),
+      fo as (select pl.*, t_ot, z_ot, case when (select count(*) from hu) = 0 then 'no_tables' when there is null then 'city_not_found' when t_ot is null or z_ot is null then 'no_numbers' else 'ok' end as found from pl left join cl using (city) where plan is not null),
+      vv as (select *, case when found = 'ok' then case plan when 'gsop' then (20 - t_ot) * z_ot when 'ventilation' then 0.335e0 * flow * (20 - round(t_ot, 1)) else area * (20 - round(t_ot, 1)) / nullif(res, 0) end end as value from fo),
+      tt as (select query_id, case when plan = 'gsop' or found = 'ok' then case when found = 'ok' and value is null then 'error' else found end else 'no_climate' end as outcome, plan, value from vv),
+      pp as (select query_id, {formula_key('query')} as formula, {', '.join(f"{parameter('query', p)} as {p}" for p in calculation.PARAMETERS)} from queries),
+      rr as (select query_id, formula, {missing} as missing, {result} as result from pp where formula is not null),
+      zz as (select rr.*, outcome, plan, value, outcome is not null and formula in ('gsop', 'ventilation_heat', 'heat_loss') as served from rr left join tt using (query_id))
+      select query_id, formula, case when served then 'table' else 'parameters' end as path, case when served then outcome when missing <> '' then 'missing' when result is null then 'error' else 'ok' end as status,
+        round(case when served then value else result end, 6) as result, case when served then case when outcome = 'ok' then case plan when 'gsop' then 0.9e0 else 0.85e0 end when outcome = 'no_numbers' then 0.2e0 else 0e0 end
+        when missing <> '' then 0.3e0 when result is null then 0e0 else 0.9e0 end as confidence from zz"""
+    for name, fixture, body in (("marker_tables", fixtures.MARKED, marked), ("aligned_tables", fixtures.ALIGNED, aligned)):
+        out[name] = f"with {body(values(fixture))} select id, start::bigint as start, {'title' if name == 'marker_tables' else 'null::varchar as title'}, raw_text, len(rows)::bigint as n from {'mtab' if name == 'marker_tables' else 'atab'}"
+    out["fixture_tables"] = f"with {mined(values(fixtures.MARKED + fixtures.ALIGNED + fixtures.MIXED))} select id, table_no, kind, title, (len(rows) - 1)::bigint as data_rows, confidence, list_transform(rows, lambda r: array_to_string(r, '¦'))[1] as head from tabs"
+    out["hit_tables"] = f"""with {HITS}, top3 as (select query_id, rank, result_id as id, coalesce(doc_name, '') as doc_name, text from hits where rank <= 3), texts as (select id, text, doc_name as source from top3), {mined('texts')},
+      ht as (select query_id, rank as hit, tabs.*, doc_name, row_number() over (partition by query_id, doc_name, left(raw_text, 200) order by rank, id, table_no) as n from top3 join tabs using (id))
+      select query_id, hit, doc_name as source, row_number() over (partition by query_id order by hit, id, table_no) as place, kind, title, (len(rows) - 1)::bigint as data_rows, confidence from ht where n = 1"""
+    size, overlap, least = CHUNKING.size, CHUNKING.overlap, CHUNKING.least
+    cut = f"case when a + {size} < n then case when strpos(reverse(substr(t, a + 1, {size})), ' ') > 0 and a + {size} - strpos(reverse(substr(t, a + 1, {size})), ' ') > a + {least} then a + {size} - strpos(reverse(substr(t, a + 1, {size})), ' ') else a + {size} end else n end"
+    out["hard_windows"] = f"""with recursive d as (select doc_id, {normalize('text')} as t from documents where text is not null),
+      w as (select doc_id, t, length(t) as n, 0::bigint as a, 0::bigint as k from d union all select doc_id, t, n, greatest(({cut}) - {overlap}, a + 1), k + 1 from w where ({cut}) < n),
+      p as (select doc_id, k, {strip(f'substr(t, a + 1, ({cut}) - a)')} as piece from w)
+      select doc_id, (row_number() over (partition by doc_id order by k) - 1)::bigint as piece_no, piece from p where piece <> ''"""
     out["classify_queries"] = f"select query_id, {query_type('query')} as kind, {route('query')} as route from queries where query is not null"
     out["query_entities"] = f"""select query_id, array_to_string(regexp_extract_all(query, '{_CODE}'), '|') as document_codes, array_to_string(regexp_extract_all(query, '{_REF}'), '|') as section_refs,
       array_to_string({domain_terms('query')}, '|') as domain_terms, len({numbers('query')})::bigint as numeric_values from queries where query is not null"""
