@@ -81,6 +81,10 @@ def formulas(text: Column, most: int = 20) -> Column:
     return F.slice(F.array_distinct(raw), 1, most)
 
 
+def has_operator(raw: Column) -> Column:
+    return raw.rlike(r"[=+\-*/]")
+
+
 def variables(raw: Column) -> Column:
     return F.array_sort(F.array_distinct(every(raw, VARIABLE)))
 

@@ -11,6 +11,7 @@ from kelvara import lexicons as L
 from kelvara.functions import text as T
 from kelvara.config import SEARCH
 from kelvara.operators import calculation, reporting, retrieval
+from kelvara.texts import GLOSSARY
 
 
 def query_type(query: Column) -> Column:
@@ -179,6 +180,22 @@ def completeness(answers: DataFrame) -> DataFrame:
     return answers.withColumn("needs_clarification", no_formula | short).withColumn("questions", asked).withColumn("completeness", F.greatest(F.lit(0.0), 1.0 - F.col("questions") * 0.2))
 
 
+def definition_fallback(terms: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, term, definition, source): for every asked term (query_id, term) the first sentence that contains it in the first hit that does; whatever
+    its length."""
+    asked = hits.join(terms.where("term <> ''").select("query_id", "term"), "query_id").withColumn("sentence", T.first_sentence_with(F.col("text"), F.col("term"))).where("sentence is not null")
+    first = asked.groupBy("query_id", "term").agg(F.min(F.struct("rank", "result_id", "sentence", "doc_name")).alias("f"))
+    return first.select("query_id", "term", T.strip(F.col("f.sentence")).alias("definition"), F.col("f.doc_name").alias("source"))
+
+
+def quick_definitions(terms: DataFrame) -> DataFrame:
+    """(term, entry, definition, source, example) from the built-in glossary (about 35 entries)."""
+    spark = terms.sparkSession
+    glossary = spark.createDataFrame([(i, *g) for i, g in enumerate(GLOSSARY)], "ord int, term string, definition string, source string, example string")
+    found = glossary_lookup(terms, glossary)
+    return found.join(F.broadcast(glossary.select(F.col("term").alias("entry"), "source", "example")), "entry").select("term", "entry", "definition", "source", "example")
+
+
 def glossary_lookup(terms: DataFrame, glossary: DataFrame) -> DataFrame:
     """(term, entry, definition): the entry equal to the term, else the first entry (by ord) that contains it or is contained in it. The glossary is
     a fixed table."""

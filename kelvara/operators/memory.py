@@ -55,6 +55,15 @@ def boosts(queries: DataFrame, memory: DataFrame, most: int = 8) -> DataFrame:
     return first.withColumn("ord", order).where(F.col("ord") <= most).select("query_id", "kind", "ord", "item")
 
 
+def by_type(memory: DataFrame, query_type: str) -> DataFrame:
+    return memory.where(F.col("query_type") == query_type)
+
+
+def cleared(memory: DataFrame) -> DataFrame:
+    """The memory without its records; written over the store it forgets everything."""
+    return memory.limit(0)
+
+
 def statistics(memory: DataFrame) -> DataFrame:
     """One row: records, distinct patterns and the average of successes (0 without records)."""
     return memory.agg(F.count("*").alias("records"), F.countDistinct("pattern").alias("patterns"), F.coalesce(F.avg("success_count"), F.lit(0.0)).alias("avg_success"))

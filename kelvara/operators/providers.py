@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelvara.config import EMBEDDING_BATCH
+from kelvara.texts import PROMPTS
 
 Generate = Callable[[str], str | None]
 Embed = Callable[[list[str]], list[list[float]]]
@@ -45,6 +46,29 @@ class HttpGenerator:
             return False
 
 
+@dataclass(frozen=True)
+class KeyedHttpGenerator:
+    """A generation endpoint that takes {contents: [{parts: [{text}]}]} with a key in a header and answers {candidates: [{content: {parts: [{text}]}}]}; any
+    failure, and an empty key, give None."""
+
+    url: str
+    key: str
+    key_header: str = "x-goog-api-key"
+    timeout_s: float = 120
+
+    def __call__(self, prompt: str) -> str | None:
+        if not self.key:
+            return None
+        body = json.dumps({"contents": [{"parts": [{"text": prompt}]}]}).encode()
+        request = urllib.request.Request(self.url, body, {"Content-Type": "application/json", self.key_header: self.key})
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout_s) as r:
+                parts = json.load(r)["candidates"][0]["content"]["parts"]
+                return "".join(p.get("text", "") for p in parts) or None
+        except (urllib.error.URLError, OSError, ValueError, LookupError, TypeError):
+            return None
+
+
 def first_of(*providers: Generate) -> Generate:
     """The first answer that isn't empty."""
 
@@ -87,6 +111,13 @@ def embed(rows: DataFrame, text_col: str, model: Callable[[], Embed] | None, out
     return rows.withColumn(out_col, encode(text_col))
 
 
+def prompt_template(kind: str) -> str:
+    """The prompt of a kind of question, with {names} for its fields."""
+    head, fields, steps = PROMPTS[kind]
+    parts = [head, *(f"{title}:\n{{{name}}}" for title, name in fields), "Инструкция:\n" + "\n".join(f"{i}. {x}" for i, x in enumerate(steps, 1)), "Ответ:"]
+    return "\n\n".join(parts)
+
+
 def prompts(template: str, **columns: str):
     """A Column with the template's {names} filled from columns; nulls become empty."""
     parts, rest = [], template

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kelvara.config import EMBEDDING_BATCH
 from kelvara.functions import text as T
 from kelvara.lexicons import CRITICAL_ERRORS
+from kelvara.texts import AREA_ERRORS, ERRORS, OTHER_ERROR, UNKNOWN_ERROR, UNNAMED_LIBRARY
 
 
 def hits(results: DataFrame, queries: DataFrame) -> DataFrame:
@@ -60,7 +61,25 @@ def document_metadata(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-STANDARD = r"(?:СТО-Т \d+-\d+|НТР \d+\.\d+|ВСН-К \d+-\d+|ТУ-Н \d+\.\d+\.\d+|EN-T \d+:\d+|РСТ \d+|СП\s?\d+\.\d+|ГОСТ\s?\d+(?:-\d+)?)"
+# Materials by their stems.
+MATERIALS = ("минеральная вата", "минеральной ваты", "пенополистирол", "пенополиуретан", "керамзит", "кирпич", "бетон", "газобетон", "древесин", "пеностекло", "базальтов", "стекловолокн", "гипс", "штукатурк", "перлит", "эковат", "каучук")
+_NUMBER = r"-?\d+(?:[.,]\d+)?"
+
+
+def entities(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, kind, item): the distinct standards, materials, sections, temperatures, thicknesses and densities that a text names. Null texts give no
+    row; no shuffle."""
+    text, low = F.col("text"), F.lower("text")
+    found = {
+        "standard": T.every(text, STANDARD), "material": F.filter(F.array(*map(F.lit, MATERIALS)), lambda m: F.contains(low, m)), "section": T.every(text, r"(?m)^[ \t]*(\d+(?:\.\d+)+)[. \t]", 1),
+        "temperature": T.every(text, rf"{_NUMBER}\s?°[CС]"), "thickness": T.every(text, rf"({_NUMBER}\s?мм)(?:[^\p{{L}}²³]|$)", 1), "density": T.every(text, rf"{_NUMBER}\s?кг/м³"),
+    }
+    named = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("item"))
+    each = F.concat(*(F.transform(F.array_distinct(c), named(kind)) for kind, c in found.items()))
+    return docs.where("text is not null").select(id_col, F.explode(each).alias("e")).select(id_col, "e.kind", "e.item")
+
+
+STANDARD = r"(?:СТО-Т \d+-\d+|НТР \d+\.\d+|ВСН-К \d+-\d+|ТУ-Н \d+\.\d+\.\d+|EN-T \d+:\d+|РСТ \d+|СП\s?\d+\.\d+|ГОСТ\s?\d+(?:-\d+)?|СНиП\s?\d[\d.-]*\d)"
 
 
 def mentions(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -85,6 +104,11 @@ def graph_statistics(graph: DataFrame) -> DataFrame:
     return graph.agg(nodes.alias("nodes"), F.floor(ends / 2).alias("edges"), F.try_divide(ends.cast("double"), (nodes * (nodes - 1)).cast("double")).alias("density"), F.max("degree").alias("top_degree"))
 
 
+def top_nodes(graph: DataFrame, most: int = 10) -> DataFrame:
+    """The nodes of the highest degree; ties by name."""
+    return graph.orderBy(F.desc("degree"), "node", "type").limit(most)
+
+
 def turns(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id_col, turn, role, content): the turns of exported conversations, in order."""
     text = F.col("text")
@@ -101,6 +125,16 @@ def report_rows(answers: DataFrame, found: DataFrame) -> DataFrame:
     return body.select("query_id", "section", F.col("ord").cast("bigint").alias("ord"), "line").unionByName(tail.select("query_id", "section", F.col("ord").cast("bigint").alias("ord"), "line"))
 
 
+def full_report(answers: DataFrame, found: DataFrame, tables_found: DataFrame, formulas: DataFrame) -> DataFrame:
+    """(query_id, section, ord, line): a whole report: the answer's lines, up to two tables (title and text), up to three formulas with five variables,
+    and the sources; ord counts within a section."""
+    mined = tables_found.where(F.col("place") <= 2).select("query_id", F.lit("table").alias("section"), F.col("place").alias("k"), F.posexplode(F.concat(F.array(F.coalesce("title", F.lit("Таблица"))), F.split("raw_text", "\n"))).alias("i", "line"))
+    mined = mined.select("query_id", "section", F.row_number().over(Window.partitionBy("query_id").orderBy("k", "i")).cast("bigint").alias("ord"), "line")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("raw"))
+    three = formulas.withColumn("k", place).where("k <= 3").select("query_id", F.lit("formula").alias("section"), F.col("k").cast("bigint").alias("ord"), F.concat_ws("; ", F.col("raw"), F.array_join(F.slice(T.variables(F.col("raw")), 1, 5), ", ")).alias("line"))
+    return report_rows(answers, found).unionByName(mined).unionByName(three)
+
+
 def module_name(message: Column) -> Column:
     """The first quoted name of an error message, or null."""
     return F.nullif(F.regexp_extract(message, r"'([^']+)'", 1), F.lit(""))
@@ -115,6 +149,19 @@ def error_area(kind: Column, message: Column) -> Column:
     )
 
 
+def error_message(kind: Column, message: Column) -> Column:
+    """What a user reads: by area first, then by class; a class without a text of its own shows its message."""
+    m = F.coalesce(message, F.lit(""))
+    fill = lambda template, own=m: F.replace(F.replace(F.lit(template), F.lit("{lib}"), F.coalesce(module_name(m), F.lit(UNNAMED_LIBRARY))), F.lit("{m}"), own)
+    area = error_area(kind, m)
+    out = None
+    for name, template in AREA_ERRORS:
+        out = F.when(area == name, fill(template)) if out is None else out.when(area == name, fill(template))
+    for name, template in ERRORS:
+        out = out.when(kind == name, fill(template))
+    return out.otherwise(fill(OTHER_ERROR, F.when(m == "", UNKNOWN_ERROR).otherwise(m)))
+
+
 def is_critical(kind: Column) -> Column:
     return kind.isin(*CRITICAL_ERRORS)
 

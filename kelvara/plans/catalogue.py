@@ -13,6 +13,7 @@ from kelvara.functions import text as T
 from kelvara.operators import agent, calculation, chunking, memory, providers, reporting, retrieval, tables
 from kelvara.plans import fixtures, oracles, problems
 from kelvara.session import cut_lineage, spread, table
+from kelvara.texts import PROMPTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -422,6 +423,75 @@ def glossary_lookup(s, d):
     return agent.glossary_lookup(terms, glossary)
 
 
+def _asked_terms(s, d):
+    return table(s, d, "queries").select("query_id", agent.defined_term(F.col("query")).alias("term")).where("term <> ''")
+
+
+@query
+def quick_definitions(s, d):
+    return agent.quick_definitions(_asked_terms(s, d).select("term").distinct())
+
+
+@query
+def definition_fallback(s, d):
+    return agent.definition_fallback(_asked_terms(s, d), _hits(s, d))
+
+
+@query
+def error_messages(s, d):
+    rows = s.createDataFrame(list(fixtures.ERRORS), "id bigint, kind string, message string")
+    kind, message = F.col("kind"), F.col("message")
+    return rows.select("id", reporting.error_message(kind, message).alias("user_message"), reporting.error_area(kind, message).alias("area"), reporting.module_name(message).alias("module"), reporting.is_critical(kind).alias("critical"))
+
+
+@query
+def document_entities(s, d):
+    return reporting.entities(table(s, d, "documents"))
+
+
+@query
+def formula_operators(s, d):
+    each = table(s, d, "documents").select("doc_id", F.explode(T.formulas(F.col("text"))).alias("raw"))
+    return each.select("doc_id", "raw", T.has_operator(F.col("raw")).alias("has_operator"))
+
+
+@query
+def graph_top_nodes(s, d):
+    return reporting.top_nodes(reporting.mention_graph(table(s, d, "parsed_documents"))).select("node", "type", "degree")
+
+
+@query
+def memory_of_type(s, d):
+    return memory.by_type(_memory(s, d), "definition").select("pattern", "success_count")
+
+
+@query
+def hit_table_records(s, d):
+    r = tables.records_of(tables.tables_of_hits(_hits(s, d)))
+    return r.select("query_id", F.col("place").cast("bigint").alias("place"), "title", F.array_join("headers", "¦").alias("headers"), F.col("row_count").cast("bigint").alias("row_count"), "content", "doc_name")
+
+
+@query
+def kind_prompts(s, d):
+    # what a prompt asks for besides the question, its context, term and compared things stays empty here
+    q = table(s, d, "queries").where("query is not null").select("query_id", "query", agent.query_type(F.col("query")).alias("kind"))
+    rows = q.join(reporting.contexts(_hits(s, d)), "query_id", "left")
+    two = agent.compared_items(F.col("query"))
+    rows = rows.withColumn("term", agent.defined_term(F.col("query"))).withColumn("first", F.get(two, F.lit(0))).withColumn("second", F.get(two, F.lit(1))).withColumn("none", F.lit(""))
+    out = None
+    for kind in ("search", "calculation", "definition", "comparison", "regulatory"):
+        names = {name: name if name in rows.columns else "none" for _, name in PROMPTS[kind][1]}
+        made = providers.prompts(providers.prompt_template(kind), **names)
+        out = F.when(F.col("kind") == kind, made) if out is None else out.when(F.col("kind") == kind, made)
+    return rows.select("query_id", "kind", out.alias("prompt"))
+
+
+@query
+def full_reports(s, d):
+    h = _hits(s, d)
+    return reporting.full_report(reporting.extractive_answers(h), h, tables.tables_of_hits(h), agent.formulas_of_hits(h))
+
+
 @query
 def error_summary(s, d):
     return reporting.error_summary(table(s, d, "events"), "event_type", "ts", "event_id")

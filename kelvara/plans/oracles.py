@@ -7,14 +7,18 @@ from kelvara.config import CHUNKING, SEARCH
 from kelvara.functions.text import AGENT_FORMULA, BRACKET_FORMULA, FORMULA, KEYWORD, NUMBER, TOKEN, VARIABLE, WS
 from kelvara.operators import calculation
 from kelvara.operators.agent import CONTEXT
-from kelvara.operators.reporting import STANDARD
+from kelvara.operators.reporting import MATERIALS, STANDARD
 from kelvara.plans import fixtures
+from kelvara.texts import AREA_ERRORS, ERRORS, GLOSSARY, OTHER_ERROR, PROMPTS, UNKNOWN_ERROR, UNNAMED_LIBRARY
 
 _CODE = r"(?i)(?:СП\s?\d+\.\d+|ГОСТ\s?\d+(?:-\d+)?|СНиП\s?[\d.-]+)"
 _REF = r"(?i)(?:пункт\s?\d+(?:\.\d+)*|раздел\s?\d+(?:\.\d+)*)"
 _STEP = f"query_id % {SEARCH.query_step} = 0"
 
 
+TRIMMED = " ?!.,:;\"'«»()[]"
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -427,5 +431,51 @@ def sql() -> dict[str, str]:
     edges = f"e as (select distinct doc_name, unnest(regexp_extract_all(text, '{STANDARD}')) as standard from parsed_documents where doc_name is not null)"
     graph = f"{edges}, g as (select doc_name as node, 'document' as type, count(*) as degree from e group by doc_name union all select standard, 'standard', count(*) from e group by standard)"
     out["mention_graph"] = f"with {graph} select node, type, degree from g"
+    out["graph_top_nodes"] = f"with {graph} select node, type, degree from g order by degree desc, node, type limit 10"
     out["graph_statistics"] = f"with {graph} select count(*) as nodes, (sum(degree) // 2)::bigint as edges, round(sum(degree) / (count(*) * (count(*) - 1))::double, 9) as density, max(degree) as top_degree from g"
+    asked_terms = f"(select query_id, trim(regexp_replace(lower({strip('query')}), {q(prefix)}, ''), {q(TRIMMED)}) as term from queries where {starts(f"lower({strip('query')})", L.DEFINITION_PREFIXES)})"
+    entries = "(values " + ", ".join(f"({i}, {', '.join(map(q, g))})" for i, g in enumerate(GLOSSARY)) + ") as g(ord, entry, definition, source, example)"
+    out["quick_definitions"] = f"""with t as (select distinct term from {asked_terms} where term <> ''), h as (select *, row_number() over (partition by term order by term <> entry, ord) as r from t join {entries} on contains(term, entry) or contains(entry, term))
+      select term, entry, definition, source, example from h where r = 1"""
+    out["definition_fallback"] = f"""with {HITS}, t as (select * from {asked_terms} where term <> ''), h as (select query_id, term, rank, result_id, doc_name, list_filter({sentences('text')}, lambda s: contains(lower(s), term)) as s from hits join t using (query_id)),
+      f as (select *, row_number() over (partition by query_id, term order by rank, result_id) as r from h where len(s) > 0) select query_id, term, {strip('s[1]')} as definition, doc_name as source from f where r = 1"""
+    rows = ", ".join(f"({i}::bigint, {q(k)}, {q(m)})" for i, k, m in fixtures.ERRORS)
+    module = "nullif(regexp_extract(message, " + q("'([^']+)'") + ", 1), '')"
+    area = "case when contains(kind, 'FormulaEngine') or contains(lower(message), 'calculation') then 'calculation' when contains(kind, 'QASystem') or contains(lower(message), 'search') then 'search' when contains(kind, 'AgentLoop') then 'agent' else 'other' end"
+    fill = lambda x, m="message": f"replace(replace({q(x)}, '{{lib}}', coalesce({module}, {q(UNNAMED_LIBRARY)})), '{{m}}', {m})"
+    said = "case " + " ".join(f"when area = {q(a)} then {fill(x)}" for a, x in AREA_ERRORS) + " " + " ".join(f"when kind = {q(k)} then {fill(x)}" for k, x in ERRORS)
+    said += f" else {fill(OTHER_ERROR, f'case when length(message) = 0 then {q(UNKNOWN_ERROR)} else message end')} end"
+    out["error_messages"] = f"select id, {said} as user_message, area, {module} as module, kind in ({', '.join(map(q, L.CRITICAL_ERRORS))}) as critical from (select *, {area} as area from (values {rows}) as t(id, kind, message))"
+    number_ = r"-?\d+(?:[.,]\d+)?"
+    stems = "[" + ", ".join(map(q, MATERIALS)) + "]"
+    section, thick = r"(?m)^[ \t]*(\d+(?:\.\d+)+)[. \t]", rf"({number_}\s?мм)(?:[^\p{{L}}²³]|$)"
+    out["document_entities"] = f"""select distinct doc_id, kind, item from (select doc_id, 'standard' as kind, unnest(regexp_extract_all(text, '{STANDARD}')) as item from documents
+      union all select doc_id, 'material', unnest(list_filter({stems}, lambda m: contains(lower(text), m))) from documents
+      union all select doc_id, 'section', unnest(regexp_extract_all(text, '{section}', 1)) from documents
+      union all select doc_id, 'temperature', unnest(regexp_extract_all(text, '{number_}\\s?°[CС]')) from documents
+      union all select doc_id, 'thickness', unnest(regexp_extract_all(text, '{thick}', 1)) from documents
+      union all select doc_id, 'density', unnest(regexp_extract_all(text, '{number_}\\s?кг/м³')) from documents)"""
+    out["formula_operators"] = f"select doc_id, raw, regexp_matches(raw, '[=+\\-*/]') as has_operator from ({out['formula_mentions']})"
+    out["memory_of_type"] = f"with {MEMORY} select pattern, success_count from mem where query_type = 'definition'"
+    hit_tables = f"""{HITS}, top3 as (select query_id, rank, result_id as id, coalesce(doc_name, '') as doc_name, text from hits where rank <= 3), texts as (select id, text, doc_name as source from top3), {mined('texts')},
+      ht as (select query_id, rank as hit, tabs.*, doc_name, row_number() over (partition by query_id, doc_name, left(raw_text, 200) order by rank, id, table_no) as n from top3 join tabs using (id)),
+      hu as (select *, row_number() over (partition by query_id order by hit, id, table_no) as place from ht where n = 1)"""
+    out["hit_table_records"] = f"with {hit_tables} select query_id, place, title, array_to_string(rows[1], '¦') as headers, (len(rows) - 1)::bigint as row_count, raw_text as content, doc_name from hu"
+    out["full_reports"] = f"""with {hit_tables}, {best.removeprefix(f'with {HITS}, ')}, {answers}, body as (select query_id, 'answer' as section, (generate_subscripts(a, 1) - 1)::bigint as ord, unnest(a) as line from (select query_id, string_split(replace(answer, '*', ''), chr(10)) as a from ans)),
+      tl as (select query_id, place, generate_subscripts(a, 1) as i, unnest(a) as line from (select query_id, place, list_concat([coalesce(title, 'Таблица')], string_split(raw_text, chr(10))) as a from hu where place <= 2)),
+      fm as (select query_id, raw, row_number() over (partition by query_id order by raw) as k from ({out['hit_formulas']}))
+      select * from body where {strip('line')} <> '' union all select query_id, 'source', ord, doc_name from o where ord <= 5 union all select query_id, 'table', row_number() over (partition by query_id order by place, i), line from tl
+      union all select query_id, 'formula', k, concat_ws('; ', raw, array_to_string((list_sort(list_distinct(regexp_extract_all(raw, '{VARIABLE}'))))[1:5], ', ')) from fm where k <= 3"""
+    split = r"string_split_regex(lower(query), '\s+и\s+|\s+vs\s+|\s+против\s+')"
+    items = f"list_filter(list_transform({split}, lambda x: {strip('x')}), lambda x: length(x) > 2)"
+    held = {"query": "query", "context": "context", "term": "term", "first": f"case when len({split}) > 1 then ({items})[1] end", "second": f"case when len({split}) > 1 then ({items})[2] end"}
+
+    def prompt(kind: str) -> str:
+        head, fields, steps = PROMPTS[kind]
+        parts = [q(head), *(f"{q(title + ':')} || chr(10) || coalesce({held.get(name, 'null')}, '')" for title, name in fields), q("Инструкция:") + "".join(f" || chr(10) || {q(f'{i}. {x}')}" for i, x in enumerate(steps, 1)), q("Ответ:")]
+        return " || chr(10) || chr(10) || ".join(parts)
+
+    out["kind_prompts"] = f"""with {HITS}, c as (select query_id, string_agg('[' || rank || '] ' || coalesce(doc_name, '') || chr(10) || coalesce(text, ''), chr(10) || chr(10) order by rank) as context from hits group by query_id), t as (select * from {asked_terms}),
+      k as (select queries.query_id, query, {query_type('query')} as kind, context, term from queries left join c using (query_id) left join t using (query_id) where query is not null)
+      select query_id, kind, case kind {' '.join(f"when {q(x)} then {prompt(x)}" for x in ('search', 'calculation', 'definition', 'comparison', 'regulatory'))} end as prompt from k"""
     return out

@@ -32,14 +32,16 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for reliable checkpoints.
 
-    A cluster names a shared folder in `spark.checkpoint.dir`, and that setting always wins. Only a session
-    without one (a local test) gets a folder of its own.
+    A cluster names a shared folder in `spark.checkpoint.dir`, and that setting always wins. Only a local session without one (a
+    test) gets a folder of its own; on any other master that would be a folder of one machine, so it is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not configured and sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = configured or tempfile.mkdtemp(prefix="kelvara-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder

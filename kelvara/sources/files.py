@@ -76,15 +76,25 @@ def read_rtf(content: bytes) -> str:
 
 
 def read_pdf(content: bytes) -> tuple[str, str]:
-    """Text of the pages joined by blank lines, by the first installed reader that finds any."""
+    """Text of the pages joined by blank lines, by the first installed reader that finds any. A page that can't be read is left out, and a reader that
+    fails leaves the file to the next."""
     for name in ("fitz", "pdfplumber"):
         try:
             module = __import__(name)
         except ImportError:
             continue
-        opened = module.open(stream=content, filetype="pdf") if name == "fitz" else module.open(io.BytesIO(content))
-        pages = [(p.get_text() if name == "fitz" else p.extract_text() or "").strip() for p in (opened if name == "fitz" else opened.pages)]
-        if text := "\n\n".join(p for p in pages if p):
+        try:
+            opened = module.open(stream=content, filetype="pdf") if name == "fitz" else module.open(io.BytesIO(content))
+            pages = list(opened if name == "fitz" else opened.pages)
+        except Exception:  # whatever a reader raises for a broken file
+            continue
+        texts = []
+        for p in pages:
+            try:
+                texts.append((p.get_text() if name == "fitz" else p.extract_text() or "").strip())
+            except Exception:  # one bad page
+                continue
+        if text := "\n\n".join(t for t in texts if t):
             return text, name
     return "", "no reader for pdf"
 
@@ -125,8 +135,8 @@ def text_of(suffix: str, content: bytes | None) -> tuple[str, str | None, str |
 
 
 def parse(files: DataFrame, settings: Chunking = CHUNKING) -> DataFrame:
-    """Documents of scanned files: path, doc_name, filetype, text, chunks array<string>, parsed, extraction_source, reason, char_count. Unsupported
-    and unreadable files come as rows with parsed = false and a reason."""
+    """Documents of scanned files: path, doc_name, file_stem, filetype, text, chunks array<string>, parsed, extraction_source, reason, char_count, word_count,
+    chunk_count, has_formulas, has_table_like_content. Unsupported and unreadable files come as rows with parsed = false and a reason."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,6 +147,13 @@ def parse(files: DataFrame, settings: Chunking = CHUNKING) -> DataFrame:
     read = files.select("path", "suffix", "content").mapInArrow(run, "path string, filetype string, raw string, extraction_source string, reason string")
     text = T.normalize(F.col("raw"))
     named = F.regexp_extract("path", r"([^/]+)$", 1)
-    return read.select("path", named.alias("doc_name"), "filetype", text.alias("text"), "extraction_source", "reason").select(
-        "*", chunk_texts(F.col("text"), settings).alias("chunks"), (F.col("text") != "").alias("parsed"), F.length("text").alias("char_count")
-    )
+    words = F.size(F.filter(F.split("text", f"{T.WS}+"), lambda w: w != ""))
+    return read.select("path", named.alias("doc_name"), F.regexp_replace(named, r"\.[^.]*$", "").alias("file_stem"), "filetype", text.alias("text"), "extraction_source", "reason").select(
+        "*", chunk_texts(F.col("text"), settings).alias("chunks"), (F.col("text") != "").alias("parsed"), F.length("text").alias("char_count"), words.alias("word_count"),
+        (F.size(T.formulas(F.col("text"))) > 0).alias("has_formulas"), T.table_like(F.col("text")).alias("has_table_like_content"),
+    ).withColumn("chunk_count", F.size("chunks"))
+
+
+def failed(parsed: DataFrame) -> DataFrame:
+    """(path, reason): the files without text, by path."""
+    return parsed.where("not parsed").select("path", "reason").orderBy("path")

@@ -95,3 +95,36 @@ def test_stored_chunks_drop_blank(spark):
     rows = [(1, "d", [(0, " a "), (1, " "), (2, None)]), (2, "d", None), (3, "d", [])]
     df = spark.createDataFrame(rows, "parsed_id bigint, doc_name string, chunks array<struct<chunk_id:int,text:string>>")
     assert [(r.parsed_id, r.chunk_id, r.text) for r in chunking.stored_chunks(df).collect()] == [(1, 0, "a")]
+
+
+def test_a_reader_that_fails_leaves_the_file_to_the_next(monkeypatch):
+    import sys
+    import types
+
+    class Page:
+        def __init__(self, text):
+            self.text = text
+
+        def extract_text(self):
+            if self.text is None:
+                raise ValueError("bad page")
+            return self.text
+
+    def broken(**_):
+        raise RuntimeError("not a pdf")
+
+    monkeypatch.setitem(sys.modules, "fitz", types.SimpleNamespace(open=broken))
+    monkeypatch.setitem(sys.modules, "pdfplumber", types.SimpleNamespace(open=lambda f: types.SimpleNamespace(pages=[Page("a "), Page(None), Page(""), Page("b")])))
+    assert files.read_pdf(b"x") == ("a\n\nb", "pdfplumber")
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    import types
+
+    import pytest
+
+    from kelvara import session
+
+    context = types.SimpleNamespace(master="spark://host:7077", _jsc=types.SimpleNamespace(sc=lambda: types.SimpleNamespace(getCheckpointDir=lambda: types.SimpleNamespace(isDefined=lambda: False))))
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(types.SimpleNamespace(sparkContext=context, conf=types.SimpleNamespace(get=lambda *_: None)))
