@@ -33,10 +33,12 @@ MOST_CENTROIDS = 1024
 #: Vectors from which the centroids are fitted, at most; every vector is indexed.
 FIT_ROWS = 32_768
 FIT_ROUNDS = 12
+#: Centroids near a row that judge whether another cell can hold a close vector.
+NEAR_CENTROIDS = 24
 #: Rows of a class of equal vectors that are spelt out together.
 CLASS_BLOCK = 1024
 #: Share of the neighbours within the sample that the number of probes is chosen for.
-RECALL = 0.95
+RECALL = 0.97
 
 
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str, dims: int) -> DataFrame:
@@ -100,14 +102,20 @@ class Cells:
         return list(self._joined([np.take_along_axis(tops[0], pick // width, axis=1), np.take_along_axis(tops[1], pick % width, axis=1)]))
 
     def within(self, scores: list[np.ndarray], cosine: float) -> list[np.ndarray]:
-        """The cells that can hold a vector of at least this cosine to a row. With |u - v| <= d, v in the cell of a and u in that of h:
-        v is no nearer to h than to a, so f(u, h) - f(u, a) <= d |h - a|, where f is the score. No such pair is missed."""
+        """The cells that can hold a vector of at least this cosine to a row. With |u - v| <= d and v in the cell of a: v is no nearer to any b
+        than to a, so f(u, b) - f(u, a) <= d |b - a| for every b, where f is the score; it is asked of the row's nearest centroids, which
+        say most. No such pair is missed."""
         d = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-4
         fit = []
         for s, c in zip(scores, self.books):
             norm = (c * c).sum(axis=1)
             apart = np.sqrt(np.maximum(0, norm[:, None] + norm[None, :] - 2 * c @ c.T))
-            fit.append(s.max(axis=1, keepdims=True) - s <= d * apart[s.argmax(axis=1)] + 1e-4)
+            near = np.argpartition(-s, min(NEAR_CENTROIDS, s.shape[1]) - 1, axis=1)[:, :NEAR_CENTROIDS]
+            can = s.max(axis=1, keepdims=True) - s <= d * apart[s.argmax(axis=1)] + 1e-4
+            row, cell = np.nonzero(can)
+            most = (np.take_along_axis(s, near, axis=1)[row] - s[row, cell][:, None] - d * apart[cell[:, None], near[row]]).max(axis=1)
+            can[row, cell] = most <= 1e-4
+            fit.append(can)
         if len(fit) == 1:
             return [np.flatnonzero(r) for r in fit[0]]
         return [(np.flatnonzero(x)[:, None] * len(self.books[1]) + np.flatnonzero(y)[None, :]).ravel() for x, y in zip(*fit)]
@@ -182,9 +190,11 @@ def _met(reps: DataFrame, cells: Cells, targets, dims: int) -> DataFrame:
     placed = reps.select("id", "unit").mapInArrow(assign, "id bigint, unit binary, home bigint, probed array<bigint>")
     most = HOT_CELLS * CELL_ROWS
     hot = placed.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("cell", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    hot = cut_lineage(hot)
     index = placed.select("id", "unit", F.col("home").alias("cell"), F.lit(False).alias("asks"))
     asked = placed.select("id", "unit", F.explode("probed").alias("cell"), F.lit(True).alias("asks"))
-    rows = index.unionByName(asked).join(hot, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # hot cells are few: sent along where their number allows, so that the rows aren't shuffled for them
+    rows = index.unionByName(asked).join(sent(hot), "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     each = rows.withColumn("part", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
     return by_key(each.select("cell", "part", "asks", "id", "unit"), "cell", "part").sortWithinPartitions("cell", "part", "asks", "id")
@@ -263,15 +273,25 @@ def _tiles(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[tuple[_Side
     yield from flush()
 
 
-def _classes(vectors: DataFrame) -> DataFrame:
-    """(id, rep): every vector and the smallest id among the equal ones; partial aggregation before the shuffle."""
-    smallest = vectors.groupBy("unit").agg(F.min("id").alias("rep"))
-    return vectors.join(smallest, "unit").select("id", "rep", "unit")
+#: Rows up to which a side of a join is sent to all tasks; a row is at most a vector and some numbers.
+SENT_ROWS = 20_000
 
 
-def _links(members: DataFrame, cosine: float, dims: int) -> DataFrame:
+def sent(df: DataFrame) -> DataFrame:
+    """`df`, which must be stable, marked for broadcast if it has at most SENT_ROWS rows; counted first."""
+    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
+
+
+def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, unit, n): one row per distinct vector with the smallest id that has it and its rows; and (rep, id): the ids of the classes of several rows.
+    Partial aggregation before the shuffle."""
+    reps = cut_lineage(vectors.groupBy("unit").agg(F.min("id").alias("id"), F.count("*").alias("n")).select("id", "unit", "n"))
+    several = reps.where("n > 1").select("unit", F.col("id").alias("rep"))
+    return reps, cut_lineage(vectors.join(sent(several), "unit").select("rep", "id").distinct())
+
+
+def _links(reps: DataFrame, cosine: float, dims: int) -> DataFrame:
     """(a, b): pairs of different classes, a < b, with at least this cosine."""
-    reps = members.where("id = rep").dropDuplicates(["unit"]).select("id", "unit")
     cells, _ = _fit(reps, dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,17 +315,18 @@ def pairs_above(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", cos
     so that no key holds a large class. Rows repeated under one id count as one vector each but a pair needs two different ids. An empty
     table gives no rows; other columns are left out.
     """
-    members = cut_lineage(_classes(usable_vectors(df, id_col, vec_col, dims)))
-    sizes = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep", "n", F.ceil(F.col("n") / CLASS_BLOCK).cast("int").alias("parts"))
-    links = _links(members, cosine, dims).unionByName(sizes.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
-    parted = members.select("rep", "id").join(sizes.where("parts > 1").select("rep", "parts"), "rep", "left")
-    blocks = parted.groupBy("rep", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("part")).agg(F.collect_list("id").alias("ids"))
-    many = sizes.where("parts > 1").select("rep", "parts")
+    reps, several = _classes(usable_vectors(df, id_col, vec_col, dims))
+    sizes = several.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep", F.ceil(F.col("n") / CLASS_BLOCK).cast("int").alias("parts"))
+    sizes = cut_lineage(sizes)
+    links = _links(reps, cosine, dims).unionByName(sizes.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    blocks = (
+        several.join(sent(sizes), "rep").groupBy("rep", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).agg(F.collect_list("id").alias("ids"))
+    )
     for side in ("a", "b"):
-        parts = F.coalesce("parts", F.lit(1))
-        links = links.join(many.withColumnRenamed("rep", side), side, "left").withColumn(f"p{side}", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        links = links.join(sent(sizes).withColumnRenamed("rep", side), side, "left").withColumn(f"p{side}", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     for side, held in (("a", "xs"), ("b", "ys")):
-        links = links.join(blocks.select(F.col("rep").alias(side), F.col("part").alias(f"p{side}"), F.col("ids").alias(held)), [side, f"p{side}"])
+        # a class of one row is its own block
+        links = links.join(blocks.select(F.col("rep").alias(side), F.col("part").alias(f"p{side}"), F.col("ids").alias(held)), [side, f"p{side}"], "left").withColumn(held, F.coalesce(held, F.array(side)))
     each = links.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y")).where("x <> y")
     return each.select(F.least("x", "y").alias("vec_lo"), F.greatest("x", "y").alias("vec_hi")).distinct()
 
@@ -314,12 +335,11 @@ def classes_above(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", c
     """(vec_id, class_id, class_size, links): every usable row with its class of equal vectors (the smallest id among them), the class's rows, and the
     number of other classes that have at least this cosine to it. The same relation as `pairs_above` without the pairs within and between
     classes spelt out. Unusable vectors and empty tables give no rows."""
-    members = cut_lineage(_classes(usable_vectors(df, id_col, vec_col, dims)))
-    links = _links(members, cosine, dims)
-    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    sizes = members.groupBy("rep").agg(F.count("*").alias("class_size")).join(ends, "rep", "left")
-    out = members.select("id", "rep").join(sizes, "rep")
-    return out.select(F.col("id").alias("vec_id"), F.col("rep").alias("class_id"), "class_size", F.coalesce("links", F.lit(0)).alias("links"))
+    reps, several = _classes(usable_vectors(df, id_col, vec_col, dims))
+    ends = _links(reps, cosine, dims).select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    members = reps.where("n = 1").select(F.col("id").alias("rep"), "id").unionByName(several)
+    sizes = reps.select(F.col("id").alias("rep"), F.col("n").alias("class_size")).join(ends, "rep", "left")
+    return members.join(sizes, "rep").select(F.col("id").alias("vec_id"), F.col("rep").alias("class_id"), "class_size", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int = 10, probes: int | None = None, dims: int = 64, target: float = RECALL) -> DataFrame:
@@ -330,8 +350,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int
     `target` of the neighbours within the fitting sample. Fewer than k other vectors give fewer rows. Equal vectors are neighbours at
     cosine 1. Unusable vectors and empty tables give no rows; other columns are left out.
     """
-    members = cut_lineage(_classes(usable_vectors(df, id_col, vec_col, dims)))
-    reps = members.where("id = rep").dropDuplicates(["unit"]).select("id", "unit")
+    reps, several = _classes(usable_vectors(df, id_col, vec_col, dims))
     cells, sample = _fit(reps, dims)
     probes = probes or _probes_for(cells, sample, k, target)
 
@@ -372,17 +391,18 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "vec", k: int
     links = found.select("rep", F.explode(F.arrays_zip("others", "cosines")).alias("o")).select("rep", F.col("o.others").alias("other"), F.col("o.cosines").alias("cosine"))
     links = links.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("rep", "other", "cosine")
     # the first k + 1 ids of a class are all that any list can need of it; the window limit applies before the shuffle
-    heads = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).where("r > 1")
-    heads = heads.select(F.col("rep").alias("other"), "id")
-    own = members.select("rep").distinct().select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("cosine"))
-    every = links.unionByName(own)
+    heads = several.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1)
+    heads = cut_lineage(heads.select(F.col("rep").alias("other"), "id"))
+    own = heads.select(F.col("other").alias("rep"), "id", F.lit(1.0).alias("cosine"))
     # most classes have one row, their representative; the further ids of the others are joined
-    spelled = every.select("rep", F.col("other").alias("id"), "cosine").unionByName(every.join(heads, "other").select("rep", "id", "cosine"))
+    further = links.join(sent(heads.where("id <> other")), "other").select("rep", "id", "cosine")
+    spelled = links.select("rep", F.col("other").alias("id"), "cosine").unionByName(further).unionByName(own)
     order = Window.partitionBy("rep").orderBy(F.desc("cosine"), "id")
     lists = (
         spelled.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
         .groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("r", "id", "cosine"))).alias("list"))
     )
-    mine = F.slice(F.filter("list", lambda x: x["id"] != F.col("me")), 1, k)
-    listed = members.select(F.col("id").alias("me"), "rep").join(lists, "rep").select(F.col("me").alias("vec_id"), F.posexplode(mine).alias("p", "n"))
-    return listed.select("vec_id", (F.col("p") + 1).alias("rank"), F.col("n.id").alias("neighbour_id"), F.col("n.cosine").alias("cosine"))
+    # the rows of a class share its list; a class of one row is its representative
+    mine = lists.join(several, "rep", "left").select(F.coalesce("id", "rep").alias("me"), "list")
+    mine = mine.select("me", F.posexplode(F.slice(F.filter("list", lambda x: x["id"] != F.col("me")), 1, k)).alias("p", "n"))
+    return mine.select(F.col("me").alias("vec_id"), (F.col("p") + 1).alias("rank"), F.col("n.id").alias("neighbour_id"), F.col("n.cosine").alias("cosine"))

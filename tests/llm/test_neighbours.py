@@ -75,6 +75,29 @@ def test_few_and_no_vectors(spark):
     assert neighbours.pairs_above(only_odd, dims=D).count() == 0
 
 
+@pytest.mark.parametrize("most", [4, 1024])
+def test_cells_from_two_codebooks(spark, monkeypatch, most):
+    monkeypatch.setattr(neighbours, "MOST_CENTROIDS", most)
+    monkeypatch.setattr(neighbours, "HOT_CELLS", 1)
+    monkeypatch.setattr(neighbours, "CLASS_BLOCK", 8)
+    x = clustered(600, 7)
+    x[100:140] = x[0]
+    df = frame(spark, list(enumerate(x)), ODD)
+    u = np.array(x, np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u @ u.T
+    want = {(i, j) for i in range(600) for j in range(i + 1, 600) if s[i, j] >= 0.95}
+    close = {(i, j) for i, j in want if abs(s[i, j] - 0.95) < 1e-6}
+    got = {(r.vec_lo, r.vec_hi) for r in neighbours.pairs_above(df, dims=D).collect()}
+    assert got - close == want - close
+    classes = {r.vec_id: (r.class_id, r.class_size) for r in neighbours.classes_above(df, dims=D).collect()}
+    assert len(classes) == 600 and all(classes[i] == (0, 41) for i in (0, 100, 139)) and classes[1] == (1, 1)
+    np.fill_diagonal(s, -2)
+    kth = -np.sort(-s, axis=1)[:, 4]
+    rows = neighbours.nearest(df, k=5, dims=D).collect()
+    assert len(rows) == 3000 and np.mean([r.cosine >= kth[r.vec_id] - 1e-6 for r in rows]) >= 0.9
+
+
 def test_int8_bound_holds():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, D)).astype(np.float32)
