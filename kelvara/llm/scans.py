@@ -148,10 +148,11 @@ def evidence(docs: DataFrame, id_col: str = "parsed_id", text_col: str = "text")
     docs = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     vocab = cut_lineage(vocabulary(docs))
     text = F.col("text")
-    cut = docs.where(text.rlike(r"\p{L}[-\u2010\u00ac\u00ad][ \t]*\r?\n")).select(
-        "id", F.explode(F.arrays_zip(*(F.regexp_extract_all(text, F.lit(_CUT), F.lit(k)).alias(n) for k, n in ((1, "l"), (2, "sign"), (3, "r"))))).alias("c")
-    )
-    cut = cut_lineage(cut.select("id", "c.l", "c.r", "c.sign", F.lower(F.concat("c.l", "c.r")).alias("joined"), F.lower(F.concat_ws("-", "c.l", "c.r")).alias("compound")).distinct())
+    # every match is found once; its parts are read from the match
+    part = lambda k: F.regexp_extract("m", _CUT, k)
+    cut = docs.where(text.rlike(r"\p{L}[-\u2010\u00ac\u00ad][ \t]*\r?\n")).select("id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_CUT), F.lit(0)))).alias("m"))
+    cut = cut.select("id", part(1).alias("l"), part(2).alias("sign"), part(3).alias("r"))
+    cut = cut_lineage(cut.select("id", "l", "r", "sign", F.lower(F.concat("l", "r")).alias("joined"), F.lower(F.concat_ws("-", "l", "r")).alias("compound")).distinct())
     # a cut word is misread as a whole, so the joined forms are corrected beside the words
     whole = cut.where(F.col("joined").rlike(_SHAPE)).groupBy(F.col("joined").alias("word")).agg(F.count("*").alias("n")).join(vocab.select("word"), "word", "left_anti")
     right = cut_lineage(corrections(cut_lineage(vocab.unionByName(whole))))
