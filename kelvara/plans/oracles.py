@@ -478,4 +478,24 @@ def sql() -> dict[str, str]:
     out["kind_prompts"] = f"""with {HITS}, c as (select query_id, string_agg('[' || rank || '] ' || coalesce(doc_name, '') || chr(10) || coalesce(text, ''), chr(10) || chr(10) order by rank) as context from hits group by query_id), t as (select * from {asked_terms}),
       k as (select queries.query_id, query, {query_type('query')} as kind, context, term from queries left join c using (query_id) left join t using (query_id) where query is not null)
       select query_id, kind, case kind {' '.join(f"when {q(x)} then {prompt(x)}" for x in ('search', 'calculation', 'definition', 'comparison', 'regulatory'))} end as prompt from k"""
+    full = CHUNKING.longest
+    tail = f"(case when strpos(z, ' ') - 1 > 0 and strpos(z, ' ') - 1 < length(z) // 2 then {strip("substr(z, strpos(z, ' ') + 1)")} else z end)"
+    out["chunk_documents"] = f"""with recursive pa as (select doc_id, generate_subscripts(p, 1) as para, unnest(p) as text from (select doc_id, list_filter(list_transform(string_split_regex({normalize('text')}, '\n{WS}*\n'), lambda x: {strip('x')}), lambda x: x <> '') as p from documents)),
+      lo as (select doc_id, para, text, list_filter(list_transform({sentences('text')}, lambda x: {strip('x')}), lambda x: x <> '') as s from pa where length(text) > {full}),
+      st as (select doc_id, para, s, 0::bigint as i, ''::varchar as held, null::varchar as piece, false as hard from lo where len(s) >= 2
+        union all select doc_id, para, s, i + 1,
+          case when length(cur) = 0 then s[i + 1] when length(cur) + 1 + length(s[i + 1]) <= {size} then cur || ' ' || s[i + 1] else {strip(f"{tail} || ' ' || s[i + 1]")} end,
+          case when length(cur) > 0 and length(cur) + 1 + length(s[i + 1]) > {size} then {strip('cur')} end, false
+          from (select *, case when length(held) > {size} and i > 0 and held = s[i] then '' else held end as cur, {strip(f"right(held, {overlap})")} as z from st) where i < len(s)),
+      em as (select doc_id, para, i, piece, false as hard from st where piece is not null
+        union all select doc_id, para, i, held, true from st where i > 0 and length(held) > {size} and held = s[i]
+        union all select doc_id, para, i + 1, {strip('held')}, false from st where i = len(s) and not (length(held) > {size} and held = s[i]) and {strip('held')} <> ''
+        union all select doc_id, para, 0, text, true from lo where len(s) < 2),
+      hw as (select doc_id, para, i, piece as t, length(piece) as n, 0::bigint as a, 0::bigint as k from em where hard
+        union all select doc_id, para, i, t, n, greatest(({cut}) - {overlap}, a + 1), k + 1 from hw where ({cut}) < n),
+      al as (select doc_id, para, 0::bigint as i, 0::bigint as k, text from pa where length(text) <= {full} union all select doc_id, para, i, 0, piece from em where not hard
+        union all select doc_id, para, i, k, {strip(f'substr(t, a + 1, ({cut}) - a)')} from hw)
+      select doc_id, (row_number() over (partition by doc_id order by para, i, k) - 1)::int as chunk_id, text, len(list_filter(regexp_extract_all(text, '{FORMULA}'), lambda x: length({strip('x')}) >= 4)) > 0 as has_formula, {table_like('text')} as has_table_like_content from al where text <> ''"""
+    qc = "qc as (select query_id, query, city from (select query_id, query, name as city, row_number() over (partition by query_id order by -length(name), name) as r from queries join cities on contains(lower(query), lower(name))) where r = 1)"
+    out["table_plans"] = f"""with {qc} select * from (select query_id, city, case when {air} then case when {flow} is not null then 'ventilation' end when {wall} then case when {parameter('query', 'A')} is not null and {parameter('query', 'R')} is not null then 'heat_loss' end else 'gsop' end as plan from qc) where plan is not null"""
     return out
