@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelvara.config import EMBEDDING_BATCH
 from kelvara.functions import text as T
 from kelvara.lexicons import CRITICAL_ERRORS
-from kelvara.texts import AREA_ERRORS, ERRORS, OTHER_ERROR, UNKNOWN_ERROR, UNNAMED_LIBRARY
+from kelvara.texts import AREA_ERRORS, ERRORS, NOT_FOUND, OTHER_ERROR, UNKNOWN_ERROR, UNNAMED_LIBRARY
 
 
 def hits(results: DataFrame, queries: DataFrame) -> DataFrame:
@@ -39,6 +41,33 @@ def extractive_answers(found: DataFrame, texts: int = 3, longest: int = 1800) ->
     return joined.select("query_id", F.when(F.length(a) > longest, F.concat(cut, F.lit("..."))).otherwise(a).alias("answer"))
 
 
+def answer_records(asked: DataFrame, found: DataFrame, generate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(query_id, answer, sources array<string>, provider, used_llm): every question (query_id, query) answered from its hits. `generate` adds a column `told` to rows
+    with query_id, query and context (providers.generate does); where it says nothing the extractive answer stands, and a question without hits gets the
+    fixed not-found record."""
+    base = asked.select("query_id", "query").join(extractive_answers(found), "query_id", "left").join(contexts(found), "query_id", "left")
+    told = generate(base) if generate else base.withColumn("told", F.lit(None).cast("string"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("ord", "doc_name"))), lambda x: x["doc_name"])
+    told = told.join(sources(found).groupBy("query_id").agg(names.alias("sources")), "query_id", "left")
+    used = F.col("context").isNotNull() & F.col("told").isNotNull()
+    return told.select(
+        "query_id", F.when(F.col("context").isNull(), NOT_FOUND).otherwise(F.coalesce("told", "answer", F.lit(""))).alias("answer"), F.coalesce("sources", F.expr("cast(array() as array<string>)")).alias("sources"),
+        F.when(used, "llm").otherwise("none").alias("provider"), used.alias("used_llm"),
+    )
+
+
+def trace(answers: DataFrame) -> DataFrame:
+    """(query_id, step, description, confidence): the six steps behind every answer of agent.answer (query_id, confidence, needs_clarification, found, relevance): analysis, search,
+    context, handler, completeness, final answer."""
+    c = F.col("confidence")
+    steps = (
+        ("Анализ типа запроса и сущностей", F.lit(0.9)), ("Расширенный поиск по индексу с памятью и повторным ранжированием", F.when(F.col("found"), 0.85).otherwise(0.3)),
+        ("Анализ контекста и извлечение ключевой информации", F.coalesce("relevance", F.lit(0.5))), ("Ответ по типу запроса", c), ("Проверка полноты ответа", F.when(F.col("needs_clarification"), 0.5).otherwise(0.85)), ("Формирование финального ответа", c),
+    )
+    each = F.array(*(F.struct(F.lit(i).alias("step"), F.lit(d).alias("description"), x.cast("double").alias("confidence")) for i, (d, x) in enumerate(steps, 1)))
+    return answers.select("query_id", F.explode(each).alias("s")).select("query_id", "s.step", "s.description", "s.confidence")
+
+
 def index_diagnostics(parsed: DataFrame) -> DataFrame:
     """One row: documents, those with chunks, chunks, blank chunks and embedding batches."""
     texts = F.coalesce(F.col("chunks.text"), F.expr("cast(array() as array<string>)"))

@@ -213,6 +213,8 @@ def _term_lists(counts: DataFrame, weights: DataFrame, asked_terms: DataFrame) -
 
 def _ranked_blocks(entries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, asked: DataFrame, settings: Search, dims: int) -> DataFrame:
     k, semantic_weight, lexical_weight, least = settings.top_k, settings.semantic_weight, settings.lexical_weight, settings.min_score
+    if vectors is None:
+        semantic_weight, lexical_weight = 0.0, 1.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

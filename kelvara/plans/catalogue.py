@@ -367,6 +367,22 @@ def agent_search(s, d):
     return _agent_hits(s, d).select("query_id", "kind", F.col("rank").cast("bigint").alias("place"), "parsed_id", "chunk_id", "doc_name", "score")
 
 
+@query
+def qa_answers(s, d):
+    chunks = cut_lineage(_chunks(s, d))
+    found = retrieval.search(chunks, table(s, d, "chunk_vectors"), _questions(s, d)).join(chunks.select(*retrieval.KEY, "doc_name", "text"), list(retrieval.KEY))
+    found = cut_lineage(found.withColumn("result_id", F.col("rank").cast("bigint")))
+    out = reporting.answer_records(_questions(s, d), found)
+    return out.withColumn("sources", F.array_join("sources", "|"))
+
+
+@query
+def agent_trace(s, d):
+    found = cut_lineage(_agent_hits(s, d).withColumn("result_id", F.col("rank").cast("bigint")).withColumnRenamed("kind", "query_type"))
+    told = agent.answer(_questions(s, d), found).join(agent.context_parameters(found).select("query_id", F.col("confidence").alias("relevance")), "query_id", "left")
+    return reporting.trace(told.withColumn("found", F.col("relevance").isNotNull()))
+
+
 @query
 def context_params(s, d):
     return agent.context_parameters(_hits(s, d)).withColumn("confidence", F.round("confidence", 6))

@@ -9,7 +9,7 @@ from kelvara.operators import calculation
 from kelvara.operators.agent import CONTEXT
 from kelvara.operators.reporting import MATERIALS, STANDARD
 from kelvara.plans import fixtures
-from kelvara.texts import AREA_ERRORS, ERRORS, GLOSSARY, OTHER_ERROR, PROMPTS, UNKNOWN_ERROR, UNNAMED_LIBRARY
+from kelvara.texts import AREA_ERRORS, ERRORS, GLOSSARY, NOT_FOUND, OTHER_ERROR, PROMPTS, UNKNOWN_ERROR, UNNAMED_LIBRARY
 
 _CODE = r"(?i)(?:СП\s?\d+\.\d+|ГОСТ\s?\d+(?:-\d+)?|СНиП\s?[\d.-]+)"
 _REF = r"(?i)(?:пункт\s?\d+(?:\.\d+)*|раздел\s?\d+(?:\.\d+)*)"
@@ -498,4 +498,11 @@ def sql() -> dict[str, str]:
       select doc_id, (row_number() over (partition by doc_id order by para, i, k) - 1)::int as chunk_id, text, len(list_filter(regexp_extract_all(text, '{FORMULA}'), lambda x: length({strip('x')}) >= 4)) > 0 as has_formula, {table_like('text')} as has_table_like_content from al where text <> ''"""
     qc = "qc as (select query_id, query, city from (select query_id, query, name as city, row_number() over (partition by query_id order by -length(name), name) as r from queries join cities on contains(lower(query), lower(name))) where r = 1)"
     out["table_plans"] = f"""with {qc} select * from (select query_id, city, case when {air} then case when {flow} is not null then 'ventilation' end when {wall} then case when {parameter('query', 'A')} is not null and {parameter('query', 'R')} is not null then 'heat_loss' end else 'gsop' end as plan from qc) where plan is not null"""
+    hybrid = out["hybrid_search"]
+    head = hybrid[: hybrid.rindex("select query_id, rank, parsed_id, chunk_id, score from (")].rstrip()
+    out["qa_answers"] = f"""{head},
+      hits as (select r.query_id, r.rank, r.rank as result_id, doc_name, text, score from ({ranked('h', 'score', 'parsed_id, chunk_id')}) r join chunks using (parsed_id, chunk_id)), {best.removeprefix(f'with {HITS}, ')}, {answers},
+      so as (select query_id, string_agg(doc_name, '|' order by ord) as sources from o where ord <= 5 group by query_id)
+      select q.query_id, case when so.query_id is null then {q(NOT_FOUND)} else coalesce(answer, '') end as answer, coalesce(sources, '') as sources, 'none' as provider, false as used_llm
+        from (select query_id from queries where {_STEP}) q left join ans using (query_id) left join so using (query_id)"""
     return out

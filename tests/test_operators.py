@@ -291,3 +291,78 @@ def test_turns(spark):
     docs = spark.createDataFrame([(1, "user: Привет\nassistant: Да\nи ещё\nuser: Всё"), (2, "просто текст"), (3, None)], "doc_id bigint, text string")
     got = [(r.turn, r.role, r.content) for r in reporting.turns(docs).orderBy("turn").collect()]
     assert got == [(0, "user", "Привет"), (1, "assistant", "Да\nи ещё"), (2, "user", "Всё")]
+
+
+def test_table_answers_have_every_outcome(spark):
+    asked = [
+        (1, "ГСОП для Уфа", "Уфа"), (2, "вентиляция 100 м³/ч Уфа", "Уфа"), (3, "теплопотери площадь 50 сопротивление 3,2", "Уфа"), (4, "теплопотери площадь 50 сопротивление 0", "Уфа"), (5, "ГСОП для Тверь", "Тверь"), (6, "вентиляция 100 м³/ч Тверь", "Тверь"),
+        (7, "ГСОП Омск", "Омск"), (8, "вентиляция", "Уфа"), (9, "ГСОП", None),
+    ]
+    queries = spark.createDataFrame(asked, "query_id bigint, query string, city string")
+    found = spark.createDataFrame([(1, 1, "d", [["Город", "t", "z"], ["Уфа", "-3,14", "214"], ["Омск", "нет", "1"]])], "hit int, place int, source string, rows array<array<string>>")
+    climate = tables.climate_of(found, spark.createDataFrame([("Уфа",), ("Тверь",), ("Омск",)], "city string"), ("hit", "place"))
+    got = {r.query_id: r for r in calculation.table_answers(queries, climate, F.lit(True)).collect()}
+    assert {i: (r.outcome, r.confidence) for i, r in got.items()} == {
+        1: ("ok", 0.9), 2: ("ok", 0.85), 3: ("ok", 0.85), 4: ("error", 0.0), 5: ("city_not_found", 0.0), 6: ("no_climate", 0.0), 7: ("no_numbers", 0.2),
+    }
+    assert math.isclose(got[1].result, 23.14 * 214) and math.isclose(got[2].result, 0.335 * 100 * 23.1) and math.isclose(got[3].result, 50 * 23.1 / 3.2)
+    assert got[1].answer == "ГСОП для Уфа = 4951.96 °C·сут" and got[1].source == "d" and got[5].source is None
+    none = {r.outcome for r in calculation.table_answers(queries, climate.limit(0), F.lit(False)).collect()}
+    assert none == {"no_tables", "no_climate"}
+    driven = {r.query_id: (r.path, r.status) for r in calculation.driver(queries, calculation.table_answers(queries, climate, F.lit(True))).collect()}
+    assert driven[1] == ("table", "ok") and driven[8] == ("parameters", "missing") and driven[9] == ("parameters", "missing")
+
+
+def test_a_city_split_over_cells_is_found(spark):
+    found = spark.createDataFrame([(1, 1, "d", [["Город", "x", "t", "z"], ["Нижний", "Новгород", "-4", "210"]])], "hit int, place int, source string, rows array<array<string>>")
+    got = tables.climate_of(found, spark.createDataFrame([("Нижний Новгород",)], "city string"), ("hit", "place")).first()
+    assert (got.t_ot, got.z_ot, got.numbers) == (-4.0, 210, 2)
+
+
+def test_tables_of_hits_are_distinct_and_titled(spark):
+    text = "|a|b|\n|1|2|\n|3|4|"
+    rows = [(1, "q", None, 1, 1, "d", 0, text, 0.9), (1, "q", None, 2, 2, "d", 1, text, 0.8), (1, "q", None, 3, 3, None, 0, text, 0.7), (1, "q", None, 4, 4, "e", 0, text, 0.6), (2, "q", None, 1, 5, "d", 0, None, 0.5)]
+    got = [(r.query_id, r.hit, r.place, r.title) for r in tables.tables_of_hits(spark.createDataFrame(rows, HITS)).orderBy("place").collect()]
+    assert got == [(1, 1, 1, "Таблица из d"), (1, 3, 2, "Таблица из ")]
+    r = tables.records_of(tables.tables_of_hits(spark.createDataFrame(rows, HITS))).orderBy("place").first()
+    assert r.headers == ["a", "b"] and r.row_count == 2 and r["rows"] == [["1", "2"], ["3", "4"]]
+
+
+def test_variants_are_searched_and_united(spark):
+    chunks = spark.createDataFrame([(1, 0, "a", "СП 50.13330 окна и двери"), (2, 0, "b", "окна"), (3, 0, "b", "окна"), (4, 0, "c", "крыша"), (5, 0, None, "двери")], "parsed_id bigint, chunk_id int, doc_name string, text string")
+    asked = spark.createDataFrame([(20, "требования СП 50.13330 окна", [1.0, 0.0]), (40, " ", [1.0, 0.0]), (60, None, None)], "query_id bigint, query string, qvec array<double>")
+    boosts = spark.createDataFrame([(20, "source", 1, "b"), (20, "term", 1, "двери")], "query_id bigint, kind string, ord int, item string")
+    got = [(r.query_id, r["rank"], r.parsed_id, r.score) for r in agent.search_variants(chunks, None, asked, boosts, 2).orderBy("rank").collect()]
+    assert {g[0] for g in got} == {20} and [g[2] for g in got if g[2] in (2, 3)] == [2] and got[0][2] == 1
+    assert 5 in {g[2] for g in got}, "found by the remembered term alone"
+    assert agent.search_variants(chunks, None, asked, boosts.limit(0), 2).where("parsed_id = 5").count() == 0
+
+
+def test_answer_records_and_trace(spark):
+    hits = spark.createDataFrame([(1, "q", None, 1, 1, "d", 0, "Ответ есть.", 0.9)], HITS)
+    asked = spark.createDataFrame([(1, "q"), (2, "нет")], "query_id bigint, query string")
+    got = {r.query_id: (r.answer, r.sources, r.provider) for r in reporting.answer_records(asked, hits).collect()}
+    assert got == {1: ("Ответ есть.", ["d"], "none"), 2: ("Не удалось найти релевантную информацию в документах.", [], "none")}
+    told = {r.query_id: (r.answer, r.used_llm) for r in reporting.answer_records(asked, hits, lambda df: df.withColumn("told", F.lit("модель"))).collect()}
+    assert told == {1: ("модель", True), 2: ("Не удалось найти релевантную информацию в документах.", False)}
+    rows = spark.createDataFrame([(1, 0.8, False, True, 0.4), (2, 0.2, True, False, None)], "query_id bigint, confidence double, needs_clarification boolean, found boolean, relevance double")
+    steps = {(r.query_id, r.step): r.confidence for r in reporting.trace(rows).collect()}
+    assert len(steps) == 12 and steps[(1, 2)] == 0.85 and steps[(2, 2)] == 0.3 and steps[(1, 3)] == 0.4 and steps[(2, 3)] == 0.5 and steps[(2, 5)] == 0.5
+
+
+def test_entities_and_messages(spark):
+    docs = spark.createDataFrame([(1, "5.1 Кирпич 120 мм при −5 °C по СНиП 23-02-2003, 120 мм² и 1800 кг/м³"), (2, None), (3, "")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.kind, r["item"]) for r in reporting.entities(docs).collect()}
+    assert got == {(1, "section", "5.1"), (1, "material", "кирпич"), (1, "thickness", "120 мм"), (1, "temperature", "5 °C"), (1, "standard", "СНиП 23-02-2003"), (1, "density", "1800 кг/м³")}
+    rows = spark.createDataFrame([("Unknown", None), ("KeyError", "x"), ("ModuleNotFoundError", "No module named 'abc'")], "kind string, message string")
+    said = [r.m for r in rows.select(reporting.error_message(F.col("kind"), F.col("message")).alias("m")).collect()]
+    assert said[0].endswith("Неизвестная ошибка") and said[1].endswith(": x") and said[2].endswith("pip install abc")
+
+
+def test_many_terms_meet_sentences_by_triples(spark, monkeypatch):
+    chunks = spark.createDataFrame([(1, 0, "Теплопроводностью зовут λ. Крыша."), (2, 0, "Да.")], "parsed_id bigint, chunk_id int, text string")
+    terms = spark.createDataFrame([("теплопроводность",), ("λ",), ("да",), ("нет такого",), (" ",), (None,)], "term string")
+    few = {(r.term, r.definition) for r in agent.term_definitions(terms, chunks, ("parsed_id", "chunk_id")).collect()}
+    monkeypatch.setattr(agent, "SENT_TERMS", 1)
+    many = {(r.term, r.definition) for r in agent.term_definitions(terms, chunks, ("parsed_id", "chunk_id")).collect()}
+    assert few == many == {("теплопроводность", "Теплопроводностью зовут λ."), ("λ", "Теплопроводностью зовут λ."), ("да", "Да.")}
